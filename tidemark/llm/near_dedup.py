@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Buckets whose members now lie in several components are settled exactly. A shingle that only one of their
        documents has can't be shared, which bounds every similarity from above; documents and pairs that this bound
        rules out are dropped without loss. First each bucket's members are tried against the one with fewest such
-       shingles, then all pairs left between different components are tried.
+       shingles, then all pairs left between different components are compared inside the join, which emits links only.
     Only candidates' texts are read a second time, found by a bucket filter of fixed size.
 
     Edge cases: words are separated by space and ASCII controls 9 to 13 and lower-cased in A-Z only; a text with
@@ -228,17 +228,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = materialize(verified(pairs, sets, percent))
     labels = components(nodes, links)
-    for step in ("centre", "rest"):
+    open_members = _open_members(members, labels, sets, percent)
+    more = materialize(_centre_pairs(open_members, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
+    new = materialize(verified(more, sets, percent))
+    if not new.isEmpty():
+        links = links.union(new)
+        labels = components(nodes, links)
         open_members = _open_members(members, labels, sets, percent)
-        more = _centre_pairs(open_members, percent) if step == "centre" else _rest_pairs(open_members, percent)
-        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        new = materialize(verified(more, sets, percent))
-        pairs = pairs.union(more)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(nodes, links)
+    last = materialize(_rest_links(open_members, sets, percent).distinct())
+    if not last.isEmpty():
+        labels = components(nodes, links.union(last))
 
     # back to documents: by fingerprint, then once more over ids that repeat
     named = reps.select("key", "id").join(labels.withColumnRenamed("id", "key"), "key", "left").select("key", "id", F.coalesce("comp", "key").alias("comp"))
@@ -284,7 +283,12 @@ def _centre_pairs(open_members: DataFrame, percent: int) -> DataFrame:
     return tried.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
 
 
-def _rest_pairs(open_members: DataFrame, percent: int) -> DataFrame:
-    x, y = open_members.alias("x"), open_members.alias("y")
-    on = [F.col("x.band") == F.col("y.band"), F.col("x.comp") < F.col("y.comp"), _bound(percent)]
+def _rest_links(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within a bucket. Full sets are compared where the pairs meet, so only links
+    leave the join, however large a bucket is."""
+    held = materialize(open_members.join(sets.withColumnRenamed("id", "key"), "key"))
+    x, y = held.alias("x"), held.alias("y")
+    both = F.size(F.array_intersect("x.set", "y.set"))
+    enough = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
+    on = [F.col("x.band") == F.col("y.band"), F.col("x.comp") < F.col("y.comp"), _bound(percent), enough]
     return x.join(y, reduce(lambda p, q: p & q, on)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))

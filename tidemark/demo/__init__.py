@@ -1,4 +1,13 @@
+"""The library's operators applied to the driver tables, each beside equivalent SQL."""
+
+from __future__ import annotations
+
+from tidemark.demo import evaluation, history, quality, records, registry, scoring  # noqa: F401  (they register queries)
+
+
 def queries():
-    return {}
+    return dict(registry.QUERIES)
+
+
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.demo.history import FEATURES, MEASURE, order_history, prior
+from tidemark.demo.history import FEATURES, MEASURE, OFF_TIES, order_history, prior
 from tidemark.demo.registry import Tables, query
 from tidemark.operators import metrics, reshape, windows
 from tidemark.plans import evaluation, models
@@ -45,7 +45,7 @@ def weekly(t: Tables) -> DataFrame:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 3) + 0.0 for c in VALUES})
+    return df.withColumns({c: F.round(F.col(c) + OFF_TIES, 6) for c in VALUES})
 
 
 @query(f"WITH {PREDICTED} SELECT o_orderkey, prediction, prediction_source, CASE WHEN p5 IS NULL THEN 0 ELSE 1 END AS covered FROM d")
@@ -53,7 +53,7 @@ def baseline_chain(t: Tables) -> DataFrame:
     return predictions(t).select("o_orderkey", "prediction", "prediction_source", F.when(F.col(f"{MEASURE}_last5").isNull(), 0).otherwise(1).alias("covered"))
 
 
-@query(f"WITH {WEEKLY} SELECT model, o_orderpriority, period, n_rows, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(spearman, 3) + 0.0 AS spearman, round(top_overlap::DOUBLE, 3) AS top_overlap FROM e")
+@query(f"WITH {WEEKLY} SELECT model, o_orderpriority, period, n_rows, round(mae + 3e-8, 6) AS mae, round(rmse + 3e-8, 6) AS rmse, round(spearman + 3e-8, 6) AS spearman, round(top_overlap::DOUBLE + 3e-8, 6) AS top_overlap FROM e")
 def error_metrics_by_period(t: Tables) -> DataFrame:
     return shown(weekly(t))
 
@@ -62,7 +62,7 @@ SUMMARY = f"""{WEEKLY}, s AS (SELECT model, CASE WHEN grouping(o_orderpriority)
   avg(top_overlap::DOUBLE) AS top_overlap FROM e GROUP BY GROUPING SETS ((model), (model, o_orderpriority)))"""
 
 
-@query(f"WITH {SUMMARY} SELECT model, o_orderpriority, n_rows, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(spearman, 3) + 0.0 AS spearman, round(top_overlap, 3) AS top_overlap FROM s")
+@query(f"WITH {SUMMARY} SELECT model, o_orderpriority, n_rows, round(mae + 3e-8, 6) AS mae, round(rmse + 3e-8, 6) AS rmse, round(spearman + 3e-8, 6) AS spearman, round(top_overlap + 3e-8, 6) AS top_overlap FROM s")
 def metric_summary(t: Tables) -> DataFrame:
     return shown(metrics.summary(weekly(t), "model", "o_orderpriority", VALUES))
 
@@ -78,9 +78,9 @@ x AS (SELECT s.o_orderpriority, model, mae, row_number() OVER (PARTITION BY s.o_
 c AS (SELECT b.o_orderpriority, coalesce(model, 'previous') AS champion, coalesce(mae, bm) AS champion_mae, bm AS baseline_mae FROM b LEFT JOIN x ON x.o_orderpriority = b.o_orderpriority AND r = 1)"""
 
 
-@query(f"WITH {CHOSEN} SELECT o_orderpriority, champion, round(champion_mae, 3) AS champion_mae, round(baseline_mae, 3) AS baseline_mae FROM c")
+@query(f"WITH {CHOSEN} SELECT o_orderpriority, champion, round(champion_mae, 6) AS champion_mae, round(baseline_mae, 6) AS baseline_mae FROM c")
 def champion_selection(t: Tables) -> DataFrame:
-    return chosen(t).withColumns({c: F.round(c, 3) for c in ("champion_mae", "baseline_mae")})
+    return chosen(t).withColumns({c: F.round(c, 6) for c in ("champion_mae", "baseline_mae")})
 
 
 @query(f"WITH {CHOSEN} SELECT o_orderkey, d.o_orderpriority, champion, CASE champion WHEN 'previous' THEN previous WHEN 'last3' THEN last3 ELSE last5 END AS composite FROM d JOIN c ON c.o_orderpriority = d.o_orderpriority WHERE season = 2001")
@@ -107,9 +107,9 @@ def residual_intervals(t: Tables) -> DataFrame:
     )
 
 
-@query(f"WITH {INTERVALS} SELECT o_orderkey, round(lower, 5) AS floor, round(upper, 5) AS ceiling FROM i")
+@query(f"WITH {INTERVALS} SELECT o_orderkey, round(lower, 7) AS floor, round(upper, 7) AS ceiling FROM i")
 def interval_apply(t: Tables) -> DataFrame:
-    return intervals(t).select("o_orderkey", F.round("floor", 5).alias("floor"), F.round("ceiling", 5).alias("ceiling"))
+    return intervals(t).select("o_orderkey", F.round("floor", 7).alias("floor"), F.round("ceiling", 7).alias("ceiling"))
 
 
 NUMERIC = [FEATURES[0], FEATURES[1], FEATURES[2], FEATURES[4], "prior_rows"]

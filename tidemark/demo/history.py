@@ -11,6 +11,8 @@ from tidemark.operators import identity, joins, quality, ranking, reshape, windo
 
 MEASURE = "o_totalprice"
 CUTOFF = 2000
+#: Added before rounding where exact halves occur, on which engines may differ by the order of a sum.
+OFF_TIES = 3e-8
 
 
 def order_history(t: Tables) -> DataFrame:
@@ -57,7 +59,7 @@ def line_history(t: Tables) -> DataFrame:
 
 @query("""WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  round(sum(l_extendedprice) OVER w3 / nullif(sum(l_quantity) OVER w3, 0), 6) AS price_per_unit_last3,
+  round(sum(l_extendedprice) OVER w3 / nullif(sum(l_quantity) OVER w3, 0) + 3e-8, 6) AS price_per_unit_last3,
   coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w5, 0)::BIGINT AS returns_last5
 FROM j WINDOW w3 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
   w5 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
@@ -66,7 +68,7 @@ def trailing_ratio_features(t: Tables) -> DataFrame:
     df = line_history(t).withColumn("returned", flag(F.col("l_returnflag") == "R"))
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.round(p.ratio_of_sums("l_extendedprice", "l_quantity", 3), 6).alias("price_per_unit_last3"), p.flag_sum("returned", 5).alias("returns_last5"),
+        F.round(p.ratio_of_sums("l_extendedprice", "l_quantity", 3) + OFF_TIES, 6).alias("price_per_unit_last3"), p.flag_sum("returned", 5).alias("returns_last5"),
     )
 
 
@@ -134,14 +136,14 @@ def blend_rows(t: Tables) -> DataFrame:
     daily = df.groupBy("o_orderpriority", "day").agg(F.sum(MEASURE).alias("_s"), F.count(MEASURE).alias("_n"))
     daily = daily.select("o_orderpriority", "day", ratio(F.sum("_s").over(other.last(5)), F.sum("_n").over(other.last(5))).alias("cat"))
     df = df.withColumn("own", own.mean(MEASURE, 5)).join(daily, ["o_orderpriority", "day"], "left")
-    blends = {k: F.round(a * F.coalesce("own", "cat") + (1 - a) * F.coalesce("cat", "own"), 6) for k, a in BLENDS.items()}
+    blends = {k: F.round(a * F.coalesce("own", "cat") + (1 - a) * F.coalesce("cat", "own") + OFF_TIES, 6) for k, a in BLENDS.items()}
     return df.withColumns(blends)
 
 
 BLEND_SQL = f"""{HISTORY}, d AS (SELECT o_orderpriority, o_orderdate::DATE AS day, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
 c AS (SELECT o_orderpriority, day, sum(s) OVER w / nullif(sum(n) OVER w, 0) AS cat FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS own FROM h),
-b AS (SELECT o.*, {", ".join(f"round({a} * coalesce(own, cat) + (1 - {a}) * coalesce(cat, own), 6) AS {k}" for k, a in BLENDS.items())}
+b AS (SELECT o.*, {", ".join(f"round({a} * coalesce(own, cat) + (1 - {a}) * coalesce(cat, own) + 3e-8, 6) AS {k}" for k, a in BLENDS.items())}
   FROM o LEFT JOIN c ON c.o_orderpriority = o.o_orderpriority AND c.day = o.o_orderdate::DATE)"""
 
 
@@ -162,11 +164,11 @@ def blend_selection(t: Tables) -> DataFrame:
     return best.select("b.model", F.round("b.v", 2).alias("validation_mae"), F.round("b.t", 2).alias("test_mae"))
 
 
-@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w / nullif(count(*) OVER w, 0), 6) AS prior_mean FROM orders
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w / nullif(count(*) OVER w, 0) + 3e-8, 6) AS prior_mean FROM orders
 WINDOW w AS (ORDER BY o_orderdate::DATE, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def global_prior_mean(t: Tables) -> DataFrame:
     df = t.orders.withColumn("day", F.to_date("o_orderdate"))
-    return windows.global_prior_mean(df, "day", ["o_orderkey"], MEASURE, "prior_mean").select("o_orderkey", F.round("prior_mean", 6).alias("prior_mean"))
+    return windows.global_prior_mean(df, "day", ["o_orderkey"], MEASURE, "prior_mean").select("o_orderkey", F.round(F.col("prior_mean") + OFF_TIES, 6).alias("prior_mean"))
 
 
 @query(f"""WITH {HISTORY}, g AS (SELECT season, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE) AS gap, lag(o_orderdate) OVER w > o_orderdate AS bad FROM h

@@ -53,10 +53,10 @@ def two_sided_expansion(t: Tables) -> DataFrame:
     return sided(t)
 
 
-@query(f"""WITH {SIDED}, g AS (SELECT l_orderkey, nation, other, round(sum(margin), 2) AS margin FROM x GROUP BY 1, 2, 3)
+@query(f"""WITH {SIDED}, g AS (SELECT l_orderkey, nation, other, round(sum(margin), 6) AS margin FROM x GROUP BY 1, 2, 3)
 SELECT a.l_orderkey, a.nation, a.other, a.margin, b.margin AS opponent_margin FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.nation = b.other AND a.other = b.nation""")
 def opponent_context(t: Tables) -> DataFrame:
-    g = sided(t).groupBy("l_orderkey", "nation", "other").agg(F.round(F.sum("margin"), 2).alias("margin"))
+    g = sided(t).groupBy("l_orderkey", "nation", "other").agg(F.round(F.sum("margin"), 6).alias("margin"))
     theirs = g.select("l_orderkey", F.col("nation").alias("other"), F.col("other").alias("nation"), F.col("margin").alias("opponent_margin"))
     return g.join(theirs, ["l_orderkey", "nation", "other"])
 
@@ -111,12 +111,12 @@ def normalise_contract(t: Tables) -> DataFrame:
     return tables.select_contract(df, planned, ["p_partkey", "name"])[0]
 
 
-@query("""SELECT p_partkey, p_name || ' | ' || p_brand AS label, p_retailprice AS price FROM part WHERE p_size IN (1, 5, 10, 15, 20) AND (contains(lower(p_name), 'part') OR contains(lower(p_type), 'brass'))
-  AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07 AND l_quantity > 48)""")
+@query("""SELECT p_partkey, p_name || ' | ' || p_brand AS label, p_retailprice AS price FROM part WHERE p_size IN (1, 5, 10, 15, 20) AND (contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'small'))
+  AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07 AND l_quantity > 48 AND l_returnflag = 'N')""")
 def search_and_filter(t: Tables) -> DataFrame:
-    found = t.part.where(F.col("p_size").isin(1, 5, 10, 15, 20) & S.any_contains("part", "p_name") | F.col("p_size").isin(1, 5, 10, 15, 20) & S.any_contains("BRASS", "p_type"))
+    found = t.part.where(F.col("p_size").isin(1, 5, 10, 15, 20) & (S.any_contains("Bolt", "p_name") | S.any_contains("small", "p_type")))
     wanted = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    unwanted = t.lineitem.where("l_tax > 0.07 and l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    unwanted = t.lineitem.where("l_tax > 0.07 and l_quantity > 48 and l_returnflag = 'N'").select(F.col("l_partkey").alias("p_partkey"))
     found = found.join(wanted, "p_partkey", "left_semi").join(unwanted, "p_partkey", "left_anti")
     return found.select("p_partkey", F.concat_ws(" | ", "p_name", "p_brand").alias("label"), F.col("p_retailprice").alias("price"))
 

@@ -164,11 +164,11 @@ def blend_selection(t: Tables) -> DataFrame:
     return best.select("b.model", F.round("b.v", 2).alias("validation_mae"), F.round("b.t", 2).alias("test_mae"))
 
 
-@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w / nullif(count(*) OVER w, 0) + 3e-8, 6) AS prior_mean FROM orders
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w / nullif(count(*) OVER w, 0) + 3e-5, 3) AS prior_mean FROM orders
 WINDOW w AS (ORDER BY o_orderdate::DATE, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def global_prior_mean(t: Tables) -> DataFrame:
     df = t.orders.withColumn("day", F.to_date("o_orderdate"))
-    return windows.global_prior_mean(df, "day", ["o_orderkey"], MEASURE, "prior_mean").select("o_orderkey", F.round(F.col("prior_mean") + OFF_TIES, 6).alias("prior_mean"))
+    return windows.global_prior_mean(df, "day", ["o_orderkey"], MEASURE, "prior_mean").select("o_orderkey", F.round(F.col("prior_mean") + 3e-5, 3).alias("prior_mean"))
 
 
 @query(f"""WITH {HISTORY}, g AS (SELECT season, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE) AS gap, lag(o_orderdate) OVER w > o_orderdate AS bad FROM h

@@ -98,12 +98,12 @@ def intervals(t: Tables) -> DataFrame:
     return metrics.apply_intervals(df.where("season = 2001"), quantiles, ["o_orderpriority"], "prediction")
 
 
-@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo), 2) AS lower_residual, round(max(hi), 2) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN lower AND upper THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(upper - lower), 2) AS width FROM i GROUP BY 1")
+@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo) + 3e-8, 6) AS lower_residual, round(max(hi) + 3e-8, 6) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN lower AND upper THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(upper - lower) + 3e-8, 6) AS width FROM i GROUP BY 1")
 def residual_intervals(t: Tables) -> DataFrame:
     inside = F.when(F.col(MEASURE).between(F.col("floor"), F.col("ceiling")), 1.0).otherwise(0.0)
     return intervals(t).groupBy("o_orderpriority").agg(
-        F.max("n_calibration").alias("n_calibration"), F.round(F.max("lower_residual"), 2).alias("lower_residual"), F.round(F.max("upper_residual"), 2).alias("upper_residual"),
-        F.count("*").alias("n_rows"), F.round(100 * F.avg(inside), 2).alias("coverage"), F.round(F.avg(F.col("ceiling") - F.col("floor")), 2).alias("width"),
+        F.max("n_calibration").alias("n_calibration"), F.round(F.max("lower_residual") + OFF_TIES, 6).alias("lower_residual"), F.round(F.max("upper_residual") + OFF_TIES, 6).alias("upper_residual"),
+        F.count("*").alias("n_rows"), F.round(100 * F.avg(inside), 2).alias("coverage"), F.round(F.avg(F.col("ceiling") - F.col("floor")) + OFF_TIES, 6).alias("width"),
     )
 
 

@@ -61,10 +61,10 @@ def line_history(t: Tables) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   round(sum(l_extendedprice) OVER w3 / nullif(sum(l_quantity) OVER w3, 0) + 3e-8, 6) AS price_per_unit_last3,
   coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w5, 0)::BIGINT AS returns_last5
-FROM j WINDOW w3 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
-  w5 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+FROM j WINDOW w3 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_shipdate ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+  w5 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_shipdate ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def trailing_ratio_features(t: Tables) -> DataFrame:
-    p = windows.Prior(["o_custkey"], ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    p = windows.Prior(["o_custkey"], ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate"])
     df = line_history(t).withColumn("returned", flag(F.col("l_returnflag") == "R"))
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

@@ -209,7 +209,10 @@ def test_knapsack_against_brute_force():
 def test_base_patterns():
     text = "a.b@c-d.org x@y 1.2.3.4 999.1.1.1 4111 1111 1111 1111 4111111111111112 +1 (415) 555-2671 +12"
     got = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)]
-    assert got == [("email", "a.b@c-d.org"), ("ip", "1.2.3.4"), ("phone", "+1 (415) 555-2671")] or ("card", "4111 1111 1111 1111") in got
+    # the digits from "1 4111" on are one match of 33 digits, which fails and isn't tried again
+    assert got == [("email", "a.b@c-d.org"), ("ip", "1.2.3.4"), ("phone", "+1 (415) 555-2671")]
+    text = "card 4111 1111-1111 1111, card 4111111111111112"
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)] == [("card", "4111 1111-1111 1111")]
 
 
 def test_random_field_learns_and_viterbi_is_exact():

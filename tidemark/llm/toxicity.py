@@ -23,7 +23,7 @@ EDGE = b".,;:!?\"'()|&%*#$<>"
 #: Calibration cells: word length by difference of compressed lengths.
 LENGTHS, DIFFS, LOW = 25, 16, -4
 #: Windows that a Python worker remembers.
-MEMORY = 1_000_000
+MEMORY = 200_000
 
 _models: dict = {}
 

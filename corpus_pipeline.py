@@ -2,7 +2,8 @@
 source and packed into training sequences.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of `documents`. doc_id identifies a document. Edge cases in every stage: null and empty texts are documents like others
+of `documents`. doc_id and text together identify a document, so that rows with a null doc_id, or with one doc_id and
+different texts, are documents of their own. Edge cases in every stage: null and empty texts are documents like others
 (blank ones are exact copies of each other); extra columns of the input travel along; an empty table gives an empty result.
 """
 
@@ -30,32 +31,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select("_row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Add `_key`, which is never null and sorts by doc_id first. Nulls inside a struct equal each other in joins."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("digest")))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id isn't in `dropped`. Only rows that a bucket filter of fixed size can't clear are shuffled."""
-    told = in_filter(docs, slot_of("doc_id"), dropped, slot_of("doc_id"), "_maybe")
-    unsure = told.where("_maybe").join(dropped.distinct(), "doc_id", "left_anti")
+    """Documents whose key isn't in `dropped`. Only rows that a bucket filter of fixed size can't clear are shuffled."""
+    told = in_filter(docs, slot_of("_key"), dropped, slot_of("_key"), "_maybe")
+    unsure = told.where("_maybe").join(dropped.distinct(), "_key", "left_anti")
     return told.where("not _maybe").select(*docs.columns).unionByName(unsure.select(*docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies; rows that repeat a document are one."""
-    found = progressive_dedup(docs)
-    kept = _without(docs, found.where("not kept").select("doc_id"))
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    told = in_filter(kept, slot_of("doc_id"), again, slot_of("doc_id"), "_again")
-    once = told.where("_again").select(*docs.columns).dropDuplicates(["doc_id"])
-    return told.where("not _again").select(*docs.columns).unionByName(once)
+    """One document of each group of exact copies; rows that repeat doc_id and text are one, the first by its other columns."""
+    keyed = _keyed(docs)
+    found = progressive_dedup(keyed, id_col="_key")
+    kept = _without(keyed, found.where("not kept").select("_key"))
+    again = found.where("kept").groupBy("_key").count().where("count > 1").select("_key")
+    told = in_filter(kept, slot_of("_key"), again, slot_of("_key"), "_again")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
+    once = told.where("_again").groupBy("_key").agg(F.min_by(F.struct(*names), others).alias("_row")).select("_row.*")
+    return told.where("not _again").select(*names).unionByName(once)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: similarity of at least 0.8 on shingles of five words."""
-    return _without(docs, near_duplicates(docs, width=5).where("not kept").select("doc_id"))
+    keyed = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed, id_col="_key", width=5).where("not kept").select("_key")).drop("_key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to target weights: a document appears as often as it's served, up to three times."""
-    served = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    repeated = docs.join(served, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    keyed = _keyed(docs)
+    # documents without an id are dealt by their texts, or they'd all share one place in the queue
+    name = F.coalesce(F.col("doc_id").cast("string"), F.hex("_key.digest"))
+    served = mix_sources(keyed, id_col="_key", name=name).where("copies > 0").groupBy("_key").agg(F.max("copies").alias("_copies"))
+    repeated = keyed.join(served, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)
 
 

@@ -313,3 +313,21 @@ def test_pipeline_stages(spark, folder):
         assert not sets[a] or not sets[b] or 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+
+
+def test_pipeline_keeps_rows_with_null_and_shared_ids(spark):
+    import corpus_pipeline as C
+
+    texts = [sentence(500 + i, 40) for i in range(12)]
+    rows = [(None, t, "s") for t in texts[:4]] + [(7, t, "s") for t in texts[4:8]] + [(i, texts[i], "s") for i in (8, 9)]
+    copies = [(None, texts[0], "s"), (7, texts[8], "s"), (7, texts[4], "t"), (None, texts[5].replace(" ", "  ", 1), "s"), (None, texts[9] + " end", "s")]
+    docs = spark.createDataFrame([*rows, *copies, (None, None, "s"), (None, "", "s")], "doc_id long, text string, source string")
+    exact = C.drop_copies(spark, docs, "")
+    norm = lambda df: sorted(re.sub(r"\s", "", r.text or "") for r in df.collect())
+    assert norm(exact) == sorted({re.sub(r"\s", "", t or "") for _, t, _ in [*rows, *copies, (0, "", "")]})
+    assert [r.source for r in exact.where(F.col("text") == texts[4]).collect()] == ["s"]
+    near = C.drop_near_copies(spark, exact, "")
+    assert near.count() == exact.count() - 1 and near.columns == docs.columns  # one text ends in " end"
+    mixed = C.mix(spark, near, "")
+    assert {r.text for r in mixed.collect()} == {r.text for r in near.collect() if r.text}
+    assert {r.doc_id for r in mixed.collect()} == {None, 7}

@@ -18,11 +18,11 @@ def words_of(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = None, source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = None, source_col: str = "source", name: Column | None = None) -> DataFrame:
     """Weighted fair queueing over the sources; returns one row per input row.
 
     Columns: the id, size, source_size, target, taken and copies (how often the document is served).
-    Every source's documents are shuffled by the MD5 of their id and may be served up to three times over. A copy's
+    Every source's documents are shuffled by the MD5 of their id (or of `name`) and may be served up to three times over. A copy's
     virtual finish time is the source's tokens so far divided by the source's weight. All copies are sorted by that
     time over the whole cluster (range partitions with prefix sums over the partitions) and cut where the total
     budget, the sum of all sizes, is used up. A source that runs out of copies leaves its share to the others, which
@@ -40,13 +40,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = N
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"),
         F.col(source_col).isNull().alias("_null"),
         (words_of() if size is None else size).alias("_size"),
+        F.md5(F.coalesce((F.col(id_col) if name is None else name).cast("string"), F.lit(""))).alias("_md5"),
     )
     totals = materialize(base.groupBy("_src", "_null").agg(F.sum("_size").alias("_total")))
     shares = materialize(source_shares(totals))
     by = ["_src", "_null"]
     # the number of sources isn't bounded, so Spark decides how this small side travels
-    queue = base.join(shares, by).withColumn("_md5", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    queue = queue.withColumn("_slot4k", F.conv(F.substring("_md5", 1, 3), 16, 10).cast("int"))
+    queue = base.join(shares, by).withColumn("_slot4k", F.conv(F.substring("_md5", 1, 3), 16, 10).cast("int"))
     placed = running_total(queue, by, "_slot4k", [F.col("_md5"), F.col("_id"), F.col("_size")], "_size", "_before")
     placed = placed.withColumn("_end", F.col("_before") + F.col("_size"))
     placed = materialize(placed.drop("_md5", "_slot4k"))

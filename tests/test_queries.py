@@ -59,3 +59,16 @@ def test_ridge_equals_the_closed_form(spark):
     beta = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean()))
     got = [r.prediction for r in models.predict_by_category(df, fitted, "g", ["a", "b"], ["y"]).collect()]
     assert np.allclose(got, z @ beta + y.mean(), atol=1e-6)
+
+
+def test_forest_and_boosting_have_the_published_size(spark):
+    import numpy as np
+
+    from tidemark.plans import models
+
+    x = np.random.default_rng(2).normal(size=(120, 2))
+    df = spark.createDataFrame([("c", float(a), float(b), float(a * b)) for a, b in x], "g string, a double, b double, y double")
+    trees = models.fit_by_category(df, "g", ["c"], ["a", "b"], "y", "forest")["c"].stages[-1]
+    assert trees.getNumTrees == 300 and (trees.getFeatureSubsetStrategy(), trees.getMinInstancesPerNode(), trees.getMaxDepth()) == ("0.7", 5, 30)
+    rounds = models.boosting("y")
+    assert (rounds.getMaxIter(), rounds.getStepSize(), rounds.getMaxDepth(), rounds.getMinInstancesPerNode()) == (300, 0.05, 5, 20)

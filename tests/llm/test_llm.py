@@ -331,3 +331,10 @@ def test_pipeline_keeps_rows_with_null_and_shared_ids(spark):
     mixed = C.mix(spark, near, "")
     assert {r.text for r in mixed.collect()} == {r.text for r in near.collect() if r.text}
     assert {r.doc_id for r in mixed.collect()} == {None, 7}
+
+
+def test_warc_keeps_every_payload_of_a_shared_id(spark):
+    df = spark.createDataFrame([(3, "u", "A"), (5, "u", "A"), (5, "u", "B")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df)).collect())
+    a, b = warc.sha1_base32(b"A"), warc.sha1_base32(b"B")
+    assert got == sorted([(3, a, "response", None), (5, a, "revisit", 3), (5, b, "response", None)])

@@ -136,11 +136,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of pages with equal payloads of at least `least` bytes, the one with the smallest id is a response and the
     others are revisits of it. Only digests are shuffled to find that out. The payloads of pages that are surely
     first stay where they are read; those that a bucket filter of fixed size can't tell apart from revisits go
-    through a join on the id.
+    through a join on the id and the digest.
 
     Edge cases: null html is an empty payload; null urls are written empty; a null id is a record without an id, and
-    sorts first among equals; rows that repeat id and payload are all responses if their id comes first; an
-    empty table gives no archives; other columns are ignored.
+    sorts first among equals; rows that repeat id and payload are all responses if their id comes first; rows that
+    share an id but not a payload are judged each by its own payload; an empty table gives no archives; other columns are ignored.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("body"))
     thin = base.select("id", "url", F.length("body").cast("long").alias("size"), F.unhex(F.sha1("body")).alias("digest"))
@@ -151,7 +151,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     revisits = thin.where(F.col("size") >= least).join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")))
     revisits = materialize(revisits.select("id", "url", "size", "digest", F.col("first.id").alias("refers_to")))
     told = in_filter(base, slot_of("id"), revisits, slot_of("id"), "maybe")
-    unsure = told.where("maybe").drop("maybe").join(revisits.select("id").distinct(), "id", "left_anti")
+    unsure = told.where("maybe").drop("maybe").withColumn("digest", F.unhex(F.sha1("body")))
+    unsure = unsure.join(revisits.select("id", "digest").distinct(), ["id", "digest"], "left_anti").drop("digest")
     responses = told.where(~F.col("maybe")).drop("maybe").unionByName(unsure)
     rows = responses.withColumns({"size": F.lit(None).cast("long"), "digest": F.lit(None).cast("binary"), "refers_to": F.lit(None).cast("long")})
     rows = rows.unionByName(revisits.withColumn("body", F.lit(None).cast("binary")))

@@ -86,6 +86,62 @@ def test_near_dedup_against_all_pairs(spark, docs, width):
     assert got == {(i, len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def edited_group(n, words=60, edits=2, seed=0):
+    """Copies of one text of `words` words, each with its own edits: most of them are similar, few are linked."""
+    base, out = sentence(77, words).split(), []
+    for k in range(n):
+        r, w = random.Random(seed + k), list(base)
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_large_group_of_near_copies_against_all_pairs(spark, edits):
+    rows = edited_group(600, edits=edits)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df, width=5).collect()}
+    assert got == {(i, find(i)) for i in sets}
+
+
+def test_prefix_join_loses_no_similar_pair(spark):
+    """All texts are open and every text is its own component: the join alone must bring every similar pair."""
+    rows = edited_group(60, words=80, edits=2) + [(100 + i, t + " " + sentence(i, i % 7)) for i, t in edited_group(60, words=80, edits=1, seed=500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.full_sets(df, "doc_id", "text", 4).select("id", "set", "sketch")
+    tried = near_dedup.prefix_pairs(sets.select("id", F.col("id").alias("comp")), sets, 80)
+    found = {tuple(r) for r in tried.collect()}
+    own = {i: shingles(t) for i, t in rows}
+    for a, b in itertools.combinations(sorted(own), 2):
+        both = len(own[a] & own[b])
+        if 100 * both >= 80 * (len(own[a]) + len(own[b]) - both):
+            assert (a, b) in found
+    assert len(found) < len(own) * (len(own) - 1) // 2
+
+
+def test_sketches_differ_no_more_than_their_sets():
+    import numpy as np
+
+    a = near_dedup._mix(np.arange(400, dtype=np.uint64))
+    for k in (0, 5, 50, 200):
+        x, y = (np.array(near_dedup.sketch(s), np.int64).view(np.uint8) for s in (a[: 200 + k], a[k:200]))
+        assert int(np.unpackbits(x ^ y).sum()) <= 2 * k
+
+
 def test_near_dedup_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
@@ -333,6 +389,49 @@ def test_pipeline_keeps_rows_with_null_and_shared_ids(spark):
     assert {r.doc_id for r in mixed.collect()} == {None, 7}
 
 
+CLASHING = ("_slot", "_maybe", "_again", "_copy", "_copies", "row", "key", "maybe", "copies", "count", "a.b", "offset", "score", "_text")
+
+
+def test_pipeline_stages_with_clashing_columns_nulls_and_nothing(spark):
+    import corpus_pipeline as C
+
+    stages = [C.drop_copies, C.drop_near_copies, C.mix]
+    texts = [sentence(600 + i, 40) for i in range(6)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (3, None), (4, ""), (4, ""), (5, texts[4] * 200), (6, texts[5]), (7, texts[5] + " end")]
+    plain = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain.select("*", *[F.lit(7).alias(c) for c in CLASHING])
+    expected = [None, None, None]
+    for docs in (plain, wide, wide.limit(0)):
+        for k, stage in enumerate(stages):
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            got = sorted(str((r[0], r[1])) for r in out.collect())
+            if docs.columns == wide.columns:
+                assert out.where(" and ".join(f"`{c}` = 7" for c in CLASHING)).count() == len(got)
+            if docs is not plain and docs is not wide:
+                assert not got
+            else:
+                expected[k] = expected[k] or got
+                assert got == expected[k]
+    assert len(expected[0]) == 8 and len(expected[1]) == 9 and not any("None)" in x for x in expected[2])
+    assert {r.doc_id for r in C.drop_near_copies(spark, wide.where("doc_id in (6, 7)"), "").collect()} == {6}
+
+
+def test_pipeline_drops_toxic_documents_and_keeps_all_columns(spark, folder):
+    import corpus_pipeline as C
+
+    bad = " worthless idiot scum loser filth vermin "
+    rows = [(i, sentence(i, 60) + (bad * 3 if i % 3 == 0 else " fine day outside")) for i in range(1, 240)] + [(None, None), (None, ""), (1000, sentence(5, 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(7).alias(c) for c in CLASHING])
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 240)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = C.drop_toxic(spark, docs, folder)
+    assert out.columns == docs.columns
+    got = [r.doc_id for r in out.collect()]
+    clean = [i for i, _ in rows if i is None or i % 3]
+    assert sum(i is not None and i < 240 and i % 3 == 0 for i in got) <= 8 and len(got) >= len(clean) - 8 and got.count(None) == 2
+    assert C.drop_toxic(spark, docs.limit(0), folder).count() == 0
+
+
 def test_warc_keeps_every_payload_of_a_shared_id(spark):
     df = spark.createDataFrame([(3, "u", "A"), (5, "u", "A"), (5, "u", "B")], "page_id long, url string, html string")
     got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df)).collect())

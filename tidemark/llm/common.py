@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 #: White space of the word rule: space and the ASCII controls 9 to 13.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slots of a bucket filter; a filter is at most this many longs, whatever the data.
-FILTER_SLOTS = 1 << 20
+#: Slots of a bucket filter, and how many of them may be taken: a filter is broadcast with at most that many longs, and
+#: then lets through an eighth of other rows at most.
+FILTER_SLOTS, FILTER_MOST = 1 << 23, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -34,6 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `materialize` wrote and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for at in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if at.rpartition("/")[2].startswith("table-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                with suppress(Exception):  # a folder that is gone already does no harm
+                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -49,14 +64,19 @@ def slot_of(*cols: str | Column) -> Column:
 
 def in_filter(df: DataFrame, slot: Column, members: DataFrame, member_slot: Column, flag: str) -> DataFrame:
     """Add boolean `flag`: whether a row's slot is one of the members' slots. Rows outside are certainly not
-    members; rows inside may be. The broadcast side holds at most FILTER_SLOTS longs, so it's bounded by design."""
-    slots = members.select(member_slot.alias("_slot")).distinct().withColumn(flag, F.lit(True))
+    members; rows inside may be, and callers settle them by a join. The broadcast side holds at most FILTER_MOST longs;
+    where the members take more slots than that, every row is flagged and the callers' join does all the work.
+    Columns of `df` whose names are `flag` or `_slot` are replaced."""
+    slots = members.select(member_slot.alias("_slot")).distinct()
+    if slots.limit(FILTER_MOST + 1).count() > FILTER_MOST:
+        return df.withColumn(flag, F.lit(True))
+    slots = slots.withColumn(flag, F.lit(True))
     return (
-        df.withColumn("_slot", slot)
+        df.drop(flag).withColumn("_slot", slot)
         .join(F.broadcast(slots), "_slot", "left")
         .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
         .drop("_slot")
-    )
+    )
 
 
 def running_total(df: DataFrame, by: list[str], slot: str, order: list[Column], value: str, out: str) -> DataFrame:

@@ -51,8 +51,11 @@ def progressive_dedup(
         .where("_size > 1")
         .select("_hash", "_size", F.col("_best.i").alias("_keep"))
     )
+    # settled rows have no partner and, unless all are digested, no hash: they stay out of the join
+    alone = rows.where("not _open").select("_id", "_hash", F.lit(None).cast("long").alias("_size"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_keep"))
+    joined = rows.where("_open").join(groups, "_hash", "left").select("_id", "_hash", "_size", "_keep").unionByName(alone)
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return rows.join(groups, "_hash", "left").select(
+    return joined.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),

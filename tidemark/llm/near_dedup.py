@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_filter, materialize, slot_of, text_chunks
+from tidemark.llm.common import discard, in_filter, materialize, slot_of, text_chunks
 
 #: Each permutation gives its minimum and its maximum, so PERMUTATIONS hash evaluations give twice as many values:
 #: BANDS bands of ROWS values. Two sets with similarity 0.8 miss each other in every band with a probability of 3e-7.
 PERMUTATIONS, ROWS = 150, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 SEED = 20240229
+#: Buckets are tried in rounds of this many sixteenths of them each.
+ROUNDS = (1, 4, 11)
+#: Longs of a set's parity sketch, the ratio of successive length classes, and how many sets that share a shingle are
+#: compared in one task with the others that do.
+SKETCH, CLASS_RATIO, SALT_ROWS = 8, 1.05, 4096
 
 
 def word_hashes(texts: list[bytes]):
@@ -112,7 +118,10 @@ def fingerprint(shingles) -> bytes | None:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> DataFrame:
-    """id, n_shingles, print (fingerprint of the set, null for empty sets), bands."""
+    """id, n (size of the shingle set), print (fingerprint of the set, null for empty sets), bands.
+
+    Edge cases: null and empty texts have n 0, a null print and no bands; repeated rows stay; an empty table gives an
+    empty result; other columns are ignored."""
     picked = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
 
     def run(batches):
@@ -134,8 +143,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> D
     return picked.mapInArrow(run, f"id {kind}, n long, print binary, bands array<long>")
 
 
+def sketch(shingles) -> list[int]:
+    """Parities of how many shingles fall into each of 64 * SKETCH cells. Two sets differ in at least as many shingles
+    as their sketches differ in bits."""
+    import numpy as np
+
+    cells = (shingles >> np.uint64(20)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits(np.bincount(cells, minlength=64 * SKETCH) & 1).view(np.int64).tolist()
+
+
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> DataFrame:
-    """id, print (fingerprint as in `signatures`) and set: the sorted distinct shingle hashes of whole texts."""
+    """id, print (fingerprint as in `signatures`), set: the sorted distinct shingle hashes of whole texts, and its sketch.
+
+    Edge cases: null and empty texts have an empty set and a null print; repeated rows stay; an empty table gives an
+    empty result; other columns are ignored."""
     picked = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
 
     def run(batches):
@@ -148,29 +169,44 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> Da
             flat = np.concatenate(sets).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             prints = pa.array([fingerprint(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), prints, lists], ["id", "print", "set"])
+            sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), prints, lists, sketches], ["id", "print", "set", "sketch"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, print binary, set array<long>")
+    return picked.mapInArrow(run, f"id {kind}, print binary, set array<long>, sketch array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp) for every node: comp is the smallest id reachable over `links` (a, b). Labels spread to neighbours and
-    then jump to their label's label, so long chains take few rounds; every round is written to the shared folder."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp) for every end of `links` (a, b): comp is the smallest id reachable. Labels spread to neighbours and then
+    jump to their label's label, so long chains take few rounds; every round is written to the shared folder."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = materialize(nodes.select("id", F.col("id").alias("comp")))
+    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")))
     while True:
         near = edges.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("to"))
-        spread = materialize(spread)
+        spread = materialize(labels.join(near, "id").select("id", "comp", F.least("comp", "near").alias("to")))
         jump = spread.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        moved = spread.join(jump, "to", "left").select("id", F.least("to", F.coalesce("far", "to")).alias("comp"), F.col("comp").alias("was"))
-        moved = materialize(moved)
+        moved = materialize(spread.join(jump, "to").select("id", F.least("to", "far").alias("comp"), F.col("comp").alias("was")))
+        done = moved.where("comp < was").isEmpty()
+        discard(labels, spread)
         labels = moved.select("id", "comp")
-        if moved.where("comp < was").isEmpty():
+        if done:
+            discard(edges)
             return labels
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (id, comp) after merging components along `links` (a, b): only the graph of components is searched."""
+    one = links.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
+    both = one.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b").where("x <> y")
+    between = materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    moved = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    out = materialize(labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+    discard(labels, between, moved)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have at least `percent` hundredths of their union in common."""
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -184,111 +220,119 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Link texts by the Jaccard similarity of their word shingles; one row per document: the id, n_shingles, component_id
     (smallest id reachable over links, itself included), kept (the id is its component's).
 
-    1. Texts with equal sets are represented by their smallest id.
-    2. Representatives that share a band are candidates. A bucket doesn't emit its pairs: each member is tried
-       against the bucket's first member and against its predecessor by size, on full sets.
-    3. Buckets whose members now lie in several components are settled exactly. A shingle that only one of their
-       documents has can't be shared, which bounds every similarity from above; documents and pairs that this bound
-       rules out are dropped without loss. First each bucket's members are tried against the one with fewest such
-       shingles, then all pairs left between different components are compared inside the join, which emits links only.
-    Only candidates' texts are read a second time, found by a bucket filter of fixed size.
+    1. Texts with equal sets are represented by one key, the set's fingerprint.
+    2. Keys that share a band are in one bucket. Buckets are tried in a few rounds: each member that isn't in the
+       component of its bucket's smallest set is compared with that set, on full sets, and components are merged. So
+       a bucket costs a pair a member at most, and members whose component is settled cost nothing in later rounds.
+    3. What still lies in buckets of several components is settled exactly, by a prefix join on rare shingles
+       (`prefix_pairs`), whose candidates are bounded by what the texts really share.
+    Only candidates' texts are read a second time, found by a bucket filter of checked size.
 
     Edge cases: words are separated by space and ASCII controls 9 to 13 and lower-cased in A-Z only; a text with
     fewer words than `width` has one shingle; null texts and texts without words have none and stand alone; rows
     with a null id take their text's component if other rows have one, and stand for nobody; rows that repeat an id
     are judged by their own texts; an empty table gives an empty result; other columns are ignored.
     """
-    signed = materialize(signatures(docs, id_col, text_col, width))
+    picked = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    signed = materialize(signatures(picked, "_doc", "_text", width))
     reps = signed.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # one id may stand for several texts if ids repeat: the text is then named by its fingerprint
     reps = materialize(reps.select(F.col("print").alias("key"), "id", "n", "bands"))
     bands = reps.select(F.explode("bands").alias("band"), "key", "n")
-    by_size = Window.partitionBy("band").orderBy("n", "key")
-    members = bands.select(
-        "band", "key", "n",
-        F.first("key").over(by_size).alias("head"), F.first("n").over(by_size).alias("head_n"),
-        F.lag("key").over(by_size).alias("prior"), F.lag("n").over(by_size).alias("prior_n"),
-        F.lead("key").over(by_size).alias("next"),
-    ).where("prior is not null or next is not null")
-    members = materialize(members)
-    close = lambda n, m: F.least(n, m) * 100 >= percent * F.greatest(n, m)
-    tried = members.where("prior is not null")
-    pairs = tried.where(close(F.col("n"), F.col("prior_n"))).select(F.col("prior").alias("a"), F.col("key").alias("b"))
-    pairs = pairs.union(tried.where(close(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("key").alias("b")))
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
+    shared = materialize(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"))
+    members = materialize(bands.join(shared, "band"))
     nodes = materialize(members.select("key").distinct().join(reps.select("key", "id"), "key").select(F.col("key").alias("id"), F.col("id").alias("doc")))
-    ids = nodes.select(F.col("doc").alias("_doc"))
-    again = in_filter(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")), slot_of("_doc"), ids, slot_of("_doc"), "_maybe")
-    found = again.where("_maybe").join(ids.distinct(), "_doc", "left_semi")
-    sets = full_sets(found, "_doc", "_text", width)
-    # ids that repeat may bring other texts along, which the fingerprint tells apart
-    sets = sets.select(F.col("print").alias("id"), "set").join(nodes.select("id"), "id", "left_semi")
-    sets = materialize(sets.dropDuplicates(["id"]))
-
-    links = materialize(verified(pairs, sets, percent))
-    labels = components(nodes, links)
-    open_members = _open_members(members, labels, sets, percent)
-    more = materialize(_centre_pairs(open_members, percent).distinct().join(pairs, ["a", "b"], "left_anti"))
-    new = materialize(verified(more, sets, percent))
-    if not new.isEmpty():
-        links = links.union(new)
-        labels = components(nodes, links)
-        open_members = _open_members(members, labels, sets, percent)
-    last = materialize(_rest_links(open_members, sets, percent).distinct())
-    if not last.isEmpty():
-        labels = components(nodes, links.union(last))
+    sets = materialize(_sets_of(picked, nodes, width))
+
+    labels = materialize(nodes.select("id", F.col("id").alias("comp")))
+    tried = None
+    for k, share in enumerate(ROUNDS):
+        first = sum(ROUNDS[:k])
+        slot = F.pmod(F.xxhash64("band"), F.lit(sum(ROUNDS)))
+        pairs = _head_pairs(members.where((slot >= first) & (slot < first + share)), labels, percent)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        labels = relabelled(labels, materialize(verified(pairs, sets, percent)))
+    unsettled = materialize(_unsettled(members, labels))
+    rest = materialize(prefix_pairs(unsettled, sets, percent).join(tried, ["a", "b"], "left_anti"))
+    labels = relabelled(labels, materialize(verified(rest, sets, percent)))
 
     # back to documents: by fingerprint, then once more over ids that repeat
     named = reps.select("key", "id").join(labels.withColumnRenamed("id", "key"), "key", "left").select("key", "id", F.coalesce("comp", "key").alias("comp"))
-    best = named.groupBy("comp").agg(F.min("id").alias("best"))
+    named = materialize(named)
+    best = materialize(named.groupBy("comp").agg(F.min("id").alias("best")))
     of_key = materialize(named.join(best, "comp").select(F.col("key").alias("print"), "best"))
+    discard(members, shared, nodes, sets, tried, unsettled, rest, named, best, reps)
     rows = signed.select("id", "n", "print").join(of_key, "print", "left").select("id", "n", F.coalesce("best", "id").alias("best"))
     return rows.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("best").alias("component_id"), F.col("id").eqNullSafe(F.col("best")).alias("kept")
     )
 
 
-def _open_members(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (band, key, n, own, comp) of buckets with several components, without those that can't be similar to
-    any other: `own` counts the shingles that no other document of these buckets has."""
-    named = materialize(members.select("band", "key", "n").join(labels.withColumnRenamed("id", "key"), "key"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    mixed = materialize(mixed)
-    inside = materialize(named.join(mixed, "band"))
-    keys = inside.select("key").distinct()
-    lone = (
-        sets.join(keys.withColumnRenamed("key", "id"), "id", "left_semi")
-        .select(F.explode("set").alias("shingle"), "id")
-        .groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-        .groupBy("id").agg(F.count("*").alias("own"))
-    )
-    lone = materialize(lone)
-    counted = inside.join(lone.withColumnRenamed("id", "key"), "key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    # even if all its other shingles are shared: with a smaller or equal text, at most (n - own) / n
-    return materialize(counted.where((F.col("n") - F.col("own")) * 100 >= percent * F.col("n")))
-
-
-def _bound(percent: int):
-    """Whether two members may be similar: what both share is at most the smaller rest, the union at least the larger
-    rest and both own parts."""
-    x, y = F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own")
-    return F.least(x, y) * 100 >= percent * (F.greatest(x, y) + F.col("x.own") + F.col("y.own"))
-
-
-def _centre_pairs(open_members: DataFrame, percent: int) -> DataFrame:
-    by_own = Window.partitionBy("band").orderBy("own", "key")
-    first = F.first(F.struct("key", "n", "own", "comp")).over(by_own).alias("x")
-    tried = open_members.select(first, F.struct("key", "n", "own", "comp").alias("y")).where("x.comp <> y.comp").where(_bound(percent))
-    return tried.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-
-
-def _rest_links(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within a bucket. Full sets are compared where the pairs meet, so only links
-    leave the join, however large a bucket is."""
-    held = materialize(open_members.join(sets.withColumnRenamed("id", "key"), "key"))
-    x, y = held.alias("x"), held.alias("y")
-    both = F.size(F.array_intersect("x.set", "y.set"))
-    enough = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
-    on = [F.col("x.band") == F.col("y.band"), F.col("x.comp") < F.col("y.comp"), _bound(percent), enough]
-    return x.join(y, reduce(lambda p, q: p & q, on)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+def _sets_of(picked: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """id (the key), set and sketch of every node, from the texts of the documents that stand for them."""
+    ids = nodes.select(F.col("doc").alias("_doc")).distinct()
+    again = in_filter(picked, slot_of("_doc"), ids, slot_of("_doc"), "_maybe")
+    found = again.where("_maybe").select("_doc", "_text").join(ids, "_doc", "left_semi")
+    # ids that repeat may bring other texts along, which the fingerprint tells apart
+    sets = full_sets(found, "_doc", "_text", width).select(F.col("print").alias("id"), "set", "sketch")
+    return sets.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def _close(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= percent * F.greatest(n, m)
+
+
+def _head_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the smallest set of each bucket with the members of other components."""
+    named = members.join(labels.select(F.col("id").alias("key"), "comp"), "key")
+    heads = named.groupBy("band").agg(F.min(F.struct("n", "key", "comp")).alias("head"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    named, heads = materialize(named), materialize(heads.select("band", "head"))
+    tried = named.join(heads, "band").where((F.col("comp") != F.col("head.comp")) & _close(F.col("n"), F.col("head.n"), percent))
+    return tried.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct()
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp) of the members of buckets that still hold several components."""
+    named = materialize(members.select("band", "key").join(labels.select(F.col("id").alias("key"), "comp"), "key"))
+    mixed = materialize(named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band"))
+    return named.join(mixed, "band").select(F.col("key").alias("id"), "comp").distinct()
+
+
+def prefix_pairs(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of `open_sets` (id, comp) in different components whose sets may have the similarity `percent`.
+
+    Shingles are ordered from rare to frequent. Two sets of n and m shingles with that similarity share at least
+    o = percent (n + m) / (100 + percent) of them, so the first shingle that they share stands before place n - o + 1 in
+    the one and m - o + 1 in the other: only such prefixes meet, by shingle and class of length, and a shingle that
+    one set alone has meets nothing. A frequent shingle is salted. Pairs whose parity sketches show more differing
+    shingles than n + m - 2 o are left out. All of this is exact: no pair that is similar enough is lost.
+    """
+    held = sets.join(open_sets, "id").select("id", "comp", "set", "sketch", F.size("set").cast("long").alias("n"))
+    held = materialize(held)
+    items = held.select("id", "n", F.explode("set").alias("shingle"))
+    seen = materialize(items.groupBy("shingle").agg(F.count("*").alias("df")))
+    ranked = items.join(seen, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1)
+    ceil = lambda x, y: F.floor((x + (y - 1)) / y)
+    prefix = ranked.where(F.col("df") > 1).where(F.col("place") <= F.col("n") - ceil(percent * F.col("n"), 100))
+    bits = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+    prefix = materialize(prefix.select("id", "shingle", "df", "place").join(held.select("id", "comp", "n", *bits), "id"))
+
+    length = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO)))
+    n, place = F.col("n"), F.col("place")
+    salts = ceil(F.col("df"), SALT_ROWS)
+    # of a pair, the smaller set (by n, then id) is on the left side
+    small = prefix.where(place <= n - ceil(2 * percent * n, 100 + percent))
+    small = small.withColumns({"length": length(n), "salt": F.pmod(F.xxhash64("id"), salts)})
+    most = F.least(n, F.floor((n - place) * (100 + percent) / percent) - n)
+    large = prefix.where(most >= F.greatest(ceil(percent * n, 100), F.lit(1)))
+    large = large.withColumn("length", F.explode(F.sequence(length(ceil(percent * n, 100)), length(most))))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    x, y = small.alias("x"), large.alias("y")
+    both = ceil(percent * (F.col("x.n") + F.col("y.n")), 100 + percent)
+    differ = reduce(add, [F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)])
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "length", "salt")]
+    on += [F.col("x.comp") != F.col("y.comp"), F.struct("x.n", "x.id") < F.struct("y.n", "y.id")]
+    on += [F.col("x.n") - F.col("x.place") >= both, F.col("y.n") - F.col("y.place") >= both, differ <= F.col("x.n") + F.col("y.n") - 2 * both]
+    met = x.join(y, reduce(lambda p, q: p & q, on))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

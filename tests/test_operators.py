@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import identity, joins, metrics, quality, ranking, reshape, windows
+from tidemark.operators import facts, identity, joins, metrics, quality, ranking, reshape, windows
 from tidemark.sources import tables
 from tidemark.streaming.latest import latest_stream
 
@@ -16,17 +16,17 @@ def rows(df, *order):
 
 
 def test_prior_window_never_sees_its_row(spark):
-    df = spark.createDataFrame([(2024, 1, "a", 4.0), (2024, 2, "a", 20.0), (2025, 1, "a", 8.0)], "season int, week int, k string, v double")
+    df = spark.createDataFrame([(2030, 3, "a", 1.5), (2030, 7, "a", 6.5), (2031, 2, "a", 9.0), (2031, 5, "a", 3.0)], "season int, week int, k string, v double")
     out = windows.prior_features(df, windows.Prior(["k"], ["season", "week"], "season"), ["v"]).orderBy("season", "week")
     got = [(r.v_prev, r.v_last3, r.v_season, r.prior_rows, r.prior_season_rows) for r in out.collect()]
-    assert got == [(None, None, None, 0, 0), (4.0, 4.0, 4.0, 1, 1), (20.0, 12.0, None, 2, 0)]
+    assert got == [(None, None, None, 0, 0), (1.5, 1.5, 1.5, 1, 1), (6.5, 4.0, None, 2, 0), (9.0, 17 / 3, 9.0, 3, 1)]
 
 
 def test_bands_and_scores(spark):
-    bands = [(0, 5), (6, 4), (13, 3), (17, 1), (27, 0), (34, -1), (45, -3), (None, -5)]
-    df = spark.createDataFrame([(float(x),) for x in (0, 6, 13, 17, 27, 34, 45, 46)] + [(None,)], "v double")
-    assert [r[0] for r in df.select(S.band_score("v", bands)).collect()] == [5, 4, 3, 1, 0, -1, -3, -5, None]
-    one = spark.createDataFrame([(2, None)], "a int, b int").select(S.linear_score({"a": 1.5, "b": 9}), S.floor_at(F.lit(-2.5)), S.ratio(F.lit(1), F.lit(0)))
+    bands = [(2.5, 9), (100, 7), (None, -1)]
+    df = spark.createDataFrame([(float(x),) for x in (-8, 2.5, 2.6, 100, 100.1)] + [(None,)], "v double")
+    assert [r[0] for r in df.select(S.band_score("v", bands)).collect()] == [9, 9, 7, 7, -1, None]
+    one = spark.createDataFrame([(2, None)], "a int, b int").select(S.linear_score({"a": 1.5, "b": 9}), S.floor_at(F.lit(-7.25)), S.ratio(F.lit(1), F.lit(0)))
     assert tuple(one.first()) == (3.0, 0.0, None)
 
 
@@ -95,7 +95,10 @@ def test_checks_and_replay(spark):
     got = {r.check_name: r.status for r in quality.counted_checks(df, {"null": F.col("v").isNull(), "id": F.col("id") < 0}).collect()}
     assert got == {"null": "FAIL", "id": "PASS"}
     other = spark.createDataFrame([(1, 1.0), (3, 2.0)], "id int, v double")
-    assert {r.check_name: r.actual for r in quality.replay_difference(df, other, ["id"], ["v"]).collect()} == {"v": 0, "only_old": 1, "only_new": 1}
+    assert {r.check_name: r.actual for r in quality.replay_difference(df, other, ["id"], ["v"]).collect()} == {"v": 0, "only_old": 1, "only_new": 1, "any_row": 2}
+    one = spark.createDataFrame([(1, "x", dt.date(2024, 1, 1)), (2, None, None)], "id int, s string, d date")
+    two = spark.createDataFrame([(1, "y", dt.date(2024, 1, 1)), (2, None, dt.date(2024, 1, 2))], "id int, s string, d date")
+    assert {r.check_name: r.actual for r in quality.replay_difference(one, two, ["id"], ["s", "d"]).collect()} == {"s": 1, "d": 1, "only_old": 0, "only_new": 0, "any_row": 2}
 
 
 def test_sources_and_sinks(spark, folder):
@@ -114,6 +117,102 @@ def test_sources_and_sinks(spark, folder):
         tables.select_contract(df, {"id": "bigint"}, ["gone"])
 
 
+def test_strict_modes_raise(spark):
+    df = spark.createDataFrame([("7",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.where("s is null or s <> 'x'").select(S.number("s", strict=True)).collect()] == [7.0, None]
+    with pytest.raises(Exception, match="not a number: x"):
+        df.select(S.number("s", strict=True)).collect()
+    with pytest.raises(Exception, match="in no split: 9"):
+        spark.createDataFrame([(9,)], "y int").select(S.split_label("y", {"a": [1]}, strict=True)).collect()
+    day = dt.datetime(2024, 1, 1)
+    tied = spark.createDataFrame([("a", day, 1), ("a", day, 2), (None, day, 3), (None, day, 4)], "k string, t timestamp, id int")
+    with pytest.raises(ValueError):
+        identity.latest_guarded(tied, ["k"], "t")
+    assert identity.latest_guarded(tied.where("id <> 2"), ["k"], "t").count() == 3
+    names = spark.createDataFrame([(1, "one")], "k int, v string")
+    with pytest.raises(Exception, match="no v for 2"):
+        facts.preferred_lookup(spark.createDataFrame([(1,), (2,)], "k int"), [(names, "k")], "v", "out").collect()
+
+
+def test_facts(spark):
+    df = spark.createDataFrame([(1, "h", "a", 3, "x"), (1, "a", "h", 5, "y"), (2, "h", "b", 7, "x")], "e int, team string, other string, v int, kind string")
+    sums = facts.conditional_sums(df, ["e"], {"all": (F.col("v"), None), "x": (F.col("v"), F.col("kind") == "x"), "z": (F.col("v"), F.col("kind") == "z")})
+    assert rows(sums, "e") == [(1, 8, 3, 0), (2, 7, 7, 0)]
+    own = facts.with_opponent(df, ["e"], "team", "other", ["v"])
+    assert rows(own.select("e", "team", "opponent_v"), "e", "team") == [(1, "a", 3), (1, "h", 5), (2, "h", None)]
+    parts = facts.bucket_sums(df, ["e"], F.col("v"), {"low": F.col("v") < 5, "high": F.col("v") > 5}, "total")
+    assert rows(parts.select("e", "total", "parts_gap"), "e") == [(1, 8, 5), (2, 7, 0)]
+    both = facts.unify({"old": (df, {"k": F.col("e")}), "new": (df, {"k": F.col("v"), "s": F.col("kind")})}, {"k": "bigint", "s": "string"})
+    assert both.count() == 6 and both.where("s is null").count() == 3
+    assert facts.event_sides(df, ["e"], F.col("team"), F.lit(dt.date(2024, 1, 1))).first().sides == "a @ h"
+    assert rows(reshape.numbered(df, ["kind"], ["v"], "place").select("v", "place"), "place") == [(3, 1), (7, 2), (5, 3)]
+    weighed = spark.createDataFrame([(1.0, 1), (4.0, 2), (None, 9)], "v double, w int").agg(facts.weighted_mean("v", "w"))
+    assert weighed.first()[0] == 3.0
+
+
+def test_scores_by_profile_and_category(spark):
+    df = spark.createDataFrame([("p", 2, 3, None), ("q", 2, None, 4), (None, 1, 1, 1)], "c string, a int, b int, d int")
+    assert [r[0] for r in df.select(S.by_category("c", {"p": ["a", "b", "d"], "q": ["d"]})).collect()] == [5, 4, 0]
+    scores = S.profile_scores({"one": {"a": 1.0}, "two": {"a": 2.0, "b": 1.0}}, {"two": ("b", [(2, 10.0), (None, 20.0)])})
+    assert rows(df.select(*[v.alias(k) for k, v in scores.items()]), "one_points", "two_points") == [(1.0, 13.0), (2.0, 4.0), (2.0, 27.0)]
+    assert facts.profile_columns(df.withColumns(scores), ["c"], "one", ["points"]).columns == ["c", "points"]
+    assert [r.c for r in df.orderBy(S.in_order("c", ["q"]), F.col("a").desc()).collect()] == ["q", "p", None]
+    near = df.select(S.nearest(F.array(F.lit("x"), F.lit("y")), F.array(F.lit(1), F.lit(5)), F.col("a") + 1))
+    assert [r[0] for r in near.collect()] == ["x", "x", "x"]
+
+
+def test_lineup_with_overrides_and_gaps(spark):
+    df = spark.createDataFrame([(1, "A", 9.0, False), (2, "A", 8.0, True), (3, "B", 7.0, False)], "id int, p string, s double, gone boolean")
+    marked = ranking.with_unavailable(df.withColumn("g", F.lit(1)), "p", F.lit(True), F.col("gone"))
+    assert rows(marked.select("id", "override"), "id") == [(1, ""), (2, "UNAVAILABLE"), (3, "")]
+    filled = ranking.fill_quotas(marked, ["g"], "p", F.col("usable"), [F.col("s").desc()], {"A": 2, "B": 1}, ["A", "B"], 1)
+    gaps = ranking.slot_gaps(filled, ["g"], {"A": 2, "B": 1}, "p", 1)
+    assert rows(gaps.select("p", "filled", "gap"), "p") == [("A", 1, 1), ("B", 1, 0), ("FLEX", 0, 1)]
+
+
+def test_strict_day_mean_and_cutoff_ratios(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 3, 9.0)], "day int, id int, v double")
+    strict = windows.global_prior_mean(df, "day", ["id"], "v", "m", strict_day=True)
+    assert rows(strict.select("id", "m"), "id") == [(1, None), (2, None), (3, 3.0)]
+    history = df.withColumns({"k": F.lit("a"), "f": F.lit(1), "w": F.lit(2.0)})
+    out = windows.cutoff_ratios(history, spark.createDataFrame([("a",), ("b",)], "k string"), ["k"], ["day", "id"], F.col("day") < 9, {"r": ("v", "w", 2)}, {"n": ("f", 5)})
+    assert rows(out.select("k", "r", "n"), "k") == [("a", 3.25, 3), ("b", None, 0)]
+
+
+def test_zones_on_the_edges_of_daylight_saving(spark):
+    df = spark.createDataFrame([("2024-03-10", "01:59"), ("2024-03-10", "03:00"), ("2024-11-03", "00:30"), ("2024-11-03", "02:00"), ("2024-13-01", "00:00")], "d string, t string")
+    got = [str(r[0]) for r in df.select(S.zoned_to_utc("d", "t", "America/New_York")).collect()]
+    assert got == ["2024-03-10 06:59:00", "2024-03-10 07:00:00", "2024-11-03 04:30:00", "2024-11-03 07:00:00", "None"]
+
+
+def test_files_against_their_manifest_and_pushed_filters(spark, folder):
+    df = spark.createDataFrame([(1, 2023, "a"), (2, 2024, None), (3, 2024, "c")], "id int, season int, s string")
+    tables.write_partitioned(df.coalesce(1), f"{folder}/p", ["season"])
+    manifest = spark.createDataFrame([(2023, 1, 1), (2024, 9, 1), (2025, 1, 1)], "season int, n_rows long, n_files long")
+    got = rows(tables.reconcile_files(spark, f"{folder}/p", manifest, ["season"], "id:int,s:string").select("season", "status"), "season")
+    assert got == [(2023, "PASS"), (2024, "FAIL"), (2025, "FAIL")]
+    assert {r.status for r in tables.reconcile_files(spark, f"{folder}/p", manifest, ["season"], "id:int").collect()} == {"FAIL"}
+    read = tables.read_history(spark, f"{folder}/p", ["id"], F.col("id") > 1)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,1)" in plan and "struct<id:int>" in plan and read.count() == 2
+    assert tables.history_until(df, "season", "id", 2024, 2).count() == 2
+    states = {r.column_name: (r.state, r.n_known) for r in tables.contract_states(df, ["id", "gone"], ["s"]).collect()}
+    assert states == {"id": ("PRESENT", 3), "gone": ("MISSING", 0), "season": ("UNEXPECTED", 3), "s": ("FORBIDDEN", 2)}
+
+
+def test_suites(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "c")], "k int, v string")
+    got = {r.check_name: r.actual for r in quality.one_to_one(df, {"m": ("k", "v")}).collect()}
+    assert got == {"m_a_to_many_b": 0, "m_b_to_many_a": 1}
+    risks = {r.risk: r.action for r in quality.register({"x": (df, "do"), "y": (df.limit(0), "do")}).collect()}
+    assert risks == {"x": "do", "y": "NONE"}
+    old = spark.createDataFrame([(1, "c", 1.0), (2, "c", 2.0), (3, "d", 3.0)], "k int, g string, p double")
+    found = {r.g: (r.n_missing, r.n_mismatch, r.status) for r in quality.parity(old, old.where("k < 3").withColumn("p", F.col("p") + F.when(F.col("k") == 2, 1.0).otherwise(0.0)), ["k"], "g", "p", 1e-9).collect()}
+    assert found == {"c": (0, 1, "FAIL"), "d": (1, 0, "FAIL"), "ALL": (1, 1, "FAIL")}
+    pairs = joins.disagreements(old, old.withColumn("q", F.lit(1.0)).drop("g", "p"), ["k"], {"p": ("p", "q")})
+    assert rows(pairs.select("k", "left_value"), "k") == [(2, "2.0"), (3, "3.0")]
+
+
 def test_latest_stream(spark, folder):
     spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], "k string, t int, id int").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("k string, t int, id int").parquet(f"{folder}/in")

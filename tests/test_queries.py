@@ -1,5 +1,6 @@
 """Every demonstration query that SQL can express, against DuckDB on the smallest driver tables."""
 
+import decimal
 import math
 import os
 
@@ -25,6 +26,8 @@ def duck():
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 4)
+    if isinstance(v, decimal.Decimal):
+        return round(float(v), 4)
     return str(v)[:19] if hasattr(v, "isoformat") else v
 
 
@@ -54,21 +57,61 @@ def test_ridge_equals_the_closed_form(spark):
     x = rng.normal(size=(200, 2))
     y = x @ [2.0, -1.0] + rng.normal(size=200)
     df = spark.createDataFrame([("c", float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "g string, a double, b double, y double")
-    fitted = models.fit_by_category(df, "g", ["c"], ["a", "b"], "y", "ridge", alpha=10.0)
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    df = df.unionByName(spark.createDataFrame([("c", None, 1.0, None), (None, 1.0, 1.0, 5.0)], df.schema))
+    fitted = models.fit_ridge(df, "g", ["a", "b"], "y", alpha=10.0)
+    z = (x - x.mean(0)) / x.std(0)
     beta = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean()))
-    got = [r.prediction for r in models.predict_by_category(df, fitted, "g", ["a", "b"], ["y"]).collect()]
-    assert np.allclose(got, z @ beta + y.mean(), atol=1e-6)
+    got = models.routed(df, fitted, "g", ["a", "b"]).collect()
+    assert np.allclose([r.prediction for r in got if r.y is not None and r.g], z @ beta + y.mean(), atol=1e-6)
+    assert [r.route for r in got if r.g is None] == ["NO_MODEL"] and sum(r.route == "MODEL" for r in got) == 201
 
 
-def test_forest_and_boosting_have_the_published_size(spark):
+def test_ridge_with_texts_and_missing_values(spark):
     import numpy as np
 
     from tidemark.plans import models
 
-    x = np.random.default_rng(2).normal(size=(120, 2))
-    df = spark.createDataFrame([("c", float(a), float(b), float(a * b)) for a, b in x], "g string, a double, b double, y double")
-    trees = models.fit_by_category(df, "g", ["c"], ["a", "b"], "y", "forest")["c"].stages[-1]
-    assert trees.getNumTrees == 300 and (trees.getFeatureSubsetStrategy(), trees.getMinInstancesPerNode(), trees.getMaxDepth()) == ("0.7", 5, 30)
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.choice(["p", "q"])), None if k % 9 == 0 else float(rng.normal()), None if k % 11 == 0 else str(rng.choice(["u", "v", "w"])), float(rng.normal())) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, a double, s string, y double")
+    found = models.fit_ridge(df, "g", ["a"], "y", alpha=3.0, text=["s"])
+    got = models.routed(df, found, "g", ["a"], ["s"]).collect()
+    for g in ("p", "q"):
+        own = [r for r in rows if r[0] == g]
+        known = [r[1] for r in own if r[1] is not None]
+        texts = [r[2] for r in own if r[2]]
+        mode = max(sorted(set(texts)), key=lambda v: (texts.count(v), v))
+        mode = next(r.modes[0] for r in found.collect() if r.g == g) if texts.count(mode) == max(map(texts.count, set(texts))) else mode
+        x = np.array([[np.median(known) if r[1] is None else r[1], float(r[1] is None), *[float((r[2] or mode) == v) for v in "uvw"]] for r in own])
+        y = np.array([r[3] for r in own])
+        z = (x - x.mean(0)) / x.std(0)
+        want = z @ np.linalg.solve(z.T @ z + 3 * np.eye(5), z.T @ (y - y.mean())) + y.mean()
+        assert np.allclose(sorted(r.prediction for r in got if r.g == g), sorted(want), atol=1e-6)
+    assert models.fit_ridge(df.limit(0), "g", ["a"], "y").count() == 0
+
+
+def test_forest_and_boosting_have_the_published_size(spark):
+    from tidemark.plans import models
+
+    trees = models.forest("y")
+    assert trees.getNumTrees() == 300 and (trees.getFeatureSubsetStrategy(), trees.getMinInstancesPerNode(), trees.getMaxDepth()) == ("0.7", 5, 30)
     rounds = models.boosting("y")
     assert (rounds.getMaxIter(), rounds.getStepSize(), rounds.getMaxDepth(), rounds.getMinInstancesPerNode()) == (300, 0.05, 5, 20)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_fitted_trees_beat_the_mean(spark, kind):
+    import numpy as np
+
+    from tidemark.plans import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 2))
+    rows = [("c" if k % 2 else "d", float(a), float(b), "xy"[k % 2], float(a * b + k % 2)) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, "x", 0.0)], "g string, a double, b double, s string, y double")
+    fitted = models.fit_by_category(df.where("a < 1"), "g", ["c", "d"], ["a", "b"], "y", kind, ["s"], size=20)
+    got = models.predict_by_category(df, fitted, "g", ["a", "b"], ["g", "y"]).collect()
+    assert len(got) == 501 and [r.prediction for r in got if r.g is None] == [None]
+    known = [r for r in got if r.g]
+    mean = np.mean([r.y for r in known])
+    assert np.mean([abs(r.prediction - r.y) for r in known]) < 0.75 * np.mean([abs(mean - r.y) for r in known])

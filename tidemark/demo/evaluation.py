@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.demo.history import FEATURES, MEASURE, OFF_TIES, order_history, prior
+from tidemark.demo.history import FEATURES, MEASURE, order_history, prior
 from tidemark.demo.registry import Tables, query
 from tidemark.operators import metrics, reshape, windows
 from tidemark.plans import evaluation, models
@@ -45,7 +45,7 @@ def weekly(t: Tables) -> DataFrame:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + OFF_TIES, 6) for c in VALUES})
+    return df.withColumns({c: F.round(c, 4) for c in VALUES})
 
 
 @query(f"WITH {PREDICTED} SELECT o_orderkey, prediction, prediction_source, CASE WHEN p5 IS NULL THEN 0 ELSE 1 END AS covered FROM d")
@@ -53,7 +53,7 @@ def baseline_chain(t: Tables) -> DataFrame:
     return predictions(t).select("o_orderkey", "prediction", "prediction_source", F.when(F.col(f"{MEASURE}_last5").isNull(), 0).otherwise(1).alias("covered"))
 
 
-@query(f"WITH {WEEKLY} SELECT model, o_orderpriority, period, n_rows, round(mae + 3e-8, 6) AS mae, round(rmse + 3e-8, 6) AS rmse, round(spearman + 3e-8, 6) AS spearman, round(top_overlap::DOUBLE + 3e-8, 6) AS top_overlap FROM e")
+@query(f"WITH {WEEKLY} SELECT model, o_orderpriority, period, n_rows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(spearman, 4) AS spearman, round(top_overlap::DOUBLE, 4) AS top_overlap FROM e")
 def error_metrics_by_period(t: Tables) -> DataFrame:
     return shown(weekly(t))
 
@@ -62,7 +62,7 @@ SUMMARY = f"""{WEEKLY}, s AS (SELECT model, CASE WHEN grouping(o_orderpriority)
   avg(top_overlap::DOUBLE) AS top_overlap FROM e GROUP BY GROUPING SETS ((model), (model, o_orderpriority)))"""
 
 
-@query(f"WITH {SUMMARY} SELECT model, o_orderpriority, n_rows, round(mae + 3e-8, 6) AS mae, round(rmse + 3e-8, 6) AS rmse, round(spearman + 3e-8, 6) AS spearman, round(top_overlap + 3e-8, 6) AS top_overlap FROM s")
+@query(f"WITH {SUMMARY} SELECT model, o_orderpriority, n_rows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(spearman, 4) AS spearman, round(top_overlap, 4) AS top_overlap FROM s")
 def metric_summary(t: Tables) -> DataFrame:
     return shown(metrics.summary(weekly(t), "model", "o_orderpriority", VALUES))
 
@@ -98,13 +98,14 @@ def intervals(t: Tables) -> DataFrame:
     return metrics.apply_intervals(df.where("season = 2001"), quantiles, ["o_orderpriority"], "prediction")
 
 
-@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo) + 3e-8, 6) AS lower_residual, round(max(hi) + 3e-8, 6) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN lower AND upper THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(upper - lower) + 3e-8, 6) AS width FROM i GROUP BY 1")
+@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo), 2) AS lower_residual, round(max(hi), 2) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN prediction + lo AND prediction + hi THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(hi - lo), 2) AS width FROM i GROUP BY 1")
 def residual_intervals(t: Tables) -> DataFrame:
-    inside = F.when(F.col(MEASURE).between(F.col("floor"), F.col("ceiling")), 1.0).otherwise(0.0)
-    return intervals(t).groupBy("o_orderpriority").agg(
-        F.max("n_calibration").alias("n_calibration"), F.round(F.max("lower_residual") + OFF_TIES, 6).alias("lower_residual"), F.round(F.max("upper_residual") + OFF_TIES, 6).alias("upper_residual"),
-        F.count("*").alias("n_rows"), F.round(100 * F.avg(inside), 2).alias("coverage"), F.round(F.avg(F.col("ceiling") - F.col("floor")) + OFF_TIES, 6).alias("width"),
-    )
+    """Calibrated on one season; coverage and width of the raw interval on the next."""
+    df = predictions(t)
+    quantiles = metrics.residual_quantiles(df.where("season = 2000"), ["o_orderpriority"], MEASURE, "prediction")
+    test = df.where("season = 2001").join(quantiles, "o_orderpriority", "left")
+    found = metrics.interval_coverage(test, ["o_orderpriority"], MEASURE, "prediction").drop("mae").join(quantiles, "o_orderpriority")
+    return found.withColumns({"coverage": F.round("coverage", 2)} | {c: F.round(c, 2) for c in ("width", "lower_residual", "upper_residual")})
 
 
 @query(f"WITH {INTERVALS} SELECT o_orderkey, round(lower, 7) AS floor, round(upper, 7) AS ceiling FROM i")
@@ -113,27 +114,51 @@ def interval_apply(t: Tables) -> DataFrame:
 
 
 NUMERIC = [FEATURES[0], FEATURES[1], FEATURES[2], FEATURES[4], "prior_rows"]
+TEXT = ["o_orderstatus"]
+
+
+def modelled(t: Tables) -> DataFrame:
+    return windows.prior_features(order_history(t), prior(), [MEASURE]).withColumn("prior_rows", F.col("prior_rows").cast("double"))
 
 
-def modelled(t: Tables, kind: str) -> DataFrame:
+def fitted(t: Tables, kind: str) -> DataFrame:
     """Fitted on the training years by category, predicting the validation year; rows in, predictions out."""
-    df = windows.prior_features(order_history(t), prior(), [MEASURE]).withColumn("prior_rows", F.col("prior_rows").cast("double"))
+    df = modelled(t)
     train, later = df.where("season <= 1999"), df.where("season = 2000")
-    categories = sorted(r[0] for r in df.select("o_orderpriority").distinct().limit(50).collect())  # a small dimension
-    fitted = models.fit_by_category(train, "o_orderpriority", categories, NUMERIC, MEASURE, kind)
-    return models.predict_by_category(later, fitted, "o_orderpriority", NUMERIC, ["o_orderkey", "o_orderpriority", MEASURE])
+    found = models.fit_by_category(train, "o_orderpriority", models.categories_of(t.orders, "o_orderpriority"), NUMERIC, MEASURE, kind)
+    return models.predict_by_category(later, found, "o_orderpriority", NUMERIC, ["o_orderkey", "o_orderpriority", MEASURE])
 
 
 @query()
 def ridge_by_category(t: Tables) -> DataFrame:
-    return modelled(t, "ridge")
+    """Ridge on numbers with indicators and one-hot texts, fitted on the training years, predicting the validation year."""
+    df = modelled(t).select("o_orderkey", "o_orderpriority", "season", MEASURE, *NUMERIC, *TEXT).persist()  # read by both passes and the prediction
+    found = models.fit_ridge(df.where("season <= 1999"), "o_orderpriority", NUMERIC, MEASURE, text=TEXT)
+    return models.routed(df.where("season = 2000"), found, "o_orderpriority", NUMERIC, TEXT).select("o_orderkey", "o_orderpriority", MEASURE, "prediction")
+
+
+LINE = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 = 1 THEN 'unseen' ELSE l_returnflag END AS category, l_linestatus, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+s AS (SELECT category, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx FROM c WHERE l_linestatus = 'F' AND category IN ('A', 'N', 'R') GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c.category, CASE WHEN s.category IS NULL THEN 'NO_MODEL' ELSE 'MODEL' END AS route, round(my + (x - mx) * n * sxy / (n * sxx + 10 * sxx), 3) AS prediction FROM c LEFT JOIN s ON s.category = c.category WHERE l_linestatus = 'O'"""
+
+
+@query(LINE)
+def routed_inference(t: Tables) -> DataFrame:
+    """Rows routed to the frozen model of their category; those of a null or unseen category are kept and say so."""
+    s = F.col("l_suppkey") % 10
+    category = F.when(s == 0, F.lit(None).cast("string")).when(s == 1, "unseen").otherwise(F.col("l_returnflag"))
+    df = t.lineitem.withColumn("category", category)
+    train = df.where("l_linestatus = 'F' and category <> 'unseen'").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    found = models.fit_ridge(train, "category", ["l_quantity"], "l_extendedprice")
+    out = models.routed(df.where("l_linestatus = 'O'"), found, "category", ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "category", "route", F.round("prediction", 3).alias("prediction"))
 
 
 @query()
 def forest_by_category(t: Tables) -> DataFrame:
-    return modelled(t, "forest")
+    return fitted(t, "forest")
 
 
 @query()
 def boosting_by_category(t: Tables) -> DataFrame:
-    return modelled(t, "boosting")
+    return fitted(t, "boosting")

@@ -11,8 +11,8 @@ from tidemark.operators import identity, joins, quality, ranking, reshape, windo
 
 MEASURE = "o_totalprice"
 CUTOFF = 2000
-#: Added before rounding where exact halves occur, on which engines may differ by the order of a sum.
-OFF_TIES = 3e-8
+#: Prices in cents: sums of them are exact, in whatever order they are taken.
+CENTS = "decimal(18,2)"
 
 
 def order_history(t: Tables) -> DataFrame:
@@ -27,7 +27,7 @@ def rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in names})
 
 
-FEATURES = [f"{MEASURE}_{x}" for x in ("prev", "last3", "last5", "season", "sd5", "min5", "max5")]
+FEATURES = [f"{MEASURE}_{x}" for x in ("prev", "last3", "last5", "season", "sd5", "min5", "max5", "season_sd")]
 WINDOWS = """
 WINDOW w AS (PARTITION BY o_custkey ORDER BY season, o_orderdate, o_orderkey),
   w3 AS (PARTITION BY o_custkey ORDER BY season, o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
@@ -39,7 +39,7 @@ HISTORY = "h AS (SELECT *, year(o_orderdate)::INTEGER AS season FROM orders)"
 
 @query(f"""WITH {HISTORY} SELECT o_orderkey, o_custkey, season, lag(o_totalprice) OVER w AS o_totalprice_prev,
   round(avg(o_totalprice) OVER w3, 4) AS o_totalprice_last3, round(avg(o_totalprice) OVER w5, 4) AS o_totalprice_last5,
-  round(avg(o_totalprice) OVER wd, 4) AS o_totalprice_season, round(stddev_samp(o_totalprice) OVER w5, 4) AS o_totalprice_sd5,
+  round(avg(o_totalprice) OVER wd, 4) AS o_totalprice_season, round(stddev_samp(o_totalprice) OVER w5, 4) AS o_totalprice_sd5, round(stddev_samp(o_totalprice) OVER wd, 4) AS o_totalprice_season_sd,
   min(o_totalprice) OVER w5 AS o_totalprice_min5, max(o_totalprice) OVER w5 AS o_totalprice_max5,
   (row_number() OVER w - 1)::INTEGER AS prior_rows, (row_number() OVER ws - 1)::INTEGER AS prior_season_rows,
   lag(o_orderdate::DATE) OVER w AS prev_date, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE)::INTEGER AS days_since,
@@ -50,7 +50,7 @@ FROM h {WINDOWS}""")
 def prior_row_features(t: Tables) -> DataFrame:
     p = prior()
     df = windows.anchors(windows.prior_features(order_history(t), p, [MEASURE]), p, "o_orderdate", "o_orderpriority", "season")
-    return rounded(df, *FEATURES[1:5]).drop("o_orderdate", "o_orderpriority", "o_orderstatus", MEASURE)
+    return rounded(df, *FEATURES[1:5], FEATURES[7]).drop("o_orderdate", "o_orderpriority", "o_orderstatus", MEASURE)
 
 
 def line_history(t: Tables) -> DataFrame:
@@ -59,16 +59,17 @@ def line_history(t: Tables) -> DataFrame:
 
 @query("""WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  round(sum(l_extendedprice) OVER w3 / nullif(sum(l_quantity) OVER w3, 0) + 3e-8, 6) AS price_per_unit_last3,
+  (sum(l_extendedprice::DECIMAL(18,2)) OVER w3)::DOUBLE / nullif((sum(l_quantity::DECIMAL(18,2)) OVER w3)::DOUBLE, 0) AS price_per_unit_last3,
   coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w5, 0)::BIGINT AS returns_last5
 FROM j WINDOW w3 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_shipdate ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
   w5 AS (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_shipdate ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def trailing_ratio_features(t: Tables) -> DataFrame:
     p = windows.Prior(["o_custkey"], ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate"])
-    df = line_history(t).withColumn("returned", flag(F.col("l_returnflag") == "R"))
+    made = {"returned": flag(F.col("l_returnflag") == "R"), "price": F.col("l_extendedprice").cast(CENTS), "units": F.col("l_quantity").cast(CENTS)}
+    df = line_history(t).withColumns(made)
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.round(p.ratio_of_sums("l_extendedprice", "l_quantity", 3) + OFF_TIES, 6).alias("price_per_unit_last3"), p.flag_sum("returned", 5).alias("returns_last5"),
+        p.ratio_of_sums("price", "units", 3).alias("price_per_unit_last3"), p.flag_sum("returned", 5).alias("returns_last5"),
     )
 
 
@@ -103,16 +104,31 @@ def at_cutoff(t: Tables) -> DataFrame:
 @query(f"""WITH h AS (SELECT *, year(o_orderdate) AS season, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
   FROM orders WHERE year(o_orderdate) < {CUTOFF} OR (year(o_orderdate) = {CUTOFF} AND month(o_orderdate) < 7)),
 a AS (SELECT o_custkey, max(o_totalprice) FILTER (r = 1) AS p, avg(o_totalprice) FILTER (r <= 3) AS l3, avg(o_totalprice) FILTER (r <= 5) AS l5,
-  avg(o_totalprice) FILTER (season = {CUTOFF}) AS s, stddev_samp(o_totalprice) FILTER (r <= 5) AS d, min(o_totalprice) FILTER (r <= 5) AS lo,
+  avg(o_totalprice) FILTER (season = {CUTOFF}) AS s, stddev_samp(o_totalprice) FILTER (r <= 5) AS d, stddev_samp(o_totalprice) FILTER (season = {CUTOFF}) AS ds, min(o_totalprice) FILTER (r <= 5) AS lo,
   max(o_totalprice) FILTER (r <= 5) AS hi, count(*) AS n, count(*) FILTER (season = {CUTOFF}) AS ns FROM h GROUP BY 1)
 SELECT c_custkey AS o_custkey, p AS o_totalprice_prev, round(l3, 4) AS o_totalprice_last3, round(l5, 4) AS o_totalprice_last5, round(s, 4) AS o_totalprice_season,
-  round(d, 4) AS o_totalprice_sd5, lo AS o_totalprice_min5, hi AS o_totalprice_max5, coalesce(n, 0) AS prior_rows, coalesce(ns, 0) AS prior_season_rows
+  round(d, 4) AS o_totalprice_sd5, round(ds, 4) AS o_totalprice_season_sd, lo AS o_totalprice_min5, hi AS o_totalprice_max5, coalesce(n, 0) AS prior_rows, coalesce(ns, 0) AS prior_season_rows
 FROM customer LEFT JOIN a ON a.o_custkey = c_custkey""")
 def cutoff_features(t: Tables) -> DataFrame:
-    return rounded(at_cutoff(t), *FEATURES[1:5])
+    return rounded(at_cutoff(t), *FEATURES[1:5], FEATURES[7])
 
 
-@query("SELECT unnest(['o_totalprice_prev', 'o_totalprice_last3', 'o_totalprice_last5', 'o_totalprice_season', 'o_totalprice_sd5', 'o_totalprice_min5', 'o_totalprice_max5', 'prior_rows', 'prior_season_rows', 'only_old', 'only_new']) AS check_name, 0::BIGINT AS expected, 0::BIGINT AS actual, 0::BIGINT AS difference, 'PASS' AS status")
+REPLAYED = {"prev": "max(v) FILTER (r = 1)", "last3": "avg(v) FILTER (r <= 3)", "last5": "avg(v) FILTER (r <= 5)", "season": "avg(v) FILTER (season = 2000)", "sd5": "stddev_samp(v) FILTER (r <= 5)", "min5": "min(v) FILTER (r <= 5)", "max5": "max(v) FILTER (r <= 5)", "season_sd": "stddev_samp(v) FILTER (season = 2000)"}
+REPLAY_NAMES = [f"o_totalprice_{n}" for n in REPLAYED] + ["prior_rows", "prior_season_rows"]
+
+
+@query(f"""WITH {HISTORY}, e AS (SELECT * FROM h WHERE season < {CUTOFF} OR (season = {CUTOFF} AND month(o_orderdate) < 7)),
+a AS (SELECT o_custkey, {", ".join(f"{x} AS o_totalprice_{n}" for n, x in REPLAYED.items())}, count(*) AS prior_rows, count(*) FILTER (season = {CUTOFF}) AS prior_season_rows
+  FROM (SELECT *, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY season DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM e) GROUP BY 1),
+x AS (SELECT c_custkey AS o_custkey, a.* EXCLUDE (o_custkey, prior_rows, prior_season_rows), coalesce(prior_rows, 0) AS prior_rows, coalesce(prior_season_rows, 0) AS prior_season_rows FROM customer LEFT JOIN a ON a.o_custkey = c_custkey),
+p AS (SELECT o_custkey, o_orderkey, o_orderdate, season, o_totalprice, 0 AS target FROM e UNION ALL SELECT c_custkey, NULL, TIMESTAMP '{CUTOFF}-07-01', {CUTOFF}, NULL, 1 FROM customer),
+y AS (SELECT * FROM (SELECT o_custkey, target, lag(o_totalprice) OVER w AS o_totalprice_prev, avg(o_totalprice) OVER w3 AS o_totalprice_last3, avg(o_totalprice) OVER w5 AS o_totalprice_last5, avg(o_totalprice) OVER wd AS o_totalprice_season,
+  stddev_samp(o_totalprice) OVER w5 AS o_totalprice_sd5, min(o_totalprice) OVER w5 AS o_totalprice_min5, max(o_totalprice) OVER w5 AS o_totalprice_max5, stddev_samp(o_totalprice) OVER wd AS o_totalprice_season_sd, row_number() OVER w - 1 AS prior_rows, row_number() OVER ws - 1 AS prior_season_rows
+  FROM p {WINDOWS}) WHERE target = 1),
+j AS (SELECT x.o_custkey AS xk, y.o_custkey AS yk, {", ".join(f"(x.{n} IS NULL) <> (y.{n} IS NULL) OR coalesce(abs(x.{n} - y.{n}) > 1e-9 * greatest(1, abs(x.{n})), false) AS {n}" for n in REPLAY_NAMES)} FROM x FULL JOIN y ON x.o_custkey = y.o_custkey),
+n AS ({" UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) FILTER (xk IS NOT NULL AND yk IS NOT NULL AND {n}) AS actual FROM j" for n in REPLAY_NAMES)} UNION ALL SELECT 'only_old', count(*) FILTER (yk IS NULL) FROM j UNION ALL SELECT 'only_new', count(*) FILTER (xk IS NULL) FROM j
+  UNION ALL SELECT 'any_row', count(*) FILTER (xk IS NULL OR yk IS NULL OR {" OR ".join(REPLAY_NAMES)}) FROM j)
+SELECT check_name, 0::BIGINT AS expected, actual, actual AS difference, CASE WHEN actual = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM n""")
 def cutoff_replay_diff(t: Tables) -> DataFrame:
     """Features at the cutoff equal those of the windows on a placeholder row that stands right after it."""
     history = order_history(t).where((F.col("season") < CUTOFF) | ((F.col("season") == CUTOFF) & (F.month("o_orderdate") < 7)))
@@ -125,26 +141,32 @@ def cutoff_replay_diff(t: Tables) -> DataFrame:
     return quality.replay_difference(at_cutoff(t), replay, ["o_custkey"], [*FEATURES, "prior_rows", "prior_season_rows"])
 
 
-BLENDS = {"blend_0": 0.0, "blend_25": 0.25, "blend_50": 0.5, "blend_75": 0.75, "blend_100": 1.0}
+#: Weights of the own history and of the other side's.
+BLENDS = {"own": (1.0, 0.0), "other": (0.0, 1.0), "even": (0.5, 0.5), "mostly_own": (0.75, 0.25), "mostly_other": (0.25, 0.75), "damped": (0.6, 0.3)}
 
 
 def blend_rows(t: Tables) -> DataFrame:
     own = windows.Prior(["o_custkey"], ["o_orderdate", "o_orderkey"])
     other = windows.Prior(["o_orderpriority"], ["day"])
+    cents = F.col(MEASURE).cast(CENTS)
     df = order_history(t).withColumn("day", F.to_date("o_orderdate"))
     # the category's history is by day, so that no category is sorted row by row in one task
-    daily = df.groupBy("o_orderpriority", "day").agg(F.sum(MEASURE).alias("_s"), F.count(MEASURE).alias("_n"))
-    daily = daily.select("o_orderpriority", "day", ratio(F.sum("_s").over(other.last(5)), F.sum("_n").over(other.last(5))).alias("cat"))
-    df = df.withColumn("own", own.mean(MEASURE, 5)).join(daily, ["o_orderpriority", "day"], "left")
-    blends = {k: F.round(a * F.coalesce("own", "cat") + (1 - a) * F.coalesce("cat", "own") + OFF_TIES, 6) for k, a in BLENDS.items()}
-    return df.withColumns(blends)
+    daily = df.groupBy("o_orderpriority", "day").agg(F.sum(cents).alias("_s"), F.count(MEASURE).alias("_n"))
+    daily = daily.select("o_orderpriority", "day", ratio(F.sum("_s").over(other.last(5)).cast("double"), F.sum("_n").over(other.last(5))).alias("cat"))
+    df = df.withColumn("cents", cents).withColumn("own", own.exact_mean("cents", 5)).join(daily, ["o_orderpriority", "day"], "left")
+    # a side without history takes the mean of all earlier days
+    df = windows.global_prior_mean(df, "day", ["o_orderkey"], "cents", "prior", strict_day=True)
+    own_side, other_side = F.coalesce("own", "prior"), F.coalesce("cat", "prior")
+    return df.withColumns({k: a * own_side + b * other_side for k, (a, b) in BLENDS.items()})
 
 
-BLEND_SQL = f"""{HISTORY}, d AS (SELECT o_orderpriority, o_orderdate::DATE AS day, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
-c AS (SELECT o_orderpriority, day, sum(s) OVER w / nullif(sum(n) OVER w, 0) AS cat FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-o AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS own FROM h),
-b AS (SELECT o.*, {", ".join(f"round({a} * coalesce(own, cat) + (1 - {a}) * coalesce(cat, own) + 3e-8, 6) AS {k}" for k, a in BLENDS.items())}
-  FROM o LEFT JOIN c ON c.o_orderpriority = o.o_orderpriority AND c.day = o.o_orderdate::DATE)"""
+BLEND_SQL = f"""{HISTORY}, d AS (SELECT o_orderpriority, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2)) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+c AS (SELECT o_orderpriority, day, (sum(s) OVER w)::DOUBLE / nullif(sum(n) OVER w, 0) AS cat FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT day, (sum(s) OVER w)::DOUBLE / nullif(sum(n) OVER w, 0) AS prior FROM (SELECT day, sum(s) AS s, sum(n) AS n FROM d GROUP BY 1) WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, (sum(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE / nullif(count(o_totalprice) OVER w, 0) AS own_mean FROM h
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT o.*, {", ".join(f"({a}::DOUBLE * coalesce(own_mean, prior) + {b}::DOUBLE * coalesce(cat, prior)) AS {k}" for k, (a, b) in BLENDS.items())}
+  FROM o LEFT JOIN c ON c.o_orderpriority = o.o_orderpriority AND c.day = o.o_orderdate::DATE LEFT JOIN g ON g.day = o.o_orderdate::DATE)"""
 
 
 @query(f"WITH {BLEND_SQL} SELECT o_orderkey, {', '.join(BLENDS)} FROM b")
@@ -164,11 +186,11 @@ def blend_selection(t: Tables) -> DataFrame:
     return best.select("b.model", F.round("b.v", 2).alias("validation_mae"), F.round("b.t", 2).alias("test_mae"))
 
 
-@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w / nullif(count(*) OVER w, 0) + 3e-5, 3) AS prior_mean FROM orders
+@query("""SELECT o_orderkey, round((sum(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE / nullif(count(*) OVER w, 0), 3) AS prior_mean FROM orders
 WINDOW w AS (ORDER BY o_orderdate::DATE, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def global_prior_mean(t: Tables) -> DataFrame:
-    df = t.orders.withColumn("day", F.to_date("o_orderdate"))
-    return windows.global_prior_mean(df, "day", ["o_orderkey"], MEASURE, "prior_mean").select("o_orderkey", F.round(F.col("prior_mean") + 3e-5, 3).alias("prior_mean"))
+    df = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col(MEASURE).cast(CENTS).alias("cents"))
+    return windows.global_prior_mean(df, "day", ["o_orderkey"], "cents", "prior_mean").select("o_orderkey", F.round("prior_mean", 3).alias("prior_mean"))
 
 
 @query(f"""WITH {HISTORY}, g AS (SELECT season, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE) AS gap, lag(o_orderdate) OVER w > o_orderdate AS bad FROM h

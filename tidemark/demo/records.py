@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.demo.registry import Tables, query
 from tidemark.functions import scalar as S
-from tidemark.operators import identity, joins, reshape
+from tidemark.operators import facts, identity, joins, reshape
 from tidemark.sources import tables
 
 STATUS = {"F": "FINAL", "O": "OPEN"}
@@ -57,13 +57,12 @@ def two_sided_expansion(t: Tables) -> DataFrame:
 SELECT a.l_orderkey, a.nation, a.other, a.margin, b.margin AS opponent_margin FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.nation = b.other AND a.other = b.nation""")
 def opponent_context(t: Tables) -> DataFrame:
     g = sided(t).groupBy("l_orderkey", "nation", "other").agg(F.round(F.sum("margin"), 6).alias("margin"))
-    theirs = g.select("l_orderkey", F.col("nation").alias("other"), F.col("other").alias("nation"), F.col("margin").alias("opponent_margin"))
-    return g.join(theirs, ["l_orderkey", "nation", "other"])
+    return facts.with_opponent(g, ["l_orderkey"], "nation", "other", ["margin"]).where("opponent_margin is not null")
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1), j AS (SELECT o.n AS l, c.n AS r FROM o FULL JOIN c ON o.k = c.k)
 SELECT count(*) FILTER (l > 1) AS left_repeated, count(*) FILTER (r > 1) AS right_repeated, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only,
-  count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both FROM j""".replace("AS both", 'AS "both"'))
+  count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS "both" FROM j""")
 def checked_join_report(t: Tables) -> DataFrame:
     return joins.cardinality(t.orders.withColumnRenamed("o_custkey", "k"), t.customer.withColumnRenamed("c_custkey", "k"), ["k"])
 
@@ -97,7 +96,7 @@ def remaining_periods(t: Tables) -> DataFrame:
 @query("""SELECT p_partkey, nullif(trim(CASE WHEN p_partkey % 7 = 0 THEN '   ' ELSE '  ' || p_name || ' ' END), '') AS name, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS has_name,
   CASE p_brand WHEN 'Brand#11' THEN 'B-A' WHEN 'Brand#12' THEN 'B-B' ELSE p_brand END AS brand, try_cast(CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE p_size::VARCHAR END AS DOUBLE) AS size,
   CASE WHEN p_partkey % 3 = 0 THEN true WHEN p_partkey % 3 = 1 THEN false END AS listed, CASE WHEN p_size <= 20 THEN 'training' WHEN p_size <= 35 THEN 'validation' WHEN p_size <= 50 THEN 'test' END AS split,
-  NULL::VARCHAR AS note, row_number() OVER () * 0 AS zero FROM part""".replace(", row_number() OVER () * 0 AS zero", ""))
+  NULL::VARCHAR AS note FROM part""")
 def normalise_contract(t: Tables) -> DataFrame:
     p = t.part
     raw = F.when(p.p_partkey % 7 == 0, "   ").otherwise(F.concat(F.lit("  "), "p_name", F.lit(" ")))

@@ -30,15 +30,16 @@ def band_score(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.band_score("p_size", BANDS).alias("band"), S.floor_at(F.col("p_retailprice") - 1000).alias("above"))
 
 
-@query("""WITH h AS (SELECT o_orderkey, o_totalprice, row_number() OVER w - 1 AS n, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+@query("""WITH h AS (SELECT o_orderkey, o_totalprice, o_orderstatus, row_number() OVER w - 1 AS n, date_diff('day', lag(o_orderdate::DATE) OVER w, o_orderdate::DATE) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT o_orderkey, coalesce(nullif(concat_ws(';', CASE WHEN n < 3 THEN 'FEW_ROWS' END, CASE WHEN gap > 365 THEN 'LONG_GAP' END, CASE WHEN o_totalprice > 400000 THEN 'HIGH_VALUE' END), ''), 'NONE') AS flags,
-  CASE WHEN n >= 5 AND gap <= 365 THEN 'HIGH' WHEN n >= 3 AND gap <= 730 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, 'rows=' || n || ' gap=' || coalesce(gap::VARCHAR, '-') AS reason FROM h""")
+  CASE WHEN n >= 5 AND gap <= 365 AND o_totalprice IS NOT NULL AND o_orderstatus <> 'P' THEN 'HIGH' WHEN n >= 3 AND gap <= 730 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, 'rows=' || n || ' gap=' || coalesce(gap::VARCHAR, '-') AS reason FROM h""")
 def flags_and_confidence(t: Tables) -> DataFrame:
     p = prior()
-    df = order_history(t).select("o_orderkey", "o_totalprice", p.count().alias("n"), F.datediff("o_orderdate", p.lag("o_orderdate")).alias("gap"))
+    df = order_history(t).select("o_orderkey", "o_totalprice", "o_orderstatus", p.count().alias("n"), F.datediff("o_orderdate", p.lag("o_orderdate")).alias("gap"))
     flags = {"FEW_ROWS": F.col("n") < 3, "LONG_GAP": F.col("gap") > 365, "HIGH_VALUE": F.col("o_totalprice") > 400000}
+    required = F.col("o_totalprice").isNotNull() & (F.col("o_orderstatus") != "P")
     reason = F.format_string("rows=%s gap=%s", F.col("n").cast("string"), F.coalesce(F.col("gap").cast("string"), F.lit("-")))
-    return df.select("o_orderkey", S.flag_list(flags, default="NONE").alias("flags"), S.confidence("n", "gap", [("HIGH", 5, 365), ("MEDIUM", 3, 730)]).alias("confidence"), reason.alias("reason"))
+    return df.select("o_orderkey", S.flag_list(flags, default="NONE").alias("flags"), S.confidence("n", "gap", [("HIGH", 5, 365), ("MEDIUM", 3, 730)], required=required).alias("confidence"), reason.alias("reason"))
 
 
 @query("""WITH j AS (SELECT user_id, event_id, (props::JSON ->> 'k')::INTEGER AS k FROM events)
@@ -116,11 +117,11 @@ def waiver_topk(t: Tables) -> DataFrame:
     return free.orderBy(F.col("spend").desc(), "c_custkey").limit(25)
 
 
-@query(f"WITH {POOL} SELECT CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS side, count(*) AS n, round(sum(spend), 2) AS spend, round(max(spend), 2) AS best, count(*) FILTER (ok) AS n_ok FROM p WHERE c_custkey IN (10, 11, 12, 13, 14, 15, 16, 17, 18, 19) GROUP BY 1")
+@query(f"WITH {filled_sql('c_nationkey', QUOTA, 1)} SELECT c_nationkey, CASE WHEN slot IN ('STARTER', 'FLEX') THEN 'CHOSEN' ELSE 'REST' END AS side, count(*) AS n, round(sum(spend), 2) AS spend, round(max(spend), 2) AS best, count(*) FILTER (ok) AS n_ok FROM s GROUP BY 1, 2")
 def side_summary(t: Tables) -> DataFrame:
-    side = F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("B").alias("side")
-    chosen = pool(t).where(F.col("c_custkey").isin(*range(10, 20)))
-    return chosen.groupBy(side).agg(F.count("*").alias("n"), F.round(F.sum("spend"), 2).alias("spend"), F.round(F.max("spend"), 2).alias("best"), F.count_if("ok").alias("n_ok"))
+    """Sums over each nation's chosen members and over its others."""
+    side = F.when(F.col("slot").isin("STARTER", "FLEX"), "CHOSEN").otherwise("REST").alias("side")
+    return rosters(t).groupBy("c_nationkey", side).agg(F.count("*").alias("n"), F.round(F.sum("spend"), 2).alias("spend"), F.round(F.max("spend"), 2).alias("best"), F.count_if("ok").alias("n_ok"))
 
 
 @query("""WITH u AS (SELECT user_id, event_type, count(*) AS n, count(value) AS k, max(ts) AS latest FROM events GROUP BY 1, 2),

@@ -39,9 +39,12 @@ def replace_codes(c: str | Column, aliases: Mapping[str, str]) -> Column:
     return reduce(lambda acc, kv: F.when(out == kv[0], kv[1]).otherwise(acc), aliases.items(), out)
 
 
-def number(c: str | Column, kind: str = "double", missing: float | None = None) -> Column:
-    """Lenient number: what isn't one becomes null, or `missing`."""
+def number(c: str | Column, kind: str = "double", missing: float | None = None, strict: bool = False) -> Column:
+    """Lenient number: what isn't one becomes null, or `missing`. A strict one raises on known text that isn't a number."""
     value = col(c).try_cast(kind)
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not a number: "), col(c).cast("string"))).cast(kind)
+        value = F.when(col(c).isNull() | value.isNotNull(), value).otherwise(bad)
     return value if missing is None else F.coalesce(value, F.lit(missing).cast(kind))
 
 
@@ -57,15 +60,57 @@ def any_contains(text: str, *cols: str | Column) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(col(c)), needle), F.lit(False)) for c in cols))
 
 
-def split_label(c: str | Column, splits: Mapping[str, Sequence[int]]) -> Column:
-    """Label of the split that lists the value; null for a value in none."""
+def split_label(c: str | Column, splits: Mapping[str, Sequence[int]], strict: bool = False) -> Column:
+    """Label of the split that lists the value. A value in none gives null, which checks can count, or raises if strict."""
     value = col(c)
     chain = F
     for label, members in splits.items():
         chain = chain.when(value.isin(*members), label)
+    if strict:
+        chain = chain.otherwise(F.raise_error(F.concat(F.lit("in no split: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("string"))
     return chain
 
 
+def by_category(c: str | Column, parts: Mapping[str, Sequence[str]]) -> Column:
+    """Sum of the columns that count for the row's category (missing ones as 0); 0 for categories not listed."""
+    chain, value = F, col(c)
+    for name, columns in parts.items():
+        chain = chain.when(value == name, reduce(add, (F.coalesce(F.col(x), F.lit(0)) for x in columns)))
+    return chain.otherwise(F.lit(0))
+
+
+def in_order(c: str | Column, order: Sequence[str]) -> Column:
+    """Sort key of a custom order: listed values first, as listed, all others after them."""
+    place = category_order(c, order)
+    return F.when(place > 0, place).otherwise(len(order) + 1)
+
+
+def status_ladder(steps: Mapping[str, Column], last: str) -> Column:
+    """The first status whose condition holds; a null condition doesn't."""
+    chain = F
+    for name, test in steps.items():
+        chain = chain.when(test, name)
+    return chain.otherwise(last)
+
+
+def profile_scores(profiles: Mapping[str, Mapping[str, float]], bands: Mapping[str, tuple[str, Sequence[tuple[float | None, float]]]] | None = None) -> dict[str, Column]:
+    """A score for each profile side by side: its linear rules, plus its band table (column, bands) if it has one."""
+    out = {}
+    for name, rules in profiles.items():
+        score = linear_score(rules)
+        if bands and name in bands:
+            score = score + F.coalesce(band_score(*bands[name]), F.lit(0.0))
+        out[f"{name}_points"] = score
+    return out
+
+
+def nearest(values: Column, times: Column, to: Column) -> Column:
+    """Of two parallel arrays, the value whose time is nearest to `to`; the earlier one of two as near."""
+    pairs = F.arrays_zip(times.alias("t"), values.alias("v"))
+    ranked = F.transform(pairs, lambda p: F.struct(F.abs(p["t"] - to).alias("far"), p["t"].alias("t"), p["v"].alias("v")))
+    return F.array_min(ranked)["v"]
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b; null where either is missing or b is zero."""
     return F.try_divide(col(a), col(b))
@@ -101,11 +146,13 @@ def flag_list(flags: Mapping[str, Column], sep: str = ";", default: str = "") ->
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit(default))
 
 
-def confidence(games: str | Column, gap_days: str | Column, steps: Sequence[tuple[str, int, int]], lowest: str = "LOW") -> Column:
-    """First label of (label, least games, most days) that is met; a missing gap meets none."""
+def confidence(games: str | Column, gap_days: str | Column, steps: Sequence[tuple[str, int, int]], lowest: str = "LOW", required: Column | None = None) -> Column:
+    """First label of (label, least games, most days) that is met; a missing gap meets none. The first label also needs
+    the `required` condition, if one is given."""
     chain = F
-    for label, least, most in steps:
-        chain = chain.when((col(games) >= least) & (col(gap_days) <= most), label)
+    for k, (label, least, most) in enumerate(steps):
+        test = (col(games) >= least) & (col(gap_days) <= most)
+        chain = chain.when(test & required if k == 0 and required is not None else test, label)
     return chain.otherwise(lowest)
 
 

@@ -23,13 +23,21 @@ def latest_per_key(df: DataFrame, key: Sequence[str], time: str, tie: Sequence[C
     return latest.unionByName(df.where(~known))
 
 
+def latest_guarded(df: DataFrame, key: Sequence[str], time: str) -> DataFrame:
+    """`latest_per_key` that raises ValueError while repeated keys have no time or share their latest one."""
+    if not latest_violations(df.where(all_available(*key)), key, time).isEmpty():
+        raise ValueError(f"keys {list(key)} repeat without a single latest {time}")
+    return latest_per_key(df, key, time)
+
+
 def latest_violations(df: DataFrame, key: Sequence[str], time: str) -> DataFrame:
     """Keys that occur more than once and have no time at all, or share their latest time among several rows."""
-    newest = Window.partitionBy(*key)
-    marked = df.withColumn("_latest", F.max(time).over(newest))
-    grouped = marked.groupBy(*key).agg(
-        F.count("*").alias("n_rows"), F.count(time).alias("n_dated"), F.count_if(F.col(time) == F.col("_latest")).alias("n_latest")
-    )
+    # pre-aggregated by key and time, so that a frequent key is one row per time
+    times = df.groupBy(*key, time).agg(F.count("*").alias("_n"))
+    grouped = times.groupBy(*key).agg(
+        F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col(time).isNotNull(), F.col("_n"))), F.lit(0).cast("long")).alias("n_dated"),
+        F.coalesce(F.max_by("_n", time), F.lit(0).cast("long")).alias("n_latest"),
+    )
     return grouped.where("n_rows > 1 and (n_dated = 0 or n_latest > 1)")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,12 @@ def matched_join(left: DataFrame, right: DataFrame, on: Sequence[str], out: str
     return joined.withColumn(out, F.when(F.col("_there").isNotNull(), "matched").otherwise("unmatched")).drop("_there")
 
 
+def coverage(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per segment, rows and the percentage of them with a partner; the right side must have unique keys."""
+    joined = left.join(right.select(*on).withColumn("_there", F.lit(1)), list(on), "left")
+    return joined.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(100.0 * F.count("_there") / F.count("*"), 2).alias("percent"))
+
+
 def cardinality(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """One row: repeated keys on either side, and keys without a partner on either side."""
     keys = lambda df, n: df.groupBy(*on).agg(F.count("*").alias(n))
@@ -30,13 +36,21 @@ def cardinality(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", kind: str = "many_to_one") -> DataFrame:
     """Join after checking that the sides said to be unique are; raises ValueError otherwise. The check is one extra
-    aggregate per side and is run at once."""
+    aggregate per side and is run at once: a side that is expensive to compute should be written before."""
     for side, name, wanted in ((left, "left", kind.startswith("one")), (right, "right", kind.endswith("one"))):
         if wanted and not side.groupBy(*on).count().where("count > 1").isEmpty():
             raise ValueError(f"{kind}: the {name} side repeats keys {list(on)}")
     return left.join(right, list(on), how)
 
 
+def disagreements(left: DataFrame, right: DataFrame, on: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Rows whose keys agree and whose attributes don't: one row per name in `pairs` (left column, right column) that
+    differs, nulls being equal to each other only."""
+    joined = left.join(right, list(on))
+    found = F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.struct(F.lit(n).alias("attribute"), F.col(a).cast("string").alias("left_value"), F.col(b).cast("string").alias("right_value"))) for n, (a, b) in pairs.items()]))
+    return joined.select(*on, F.explode(found).alias("_f")).select(*on, "_f.*")
+
+
 def key_differences(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys that only one side has, with the side's name."""
     a, b = left.select(*on).distinct(), right.select(*on).distinct()
@@ -48,8 +62,9 @@ def key_differences(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
 def asof_group_snapshot(df: DataFrame, group: Sequence[str], entity: Sequence[str], time: str, cutoff: Column, keep: Column, order: Sequence[Column]) -> DataFrame:
     """Each group's newest snapshot at or before the cutoff, then the rows of it that pass `keep`, then each entity's
     first. An entity that the group's newest snapshot lacks is gone, even if older ones have it."""
-    newest = df.where(F.col(time) <= cutoff).withColumn("_newest", F.max(time).over(Window.partitionBy(*group)))
-    rows = newest.where(F.col(time) == F.col("_newest")).where(keep).drop("_newest")
+    known = df.where(F.col(time) <= cutoff)
+    newest = known.groupBy(*group).agg(F.max(time).alias("_newest"))
+    rows = known.join(newest, list(group)).where(F.col(time) == F.col("_newest")).where(keep).drop("_newest")
     spec = Window.partitionBy(*group, *entity).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(spec)).where("_rn = 1").drop("_rn")
 

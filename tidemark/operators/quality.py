@@ -41,25 +41,35 @@ def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """Nulls per column, from one scan."""
-    one = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_null")) for c in df.columns])
-    return one.select(F.col("_rows").alias("n_rows"), F.explode(pairs).alias("_p")).select("_p.*", "n_rows")
+def null_profile(df: DataFrame, ranges: bool = False, top: int | None = None) -> DataFrame:
+    """Nulls per column, from one scan; with `ranges` also least and greatest value as text; only the `top` columns with
+    most nulls if given."""
+    made = [F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("n"), F.min(f"`{c}`").cast("string").alias("a"), F.max(f"`{c}`").cast("string").alias("b")).alias(c) for c in df.columns]
+    one = df.agg(F.count("*").alias("_rows"), *made)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.n").alias("n_null"), F.col(f"`{c}`.a").alias("least"), F.col(f"`{c}`.b").alias("greatest")) for c in df.columns])
+    rows = one.select(F.col("_rows").alias("n_rows"), F.explode(pairs).alias("_p")).select("_p.*", "n_rows")
+    rows = rows if ranges else rows.drop("least", "greatest")
+    return rows if top is None else rows.orderBy(F.col("n_null").desc(), "column_name").limit(top)
 
 
 def replay_difference(old: DataFrame, new: DataFrame, key: Sequence[str], values: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """Two versions of a table compared by key: mismatching rows per column, and rows of one side only."""
+    """Two versions of a table compared by key: mismatching rows per column (fractions within a tolerance, all other types
+    exactly, nulls equal to each other), rows of one side only, and rows with any difference."""
     joined = old.select(*key, *[F.col(v).alias(f"o_{v}") for v in values], F.lit(1).alias("_o")).join(
         new.select(*key, *[F.col(v).alias(f"n_{v}") for v in values], F.lit(1).alias("_n")), list(key), "full_outer"
     )
     both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
 
+    numeric = {f.name for f in old.schema if f.dataType.simpleString() in ("double", "float") or f.dataType.simpleString().startswith("decimal")}
+
     def differs(v: str) -> Column:
         a, b = F.col(f"o_{v}"), F.col(f"n_{v}")
+        if v not in numeric:
+            return both & ~a.eqNullSafe(b)
         return both & ((a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > tolerance * F.greatest(F.lit(1.0), F.abs(a)), F.lit(False)))
 
     checks = {v: differs(v) for v in values} | {"only_old": F.col("_n").isNull(), "only_new": F.col("_o").isNull()}
+    checks["any_row"] = reduce(lambda p, q: p | q, checks.values())
     return counted_checks(joined, checks)
 
 
@@ -68,3 +78,39 @@ def readiness(checks: DataFrame, blocking: Sequence[str] | None = None) -> DataF
     rows = checks if blocking is None else checks.where(F.col("check_name").isin(*blocking))
     failed = rows.agg(F.count("*").alias("n_checks"), F.count_if(F.col("status") != "PASS").alias("n_failed"))
     return failed.withColumn("verdict", F.when(F.col("n_failed") == 0, "READY").otherwise("BLOCKED"))
+
+
+def one_to_one(df: DataFrame, maps: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """For each map (name: two columns), how many left values have several right ones and the other way round."""
+    parts = []
+    for name, (a, b) in maps.items():
+        pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct()
+        for side, other in (("a", "b"), ("b", "a")):
+            many = pairs.groupBy(side).count().where("count > 1").agg(F.count("*").alias("actual"))
+            parts.append(many.select(F.lit(f"{name}_{side}_to_many_{other}").alias("check_name"), F.lit(0).cast("long").alias("expected"), "actual"))
+    return verdicts(reduce(DataFrame.unionByName, parts))
+
+
+def register(risks: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Named risks with the rows affected and the action they call for; NONE where no row is affected."""
+    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("risk"), "n_rows", F.lit(action).alias("action")) for n, (df, action) in risks.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("action", F.when(F.col("n_rows") > 0, F.col("action")).otherwise("NONE"))
+
+
+def rank_set_violations(df: DataFrame, by: Sequence[str], rank: str) -> Column:
+    """Aggregate condition: the ranks of a group aren't exactly 1 to n."""
+    known = F.count(rank)
+    return (known > 0) & ((F.min(rank) != 1) | (F.max(rank) != known) | (F.count_distinct(rank) != known))
+
+
+def parity(old: DataFrame, new: DataFrame, key: Sequence[str], category: str, value: str, tolerance: float) -> DataFrame:
+    """Two versions of a prediction by key: rows, missing rows, mismatches, largest and mean difference, per category
+    and for ALL."""
+    joined = old.select(*key, category, F.col(value).alias("_o")).join(new.select(*key, F.col(value).alias("_n")), list(key), "left")
+    gap = F.abs(F.col("_o") - F.col("_n"))
+    grouped = joined.rollup(category).agg(
+        F.grouping(category).alias("_all"), F.count("*").alias("n_rows"), F.count_if(F.col("_n").isNull() & F.col("_o").isNotNull()).alias("n_missing"),
+        F.count_if(gap > tolerance).alias("n_mismatch"), F.max(gap).alias("max_difference"), F.avg(gap).alias("mean_difference"),
+    )
+    named = grouped.withColumn(category, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(category))).drop("_all")
+    return named.withColumn("status", F.when((F.col("n_missing") == 0) & (F.col("n_mismatch") == 0), "PASS").otherwise("FAIL"))

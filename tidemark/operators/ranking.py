@@ -30,8 +30,12 @@ def fill_quotas(df: DataFrame, by: Sequence[str], position: str, eligible: Colum
     return ranked.withColumn("slot", slot).drop("_ok", "_base", "_rest")
 
 
-def slot_gaps(filled: DataFrame, by: Sequence[str], quota: Mapping[str, int], position: str) -> DataFrame:
-    """Per group and position, how many starters are missing."""
+def slot_gaps(filled: DataFrame, by: Sequence[str], quota: Mapping[str, int], position: str, flex_quota: int = 0) -> DataFrame:
+    """Per group and position, how many starters are missing; with a flex quota also how many flexible slots are."""
+    if flex_quota:
+        quota = {**quota, "FLEX": flex_quota}
+        filled = filled.withColumn(position, F.when(F.col("slot") == "FLEX", "FLEX").otherwise(F.col(position)))
+        filled = filled.withColumn("slot", F.when(F.col("slot") == "FLEX", "STARTER").otherwise(F.col("slot")))
     wanted = F.explode(F.array(*[F.struct(F.lit(p).alias(position), F.lit(n).alias("required")) for p, n in quota.items()]))
     need = filled.select(*by).distinct().select(*by, wanted.alias("_w")).select(*by, "_w.*")
     have = filled.where("slot = 'STARTER'").groupBy(*by, position).agg(F.count("*").alias("filled"))
@@ -45,7 +49,20 @@ def head_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return ranked if out else ranked.drop("_rn")
 
 
-def stratified_sample(df: DataFrame, strata: Sequence[str], key: Sequence[str], quota: int, seed: int) -> DataFrame:
-    """The same `quota` rows of each stratum on every run: in the order of a hash of key and seed."""
+def stratified_sample(df: DataFrame, strata: Sequence[str], key: Sequence[str], quota: int, seed: int, extra: int = 0) -> DataFrame:
+    """The same `quota` rows of each stratum on every run: in the order of a hash of key and seed. `extra` more rows come
+    one each from the first strata in their own order, as the remainder of an uneven division does."""
     order = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    return head_per_group(df, strata, [order, *[F.col(k) for k in key]], quota)
+    taken = head_per_group(df, strata, [order, *[F.col(k) for k in key]], quota + (1 if extra else 0), "_rn")
+    if extra:
+        firsts = df.select(*strata).distinct().orderBy(*strata).limit(extra).withColumn("_more", F.lit(1))
+        taken = taken.join(F.broadcast(firsts), list(strata), "left")  # `extra` rows
+        taken = taken.where(F.col("_rn") <= quota + F.coalesce("_more", F.lit(0))).drop("_more")
+    return taken.drop("_rn")
+
+
+def with_unavailable(df: DataFrame, position: str, eligible: Column, unavailable: Column) -> DataFrame:
+    """Columns for a lineup with overrides: `usable` (eligible and not unavailable) and `override`, which says why not."""
+    gone = F.coalesce(unavailable, F.lit(False))
+    ok = F.coalesce(eligible, F.lit(False))
+    return df.withColumns({"usable": ok & ~gone, "override": F.when(gone, "UNAVAILABLE").when(~ok, "INELIGIBLE").otherwise("")})

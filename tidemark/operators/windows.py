@@ -42,7 +42,11 @@ class Prior:
 
     def ratio_of_sums(self, a: str | Column, b: str | Column, k: int) -> Column:
         """Ratio of the two sums over the last k rows, not the mean of ratios; null for a zero denominator."""
-        return ratio(F.sum(a).over(self.last(k)), F.sum(b).over(self.last(k)))
+        return ratio(F.sum(a).over(self.last(k)).cast("double"), F.sum(b).over(self.last(k)).cast("double"))
+
+    def exact_mean(self, c: str | Column, k: int) -> Column:
+        """Mean of a decimal column by its exact sum."""
+        return ratio(F.sum(c).over(self.last(k)).cast("double"), F.count(c).over(self.last(k)))
 
     def count(self) -> Column:
         return F.row_number().over(self.all) - 1
@@ -55,8 +59,8 @@ class Prior:
 
 
 def prior_features(df: DataFrame, prior: Prior, measures: Sequence[str], means: Sequence[int] = (3, 5), spread: int = 5) -> DataFrame:
-    """For each measure: previous value, trailing means, season-to-date mean, trailing deviation, minimum and maximum;
-    and the counts of earlier rows overall and in the season."""
+    """For each measure: previous value, trailing means, season-to-date mean and deviation, trailing deviation, minimum and
+    maximum; and the counts of earlier rows overall and in the season."""
     added = {}
     for m in measures:
         added[f"{m}_prev"] = prior.lag(m)
@@ -66,6 +70,7 @@ def prior_features(df: DataFrame, prior: Prior, measures: Sequence[str], means:
         added[f"{m}_sd{spread}"] = F.stddev_samp(m).over(prior.last(spread))
         added[f"{m}_min{spread}"] = F.min(m).over(prior.last(spread))
         added[f"{m}_max{spread}"] = F.max(m).over(prior.last(spread))
+        added[f"{m}_season_sd"] = F.stddev_samp(m).over(prior.to_date)
     return df.withColumns(added | {"prior_rows": prior.count(), "prior_season_rows": prior.season_count()})
 
 
@@ -98,6 +103,7 @@ def cutoff_features(history: DataFrame, targets: DataFrame, key: Sequence[str],
         F.stddev_samp(last(5)).alias(f"{measure}_sd5"),
         F.min(last(5)).alias(f"{measure}_min5"),
         F.max(last(5)).alias(f"{measure}_max5"),
+        F.stddev_samp(F.when(season, F.col(measure))).alias(f"{measure}_season_sd"),
         F.count("*").alias("prior_rows"),
         F.count_if(season).alias("prior_season_rows"),
     )
@@ -105,10 +111,21 @@ def cutoff_features(history: DataFrame, targets: DataFrame, key: Sequence[str],
     return targets.join(one, list(key), "left").withColumns(counts)
 
 
+def cutoff_ratios(history: DataFrame, targets: DataFrame, key: Sequence[str], order: Sequence[str], before: Column, ratios: dict[str, tuple[str, str, int]], flags: dict[str, tuple[str, int]]) -> DataFrame:
+    """Trailing ratios of sums and sums of flags at a cutoff: name to (numerator, denominator, rows) and (flag, rows)."""
+    newest = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    ranked = history.where(before).withColumn("_rank", F.row_number().over(newest))
+    last = lambda c, k: F.when(F.col("_rank") <= k, F.col(c))
+    made = [ratio(F.sum(last(a, k)), F.sum(last(b, k))).alias(n) for n, (a, b, k) in ratios.items()]
+    made += [F.coalesce(F.sum(last(c, k)), F.lit(0)).alias(n) for n, (c, k) in flags.items()]
+    joined = targets.join(ranked.groupBy(*key).agg(*made), list(key), "left")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in flags})
+
+
 def global_prior_mean(df: DataFrame, day: str, order: Sequence[str], value: str, out: str, strict_day: bool = False) -> DataFrame:
     """Mean of `value` over all earlier rows, of any entity. Two levels: sums by day with a prefix over the days, and a
     window inside the day; one row per day meets in a single task, never the rows themselves. With `strict_day`, rows of
-    the same day don't count."""
+    the same day don't count. Sums of a decimal `value` are exact in any order."""
     days = df.groupBy(day).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     before = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     base = days.select(day, F.sum("_s").over(before).alias("_bs"), F.sum("_n").over(before).alias("_bn"))
@@ -118,4 +135,4 @@ def global_prior_mean(df: DataFrame, day: str, order: Sequence[str], value: str,
     if not strict_day:
         total = total + F.coalesce(F.sum(value).over(inside), zero)
         count = count + F.count(value).over(inside)
-    return df.join(base, day).withColumn(out, ratio(total, count)).drop("_bs", "_bn")
+    return df.join(base, day).withColumn(out, ratio(total.cast("double"), count)).drop("_bs", "_bn")

@@ -33,6 +33,21 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str], before:
     return (df if before is None else df.where(before)).select(*columns)
 
 
+def contract_states(df: DataFrame, expected: Sequence[str], forbidden: Sequence[str] = ()) -> DataFrame:
+    """One row per expected or existing column: MISSING, FORBIDDEN, UNEXPECTED or PRESENT, and in how many rows it's known."""
+    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    state = lambda c: "MISSING" if c not in df.columns else "FORBIDDEN" if c in forbidden else "PRESENT" if c in expected else "UNEXPECTED"
+    names = list(dict.fromkeys([*expected, *df.columns]))
+    known = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(0).cast("long")
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(state(c)).alias("state"), known(c).alias("n_known")) for c in names])
+    return one.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def history_until(df: DataFrame, season: str, period: str, current: int, last: int) -> DataFrame:
+    """All rows of earlier seasons, and those of the current one up to the period `last`; partition pruning applies."""
+    return df.where((F.col(season) < current) | ((F.col(season) == current) & (F.col(period) <= last)))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
 
@@ -42,9 +57,11 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], replace: bool
     df.write.mode("overwrite" if replace else "errorifexists").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, order: Sequence[str | Column]) -> None:
-    """A small result as one CSV file in stable order."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_report(df: DataFrame, path: str, order: Sequence[str | Column], most: int = 1_000_000) -> None:
+    """A small result as one CSV file in stable order; a result of over `most` rows is written sorted, in several files."""
+    ordered = df.orderBy(*order)
+    small = df.limit(most + 1).count() <= most
+    (ordered.coalesce(1) if small else ordered).write.mode("overwrite").csv(path, header=True)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -54,20 +71,35 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def publish_if_changed(df: DataFrame, path: str) -> bool:
-    """Overwrite a Parquet table only if its content differs; says whether it did."""
+    """Publish a Parquet table only if its content differs; says whether it did. The new version is written beside the
+    old one and then takes its place by renaming, so that a failure while writing leaves the old one as it was."""
     spark = df.sparkSession
-    try:
-        there = fingerprint(spark.read.parquet(path)).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        there = None
-    if there == fingerprint(df).first():
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, fresh, old = (jvm.Path(path.rstrip("/") + x) for x in ("", "._new", "._old"))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at) and fingerprint(spark.read.schema(df.schema).parquet(path)).first() == fingerprint(df).first():
         return False
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(str(fresh))
+    if files.exists(at):
+        files.delete(old, True)
+        files.rename(at, old)
+    files.rename(fresh, at)
+    files.delete(old, True)
     return True
 
 
+def reconcile_files(spark: SparkSession, path: str, manifest: DataFrame, by: Sequence[str], schema: str | None = None) -> DataFrame:
+    """A partitioned dataset against its manifest (partition columns, n_rows, n_files): rows, files and, where `schema` is
+    given (name:type,...), whether the dataset has exactly that one."""
+    df = spark.read.parquet(path)
+    per_file = df.withColumn("_file", F.input_file_name()).groupBy(*by, "_file").agg(F.count("*").alias("_n"))
+    have = per_file.groupBy(*by).agg(F.sum("_n").alias("n_loaded"), F.count("*").alias("n_loaded_files"))
+    joined = manifest.join(have, list(by), "full_outer")
+    same = schema is None or schema == ",".join(f"{n}:{t}" for n, t in sorted(df.drop(*by).dtypes))
+    ok = F.col("n_rows").eqNullSafe(F.col("n_loaded")) & F.col("n_files").eqNullSafe(F.col("n_loaded_files"))
+    return joined.withColumn("status", F.when(ok & F.lit(same), "PASS").otherwise("FAIL"))
+
+
 def reconcile_manifest(df: DataFrame, manifest: DataFrame, by: Sequence[str], stated: str) -> DataFrame:
     """Rows per partition against what a manifest states; partitions of one side only count as 0."""
     have = df.groupBy(*by).agg(F.count("*").alias("n_loaded"))

@@ -21,6 +21,8 @@ ROUNDS = (1, 4, 11)
 #: Longs of a set's parity sketch, the ratio of successive length classes, and how many sets that share a shingle are
 #: compared in one task with the others that do.
 SKETCH, CLASS_RATIO, SALT_ROWS = 8, 1.05, 4096
+#: Rare shingles of a set by which components are first tried, one set of each component at a shingle.
+FIRST_SHINGLES = 6
 
 
 def word_hashes(texts: list[bytes]):
@@ -225,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        component of its bucket's smallest set is compared with that set, on full sets, and components are merged. So
        a bucket costs a pair a member at most, and members whose component is settled cost nothing in later rounds.
     3. What still lies in buckets of several components is settled exactly, by a prefix join on rare shingles
-       (`prefix_pairs`), whose candidates are bounded by what the texts really share.
+       (`prefix_pairs`), whose candidates are bounded by what the texts really share: first one set of each component at
+       each of a few shingles, which merges most of what is to be merged, then all sets that still are apart.
     Only candidates' texts are read a second time, found by a bucket filter of checked size.
 
     Edge cases: words are separated by space and ASCII controls 9 to 13 and lower-cased in A-Z only; a text with
@@ -253,16 +256,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         labels = relabelled(labels, materialize(verified(pairs, sets, percent)))
+    # what is left: first one set of each component at a rare shingle, then all that still are apart
     unsettled = materialize(_unsettled(members, labels))
-    rest = materialize(prefix_pairs(unsettled, sets, percent).join(tried, ["a", "b"], "left_anti"))
-    labels = relabelled(labels, materialize(verified(rest, sets, percent)))
+    prefix = materialize(prefix_rows(sets.join(unsettled.select("id"), "id", "left_semi"), percent))
+    for whole in (False, True):
+        named = prefix.join(labels, "id")
+        if not whole:
+            named = named.where(F.col("shared_place") < FIRST_SHINGLES)
+            one = named.groupBy("shingle", "comp").agg(F.min(F.struct("place", "id")).alias("one"))
+            named = named.join(one.select("shingle", F.col("one.id").alias("id")), ["shingle", "id"])
+        pairs = materialize(prefix_pairs(named, percent).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        labels = relabelled(labels, materialize(verified(pairs, sets, percent)))
 
     # back to documents: by fingerprint, then once more over ids that repeat
     named = reps.select("key", "id").join(labels.withColumnRenamed("id", "key"), "key", "left").select("key", "id", F.coalesce("comp", "key").alias("comp"))
     named = materialize(named)
     best = materialize(named.groupBy("comp").agg(F.min("id").alias("best")))
     of_key = materialize(named.join(best, "comp").select(F.col("key").alias("print"), "best"))
-    discard(members, shared, nodes, sets, tried, unsettled, rest, named, best, reps)
+    discard(members, shared, nodes, sets, tried, unsettled, prefix, named, best, reps)
     rows = signed.select("id", "n", "print").join(of_key, "print", "left").select("id", "n", F.coalesce("best", "id").alias("best"))
     return rows.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("best").alias("component_id"), F.col("id").eqNullSafe(F.col("best")).alias("kept")
@@ -293,43 +305,53 @@ def _head_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, comp) of the members of buckets that still hold several components."""
+    """(id) of the members of buckets that still hold several components."""
     named = materialize(members.select("band", "key").join(labels.select(F.col("id").alias("key"), "comp"), "key"))
     mixed = materialize(named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band"))
-    return named.join(mixed, "band").select(F.col("key").alias("id"), "comp").distinct()
+    return named.join(mixed, "band").select(F.col("key").alias("id")).distinct()
 
 
-def prefix_pairs(open_sets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of `open_sets` (id, comp) in different components whose sets may have the similarity `percent`.
+def _ceil(x: Column | int, y: int) -> Column:
+    return F.floor((x + (y - 1)) / y)
 
-    Shingles are ordered from rare to frequent. Two sets of n and m shingles with that similarity share at least
-    o = percent (n + m) / (100 + percent) of them, so the first shingle that they share stands before place n - o + 1 in
-    the one and m - o + 1 in the other: only such prefixes meet, by shingle and class of length, and a shingle that
-    one set alone has meets nothing. A frequent shingle is salted. Pairs whose parity sketches show more differing
-    shingles than n + m - 2 o are left out. All of this is exact: no pair that is similar enough is lost.
-    """
-    held = sets.join(open_sets, "id").select("id", "comp", "set", "sketch", F.size("set").cast("long").alias("n"))
-    held = materialize(held)
+
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, shingle, df, place, shared_place, s0 ...) for the prefix of every set: its shingles in the order from rare to
+    frequent, up to the place by which a similar set must have shared one. Shingles that no other set has only count for
+    the places."""
+    held = materialize(sets.select("id", "set", "sketch", F.size("set").cast("long").alias("n")))
     items = held.select("id", "n", F.explode("set").alias("shingle"))
     seen = materialize(items.groupBy("shingle").agg(F.count("*").alias("df")))
-    ranked = items.join(seen, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1)
-    ceil = lambda x, y: F.floor((x + (y - 1)) / y)
-    prefix = ranked.where(F.col("df") > 1).where(F.col("place") <= F.col("n") - ceil(percent * F.col("n"), 100))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1
+    lone = F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).over(Window.partitionBy("id"))
+    ranked = items.join(seen, "shingle").withColumns({"place": place, "lone": lone})
+    prefix = ranked.where(F.col("df") > 1).where(F.col("place") <= F.col("n") - _ceil(percent * F.col("n"), 100))
     bits = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    prefix = materialize(prefix.select("id", "shingle", "df", "place").join(held.select("id", "comp", "n", *bits), "id"))
+    prefix = prefix.select("id", "shingle", "df", "place", (F.col("place") - F.col("lone")).alias("shared_place"))
+    return prefix.join(held.select("id", "n", *bits), "id")
 
+
+def prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components (`prefix` is prefix_rows with comp) that may have the similarity
+    `percent`.
+
+    Two sets of n and m shingles with that similarity share at least o = percent (n + m) / (100 + percent) of them, so the
+    first shingle that they share stands before place n - o + 1 in the one and m - o + 1 in the other: only such prefixes
+    meet, by shingle and class of length. A frequent shingle is salted. Pairs whose parity sketches show more differing
+    shingles than n + m - 2 o are left out. All of this is exact: no pair that is similar enough is lost.
+    """
     length = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO)))
     n, place = F.col("n"), F.col("place")
-    salts = ceil(F.col("df"), SALT_ROWS)
+    salts = _ceil(F.col("df"), SALT_ROWS)
     # of a pair, the smaller set (by n, then id) is on the left side
-    small = prefix.where(place <= n - ceil(2 * percent * n, 100 + percent))
+    small = prefix.where(place <= n - _ceil(2 * percent * n, 100 + percent))
     small = small.withColumns({"length": length(n), "salt": F.pmod(F.xxhash64("id"), salts)})
     most = F.least(n, F.floor((n - place) * (100 + percent) / percent) - n)
-    large = prefix.where(most >= F.greatest(ceil(percent * n, 100), F.lit(1)))
-    large = large.withColumn("length", F.explode(F.sequence(length(ceil(percent * n, 100)), length(most))))
+    large = prefix.where(most >= F.greatest(_ceil(percent * n, 100), F.lit(1)))
+    large = large.withColumn("length", F.explode(F.sequence(length(_ceil(percent * n, 100)), length(most))))
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     x, y = small.alias("x"), large.alias("y")
-    both = ceil(percent * (F.col("x.n") + F.col("y.n")), 100 + percent)
+    both = _ceil(percent * (F.col("x.n") + F.col("y.n")), 100 + percent)
     differ = reduce(add, [F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)])
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "length", "salt")]
     on += [F.col("x.comp") != F.col("y.comp"), F.struct("x.n", "x.id") < F.struct("y.n", "y.id")]

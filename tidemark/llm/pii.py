@@ -1,4 +1,5 @@
-"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them."""
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds values which are
+spelled otherwise than the patterns know."""
 
 from __future__ import annotations
 
@@ -18,13 +19,22 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-EMAIL, IP, CARD, PHONE = (re.compile(p) for p in PATTERNS)
+CARD, PHONE = re.compile(PATTERNS[2]), re.compile(PATTERNS[3])
 DIGIT = re.compile("[0-9]")
+# Parts of the email and ip patterns, by which both are found in one pass of linear time.
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 
-#: Rows of the labelled table taken from the corpus at most, weight buckets, and epochs of training.
+#: Lines of either sort in the labelled table at most, weight buckets, and epochs of training.
 SAMPLE, BUCKETS, EPOCHS = 1500, 1 << 14, 60
-#: A sequence ends with its line, after a word that closes a sentence, or at this many words.
-LONGEST = 128
+#: Words kept around the values of a labelled line, values of a line that are respelled, and characters around those.
+AROUND, VALUES, CONTEXT = 6, 4, 40
+#: A sequence ends with its line or after a word that closes a sentence. Longer ones are decoded in parts of LONGEST words,
+#: each with OVERLAP more words on either side whose labels come from the neighbouring part.
+LONGEST, OVERLAP = 128, 16
+#: Words of up to this many bytes are features by themselves, not only by shape.
+SHORT = 6
 #: Characters that don't belong to a span at its ends.
 EDGE = b" \t\n\x0b\x0c\r.,;:!?\"'<>[]{}|"
 
@@ -40,11 +50,9 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind, then start: leftmost matches that don't overlap within their kind;
     matches that fail their check are dropped and not tried again."""
-    found = []
-    if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    found = [(0, a, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
+        found += [(1, a, b) for a, b in addresses(text) if all(_small(p) for p in text[a:b].split("."))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -56,6 +64,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def emails(text: str):
+    """Matches of the email pattern: around every @, as far to the left as its characters reach, not before the match
+    before, and the domain to the right."""
+    end = 0
+    at = text.find("@")
+    before = -1
+    while at >= 0:
+        start = max(end, before + 1)
+        start += len(text[start:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            yield start, end
+        before, at = at, text.find("@", max(at + 1, end))
+
+
+def addresses(text: str):
+    """Matches of the ip pattern: every four numbers of a chain of numbers that single dots join."""
+    for chain in DOTTED.finditer(text):
+        if chain.group().count(".") < 3:
+            continue
+        at, parts = chain.start(), chain.group().split(".")
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -99,18 +135,37 @@ class Words:
         self.digits = digits
         ends = kinds[self.stops - 1] if n else kinds[:0]
         lines = np.concatenate(([0], np.cumsum(self.data == 10)))[self.starts]
-        closes = (ends == 5) & (digits == 0)
+        closes = (ends == 5) & (digits == 0) & (length > 1)
         new = np.ones(n, bool)
         new[1:] = (lines[1:] != lines[:-1]) | closes[:-1]
-        since = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        self.first = np.flatnonzero(new | (since % LONGEST == 0)) if n else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.first, n))
+        self.new = new
+        begins = np.flatnonzero(new) if n else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(begins, n))
+        parts = np.maximum(-(-lengths // LONGEST), 1) if n else lengths
+        inner = np.repeat(begins, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        stop = np.minimum(inner + LONGEST, np.repeat(begins + lengths, parts))
+        # decoded from `first` on, `size` words; labels of words from `inner` to `stop` count
+        self.inner, self.stop = inner, stop
+        self.first = np.maximum(inner - OVERLAP, np.repeat(begins, parts))
+        self.size = np.minimum(stop + OVERLAP, np.repeat(begins + lengths, parts)) - self.first
         before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
         before[1:], after[:-1] = shape[:-1], shape[1:]
-        before[self.first] = 10**9 + 1
-        after[self.first - 1 if n else self.first] = 10**9 + 1
+        last = np.append(begins[1:], n)[: len(begins)] - 1
+        before[begins], after[last] = 10**9 + 1, 10**9 + 1
+        own = np.zeros(n, np.int64)
+        lower = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.int64)
+        for k in range(SHORT):
+            at = self.starts + k
+            own = own * 257 + np.where(at < self.stops, lower[np.minimum(at, max(len(lower) - 1, 0))] + 1 if n else 0, 0)
+        own = np.where(self.stops - self.starts <= SHORT, own, 0)
+        previous, following = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        previous[1:], following[:-1] = own[:-1], own[1:]
+        previous[begins], following[last] = -1, -1
         mix = lambda k, x, y=0: ((x * 0x9E3779B1 + y * 0x85EBCA6B + k * 0xC2B2AE35) >> 7) % BUCKETS
-        self.features = np.stack([mix(1, shape), mix(2, shape, length), mix(3, shape, digits), mix(4, before, shape), mix(5, after, shape), mix(6, digits, length)])
+        self.features = np.stack([
+            mix(1, shape), mix(2, shape, length), mix(3, shape, digits), mix(4, before, shape), mix(5, after, shape), mix(6, digits, length),
+            mix(7, own), mix(8, previous, shape), mix(9, following, shape),
+        ])
 
 
 def padded(words: Words, pick):
@@ -135,7 +190,8 @@ def viterbi(words: Words, model: dict):
         scores += emission[row]
     order = np.argsort(-words.size, kind="stable")
     for i in range(0, len(order), 16384):
-        at = padded(words, order[i : i + 16384])
+        pick = order[i : i + 16384]
+        at = padded(words, pick)
         live = (at >= 0).sum(1)
         best = scores[at[0]]
         back = []
@@ -145,9 +201,11 @@ def viterbi(words: Words, model: dict):
             back.append(step.argmax(1).astype(np.int8))
             best = np.concatenate((step.max(1) + scores[at[t, :k]], best[k:]))
         now = best.argmax(1).astype(np.int8)
+        inner, stop = words.inner[pick], words.stop[pick]
         for t in range(len(at) - 1, -1, -1):
             k = live[t]
-            labels[at[t, :k]] = now[:k]
+            counts = (at[t, :k] >= inner[:k]) & (at[t, :k] < stop[:k])
+            labels[at[t, :k][counts]] = now[:k][counts]
             if t:
                 now[:k] = back[t - 1][np.arange(k), now[:k]]
     return labels
@@ -211,24 +269,53 @@ def train_field(texts: list[bytes], spans: list[list[tuple[int, int, int]]], epo
     return {"emission": emission, "move": move}
 
 
-def _variants(kind: int, value: str, k: int) -> list[str]:
+def varied(kind: int, value: str, k: int) -> str:
+    """Another value of the kind, so that the field learns more than the corpus's habits: emails without their digits
+    or with a dot in the name, addresses with numbers of other lengths."""
+    if kind == 0 and k % 2:
+        name, _, place = re.sub("[0-9]", "", value).partition("@")
+        name = name.strip(".") or "name"
+        name = f"{name[: len(name) // 2 + 1]}.{name[len(name) // 2 :]}" if k % 4 == 1 else name
+        return f"{name}@{place.lstrip('.') or 'host.org'}"
+    if kind == 1:
+        seed = hashlib.md5(f"{k}:{value}".encode()).digest()
+        return ".".join(str(x % (10, 100, 256)[y % 3]) for x, y in zip(seed[:4], seed[4:8], strict=True))
+    return value
+
+
+def respelled(kind: int, value: str) -> list[str]:
     """Other spellings of a value found by the base patterns, which those patterns miss."""
     if kind == 0:
         name, _, place = value.partition("@")
-        return [f"{name} (at) {place}", f"{name} [at] {place.replace('.', ' [dot] ')}", f"{name}@{place.split('.')[0]}"][k % 3 :][:1]
+        return [f"{name} (at) {place}", f"{name} [at] {place}", f"{name} [at] {place.replace('.', ' [dot] ')}", f"{name}(at){place}", f"{name} @ {place}"]
+    if kind == 1:
+        return [value.replace(".", x) for x in (" . ", "[.]", " .", ". ", "(.)")]
     digits = re.sub("[^0-9]", "", value)
     if kind == 3 and len(digits) >= 10:
         d = digits[-10:]
-        return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"][k % 3 :][:1]
+        return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"001 {d[:3]} {d[3:6]}{d[6:]}", f"{d[:3]}/{d[3:6]}-{d[6:]}"]
     if kind == 2 and len(digits) == 16:
-        return [".".join(digits[i : i + 4] for i in range(0, 16, 4))]
+        four = [digits[i : i + 4] for i in range(0, 16, 4)]
+        return [x.join(four) for x in (".", "/", "_", "--", "  ")]
     return []
 
 
+def failed_values(text: str) -> bool:
+    """Whether a value that looks like one of a kind fails its check, and nothing else does look so: such a line is known
+    to hold none."""
+    looks = any(True for _ in addresses(text)) or PHONE.search(text) or any(sum(c.isdigit() for c in m.group()) >= 16 for m in CARD.finditer(text))
+    return bool(looks) and not base_spans(text)
+
+
 def labelled_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
-    """The small labelled table: lines of the corpus around what the base patterns find (labelled so), the same lines with
-    the value spelled as the patterns don't know it (labelled alike), and lines with numbers but no finding (labelled none).
-    At most `sample` lines of either sort, in the order of a hash of id and line."""
+    """The small labelled table: at most `sample` lines of the corpus with values that the base patterns find, each labelled
+    so; the same lines with up to VALUES of their values respelled, labelled alike; and at most `sample` lines known to
+    hold none, because what looks like a value fails its check. Lines nobody has judged aren't in it. Lines are taken in the
+    order of a hash of id and line, and hold AROUND words around their values (CONTEXT characters around respelled ones).
+
+    Edge cases: null and empty texts give no line; repeated rows give equal lines, of which each counts; a table without
+    such lines, or an empty one, gives an empty table, on which `train_field` makes a field that adds nothing; other columns
+    are ignored."""
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL("line string, hit boolean, h string")
@@ -244,27 +331,50 @@ def labelled_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if DIGIT.search(line) or "@" in line:
                         words = line.split(" ")
                         near = [i for i, w in enumerate(words) if DIGIT.search(w) or "@" in w]
-                        line = " ".join(words[max(0, near[0] - 6) : min(near[-1], near[0] + 30) + 7])
-                        rows.append((line, bool(base_spans(line)), hashlib.md5(f"{key}:{line}".encode()).hexdigest()))
+                        line = " ".join(words[max(0, near[0] - AROUND) : min(near[-1], near[0] + 30) + AROUND + 1])
+                        hit = bool(base_spans(line))
+                        if hit or failed_values(line):
+                            rows.append((line, hit, hashlib.md5(f"{key}:{line}".encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], ["line", "hit", "h"])
 
     lines = texts.mapInArrow(run, schema)
     table = []
     for hit in (True, False):
-        got = lines.where(F.col("hit") == hit).orderBy("h", "line").limit(sample).collect()
-        for k, row in enumerate(got):
-            line = row["line"]
-            spans = base_spans(line) if hit else []
-            table.append((line.encode(), [(s[0], len(line[: s[1]].encode()), len(line[: s[2]].encode())) for s in spans]))
-            for kind, a, b in spans[:4]:
-                for other in _variants(kind, line[a:b], k):
-                    head, tail = line[max(0, a - 40) : a], line[b : b + 40]
-                    if not base_spans(head) and not base_spans(tail):
-                        made = f"{head}{other}{tail}"
-                        table.append((made.encode(), [(kind, len(head.encode()), len(head.encode()) + len(other.encode()))]))
+        for k, row in enumerate(lines.where(F.col("hit") == hit).orderBy("h", "line").limit(sample).collect()):
+            table += labelled_line(row["line"], k)
     return table
 
 
+def labelled_line(line: str, k: int = 0) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
+    """A line labelled by the base patterns, and the same line around each of its first VALUES values in the k-th respelling."""
+    spans = base_spans(line)
+    size = lambda text: len(text.encode())
+    table = [(line.encode(), [(kind, size(line[:a]), size(line[:b])) for kind, a, b in spans])]
+    for kind, a, b in spans[:VALUES]:
+        others = respelled(kind, varied(kind, line[a:b], k // 5))
+        head, tail = line[max(0, a - CONTEXT) : a], line[b : b + CONTEXT]
+        if others and not base_spans(head) and not base_spans(tail):
+            other = others[k % len(others)]
+            table.append((f"{head}{other}{tail}".encode(), [(kind, size(head), size(head) + size(other))]))
+    return table
+
+
+def held_out_quality(table: list, model_of=None, folds: int = 5) -> dict[str, float]:
+    """Precision and recall of the field alone on the labelled lines that a field trained without them hasn't seen: a span
+    counts as right where kind, start and end agree (bytes)."""
+    model_of = model_of or (lambda rows: train_field([x for x, _ in rows], [y for _, y in rows]))
+    right = said = there = 0
+    for fold in range(folds):
+        model = model_of([r for i, r in enumerate(table) if i % folds != fold])
+        rest = [r for i, r in enumerate(table) if i % folds == fold]
+        found = added_spans([x for x, _ in rest], [[]] * len(rest), model)
+        for (text, spans), got in zip(rest, found, strict=True):
+            raw = text.decode()
+            got_bytes = {(kind, len(raw[:a].encode()), len(raw[:b].encode())) for kind, a, b in got}
+            right, said, there = right + len(got_bytes & set(spans)), said + len(got_bytes), there + len(spans)
+    return {"precision": right / max(said, 1), "recall": right / max(there, 1), "spans": there}
+
+
 def find_personal_data(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data in whole texts, one row per input row: the id, base and added (arrays of kind, start, end; code
     points, end exclusive). `base` has what the fixed patterns find. `added` has what the random field labels beyond that:
@@ -304,9 +414,7 @@ def added_spans(texts: list[bytes], base: list[list[tuple[int, int, int]]], mode
     if not len(hits):
         return out
     offsets = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
-    starts_sequence = np.zeros(len(labels), bool)
-    starts_sequence[words.first] = True
-    breaks = np.flatnonzero((np.diff(hits) != 1) | (np.diff(labels[hits]) != 0) | starts_sequence[hits[1:]]) + 1
+    breaks = np.flatnonzero((np.diff(hits) != 1) | (np.diff(labels[hits]) != 0) | words.new[hits[1:]]) + 1
     for run in np.split(hits, breaks):
         a, b = int(words.starts[run[0]]), int(words.stops[run[-1]])
         i = int(np.searchsorted(offsets, a, "right")) - 1
@@ -328,13 +436,13 @@ def plausible(kind: int, value: str) -> bool:
     """An exact check behind the field: what a value of its kind can't do without, however it is spelled."""
     digits = re.sub("[^0-9]", "", value)
     if kind == 0:
-        return bool(re.search(r"[A-Za-z0-9]\s*(?:@|\W+at\W+)\s*[A-Za-z0-9]", value, re.IGNORECASE))
+        return bool(re.search(r"[A-Za-z0-9]\s*(?:@|\W+at\W+)\s*[A-Za-z0-9-]+(?:\.|\W+dot\W+)[A-Za-z0-9]", value, re.IGNORECASE))
     if kind == 1:
         parts = re.findall("[0-9]+", value)
-        return len(parts) == 4 and all(_small(p) for p in parts)
+        return len(parts) == 4 and all(_small(p) for p in parts) and not re.search("[A-Za-z]", value)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 8 <= len(digits) <= 15 and not re.search("[A-Za-z]", value)
+    return 10 <= len(digits) <= 15 and not re.search("[A-Za-z]", value)
 
 
 def span_text(spans: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Language identification by nearest centroid of TF-IDF vectors over character n-grams."""
+"""Language identification by nearest centroid of TF-IDF vectors over n-grams of UTF-8 bytes."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_chunks
 
-#: Labelled texts per language that the model is fitted on, at most; terms of the vocabulary; centroids a language.
-SAMPLE, TERMS, CENTROIDS = 600, 2048, 3
+#: Labelled texts per language that the model is fitted on, at most; languages that it may have; terms of the vocabulary;
+#: centroids a language.
+SAMPLE, LANGUAGES, TERMS, CENTROIDS = 600, 1000, 2048, 3
+#: Parts of a language's rows whose first texts (by hash) are found apart from each other.
+PARTS = 64
 #: A text further from its nearest centroid than this quantile of the training distances, plus a margin, is rejected.
 REJECT_AT, MARGIN = 0.999, 0.05
 LETTER = re.compile(r"[^\W\d_]")
@@ -114,12 +117,30 @@ def predict_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text_
 
 
 def train_language_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` texts of each language among the rows where `train` holds and the language is known,
-    taken in the order of a hash of the id. Only ids are ranked; then the sample's texts are fetched."""
+    """Fit on at most `sample` texts of each language among the rows where `train` holds and the language is known, in the
+    order of a hash of id and text. Rows are ranked by that hash only, a language in PARTS parts; then the sample's
+    texts are fetched by id and hash.
+
+    Edge cases: rows with a null id, text or language, or a null condition, train nothing; rows that repeat an id are told
+    apart by their texts, and equal rows count once; more than LANGUAGES languages raise ValueError; an empty table gives
+    a model that knows no language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), train.alias("train"))
-    rows = rows.where("train and lang is not null and text is not null and id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id").distinct()
-    got = rows.join(F.broadcast(ids), "id").select("id", "text", "lang").collect()  # `sample` per language at most
+    rows = rows.where("train and lang is not null and text is not null and id is not null").withColumn("h", F.xxhash64("id", "text"))
+    names = rows.select("lang").distinct().limit(LANGUAGES + 1).collect()
+    if len(names) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+    # a hash threshold with a wide margin leaves some multiple of the sample; only where it leaves too few do all rows count
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    keep = {name: min(1.0, 4.0 * sample / n) for name, n in sizes.items()}
+    share = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    below = F.lit(False)
+    for name, most in keep.items():
+        below = below | ((F.col("lang") == name) & (share < most))
+    few = rows.where(below).select("lang", "h", "id", F.pmod(F.col("h"), F.lit(PARTS)).alias("part"))
+    inside = Window.partitionBy("lang", "part").orderBy("h", "id")
+    few = few.distinct().withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= sample)
+    ids = [r for name in keep for r in few.where(F.col("lang") == name).orderBy("h", "id").limit(sample).collect()]
+    chosen = docs.sparkSession.createDataFrame([(r["id"], r["h"]) for r in ids], f"id {rows.schema['id'].dataType.simpleString()}, h long")
+    got = rows.join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "lang").distinct().collect()  # `sample` a language
     got = sorted({(str(r["id"]), r["lang"], r["text"]) for r in got})
     return fit_centroids([t.encode("utf-8", "replace") for _, _, t in got], [x for _, x, _ in got])

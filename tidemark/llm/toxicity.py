@@ -81,8 +81,9 @@ def features(counts, weights):
 def fit_toxicity(toxic: list[bytes], ordinary: list[bytes]) -> dict:
     """Train the two dictionaries on all texts, and calibrate on texts that the dictionaries of other folds haven't seen.
 
-    The toxic dictionary is trained on the windows of toxic texts that recur there and never occur in ordinary ones,
-    the ordinary one on the windows of ordinary texts. Thresholds: each cell of (word length, length difference)
+    The toxic dictionary is trained on the windows that LEAST_TEXTS toxic texts have and no ordinary one has (and on such
+    beginnings of words), the ordinary one on the windows of ordinary texts, frequent ones more often by the root of their
+    count. Dictionaries of whole texts tell next to nothing where a hundredth of the words is toxic (figures in README). Thresholds: each cell of (word length, length difference)
     weighs as its log-odds of occurring in toxic texts, and below 1 nothing; a logistic curve turns a text's total
     into a score."""
     import numpy as np
@@ -108,11 +109,12 @@ def _dictionaries(words: list[list[list[bytes]]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, from the distinct words of each text."""
     from collections import Counter
     from itertools import chain
+    from math import isqrt
 
     import numpy as np
 
     in_toxic, in_ordinary = (Counter(chain.from_iterable(t)) for t in words)
-    least = min(LEAST_TEXTS, 2 if len(words[0]) < 800 else LEAST_TEXTS, max(1, len(words[0]) // 4))
+    least = LEAST_TEXTS
     shuffle = np.random.RandomState(7).permutation
     own = [b" " + w + b" " for w, c in sorted(in_toxic.items()) if c >= least and w not in in_ordinary for _ in range(c)]
     # stems of words that vary: beginnings that recur in toxic texts and begin no ordinary word
@@ -120,8 +122,8 @@ def _dictionaries(words: list[list[list[bytes]]]) -> tuple[bytes, bytes]:
         begins = {w[:k] for w in in_ordinary}
         stems = Counter(chain.from_iterable({w[:k] for w in t if len(w) > k} for t in words[0]))
         own += [b" " + w for w, c in sorted(stems.items()) if c >= least and w not in begins for _ in range(c)]
-    rest = [b" " + w + b" " for w, c in sorted(in_ordinary.items()) for _ in range(min(c, 20))]
-    own, rest = [own[i] for i in shuffle(len(own))], [rest[i] for i in shuffle(len(rest))][: 1 << 20]
+    rest = [b" " + w + b" " for w, c in sorted(in_ordinary.items()) for _ in range(isqrt(c))]
+    own, rest = [own[i] for i in shuffle(len(own))], [rest[i] for i in shuffle(len(rest))]
     join = lambda x, k: [b"".join(x[i : i + k]) for i in range(0, len(x), k)]
     return _dictionary(join(own, 4), TOXIC_BYTES), _dictionary(join(rest, 8), ORDINARY_BYTES)
 
@@ -146,13 +148,14 @@ def _logistic(x, y, ridge: float = 0.05):
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fit on a bounded sample of the labelled rows where `use` holds (a condition on the id): SAMPLE ids by label, in the
-    order of a hash. A document with several labels counts with each; null labels and texts are left out."""
+    order of a hash, and as many texts. A document with several labels counts with each; null labels and texts are left out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     texts: dict[int, list[bytes]] = {}
     for label, most in SAMPLE.items():
         chosen = known.where((F.col("label") == label) & use).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-        table = rows.where(F.col("text").isNotNull()).select("text").toArrow()  # at most `most` texts
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").where(F.col("text").isNotNull())
+        # an id may stand for many rows: of those, too, at most `most` texts are fetched
+        table = rows.orderBy(F.xxhash64("id", "text"), "id", "text").limit(most).select("text").toArrow()
         texts[label] = [x.encode("utf-8", "replace") for x in table.column(0).to_pylist()]
     return fit_toxicity(texts[1], texts[0])
 

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame
 
 #: One media sample is a block of 64 bytes (64 one-byte PCM samples at 8000 Hz); every 16th block is a sync sample.
 BLOCK, RATE, SYNC_EVERY, BLOCKS_PER_CHUNK = 64, 8000, 16, 256
+#: Containers of about so many bytes are read at a time.
+CHUNK_BYTES = 4 << 20
 MEDIA_FIELDS = (
     "codec string, timescale long, duration long, duration_s double, n_samples long, n_chunks long, n_sync long, "
     "payload_offset long, payload_bytes long, keyframes array<struct<start: long, end: long>>"
 )
 
 
+#: The identity matrix of movie and track headers.
+MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     if len(body) + 8 < 1 << 32:
@@ -54,14 +60,18 @@ def mux(payload: bytes) -> bytes:
             full_box(b"stsz", struct.pack(">II", BLOCK, blocks)),
             full_box(b"co64" if wide else b"stco", struct.pack(">I", chunks), offsets.astype(">u8" if wide else ">u4").tobytes()),
         )
+        long = len(payload) >= 1 << 32  # durations of 64 bits are version 1
+        head_box = lambda kind, flags, *parts: box(kind, struct.pack(">I", (long << 24) | flags), *parts)
+        span = struct.pack(">Q" if long else ">I", len(payload))
+        times = bytes(16 if long else 8)
         mdia = box(
             b"mdia",
-            full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, RATE, len(payload) & 0xFFFFFFFF, 0x55C4, 0)),
+            head_box(b"mdhd", 0, times, struct.pack(">I", RATE), span, struct.pack(">HH", 0x55C4, 0)),
             full_box(b"hdlr", bytes(4), b"soun", bytes(13)),
-            box(b"minf", full_box(b"smhd", bytes(4)), stbl),
+            box(b"minf", full_box(b"smhd", bytes(4)), box(b"dinf", full_box(b"dref", struct.pack(">I", 1), box(b"url ", b"\0\0\0\1"))), stbl),
         )
-        tkhd = full_box(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, len(payload) & 0xFFFFFFFF), bytes(60))
-        mvhd = full_box(b"mvhd", struct.pack(">IIII", 0, 0, RATE, len(payload) & 0xFFFFFFFF), bytes(80))
+        tkhd = head_box(b"tkhd", 7, times, struct.pack(">II", 1, 0), span, bytes(8), struct.pack(">HHH", 0, 0, 0x0100), bytes(2), MATRIX, bytes(8))
+        mvhd = head_box(b"mvhd", 0, times, struct.pack(">I", RATE), span, struct.pack(">IH", 0x00010000, 0x0100), bytes(10), MATRIX, bytes(24), struct.pack(">I", 2))
         return box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
     at = 16 if len(payload) + 8 >= 1 << 32 else 8
@@ -233,10 +243,17 @@ def probe_media(table: DataFrame, media_col: str = "media", digest: bool = False
             columns += [ranges(rows) if f.name == "keyframes" else pa.array([r.get(f.name) for r in rows], arrow.field(f.name).type) for f in added]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    def _binary_chunks(batches, step: int = 512):
+    def _binary_chunks(batches):
+        import pyarrow.compute as pc
+
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                yield part, part.column(part.num_columns - 1).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            start, held = 0, 0
+            for i, n in enumerate(sizes):
+                held += n
+                if held >= CHUNK_BYTES or i + 1 == len(sizes):
+                    part = batch.slice(start, i + 1 - start)
+                    yield part, part.column(part.num_columns - 1).to_pylist()
+                    start, held = i + 1, 0
 
     return picked.mapInArrow(run, schema)

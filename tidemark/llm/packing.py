@@ -136,7 +136,8 @@ def configurations(demand, rounds: int = ROUNDS, step: float = STEP):
     """A fractional solution of the configuration program: (patterns, amounts), least total amount such that every
     class of lengths is covered. Multiplicative weights: the weight of a class falls as it gets covered, the next
     pattern is the knapsack's best at the classes' weights per piece, and it enters with the amount that covers
-    its scarcest class once. The total is scaled so that the least covered class is covered exactly."""
+    its scarcest class once. The total is scaled so
+    that the median class is covered exactly: what a class then lacks, or has too much, is settled by rounding and best fit."""
     import numpy as np
 
     used = np.flatnonzero(demand)

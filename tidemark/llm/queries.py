@@ -47,7 +47,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.encode_media(table(spark, sf_dir, "documents"))
+    stored = materialize(media.encode_media(table(spark, sf_dir, "documents")))  # written, then read back
     probed = media.probe_media(stored, digest=True)
     feature = F.concat_ws(
         "|", "codec", F.concat(F.col("timescale"), F.lit("Hz")), F.concat(F.col("duration"), F.lit("t")), F.concat(F.col("n_samples"), F.lit("s")),

@@ -123,7 +123,7 @@ def test_prefix_join_loses_no_similar_pair(spark):
     rows = edited_group(60, words=80, edits=2) + [(100 + i, t + " " + sentence(i, i % 7)) for i, t in edited_group(60, words=80, edits=1, seed=500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = near_dedup.full_sets(df, "doc_id", "text", 4).select("id", "set", "sketch")
-    tried = near_dedup.prefix_pairs(sets.select("id", F.col("id").alias("comp")), sets, 80)
+    tried = near_dedup.prefix_pairs(near_dedup.prefix_rows(sets, 80).withColumn("comp", F.col("id")), 80)
     found = {tuple(r) for r in tried.collect()}
     own = {i: shingles(t) for i, t in rows}
     for a, b in itertools.combinations(sorted(own), 2):
@@ -286,6 +286,72 @@ def test_random_field_learns_and_viterbi_is_exact():
     assert labels[1] == 4 and not labels[words.first[1] :].any()
 
 
+def test_linear_patterns_equal_their_expressions():
+    email, ip = re.compile(pii.PATTERNS[0]), re.compile(pii.PATTERNS[1])
+    r = random.Random(5)
+    for _ in range(4000):
+        text = "".join(r.choice("a.@@1-%b 9._é") for _ in range(r.randrange(24)))
+        assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)], text
+        text = "".join(r.choice("12..3. 4") for _ in range(r.randrange(30)))
+        assert list(pii.addresses(text)) == [m.span() for m in ip.finditer(text)], text
+
+
+def test_patterns_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("x" * 2_000_000 + " @", "1" * 2_000_000, "1." * 1_000_000, "a@" * 500_000, "+1" + " " * 1_000_000):
+        assert pii.base_spans(text) is not None
+    assert time.time() - began < 30
+
+
+def personal_lines():
+    r = random.Random(3)
+    lines = []
+    for k in range(160):
+        name, n = r.choice(WORDS) + r.choice(WORDS), [r.randrange(256) for _ in range(4)]
+        digits = [r.randrange(10) for _ in range(15)]
+        card = next(f"{''.join(map(str, digits))}{c}" for c in range(10) if pii.luhn(f"{''.join(map(str, digits))}{c}"))
+        value = [f"{name}.{k}@{r.choice(WORDS)}.example.org", ".".join(map(str, n)), card, f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"][k % 4]
+        lines.append(f"{sentence(k, 5)} {value} {sentence(k + 999, 5)}")
+    return lines
+
+
+def test_field_finds_respelled_values_that_it_has_not_seen(spark):
+    lines = personal_lines()
+    table = [x for k, line in enumerate(lines) for x in pii.labelled_line(line, k)] + [(f"{sentence(k, 4)} 999.{k}.1.1 {sentence(k, 4)}".encode(), []) for k in range(40)]
+    quality = pii.held_out_quality(table, folds=3)
+    assert quality["precision"] > 0.9 and quality["recall"] > 0.75
+    model = pii.train_field([x for x, _ in table], [y for _, y in table])
+    long = " ".join(["x"] * 125) + " jane.roe (at) mail.example.org " + " ".join(["y"] * 300)
+    for text, kind in (("please write to jane.roe (at) mail.example.org today", 0), ("the host 10 . 20 . 30 . 4 was down", 1), (long, 0)):
+        assert [k for k, _, _ in pii.added_spans([text.encode()], [pii.base_spans(text)], model)[0]] == [kind], text
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, lines[0], None, ""])], "doc_id long, text string")
+    assert len(pii.labelled_table(df)) >= len(lines) and pii.labelled_table(df.limit(0)) == []
+
+
+def test_personal_data_query_against_expressions(spark, folder):
+    """The contract's columns over a table, with nulls, from the fixed expressions alone."""
+    from tidemark.llm import queries
+
+    texts = [*personal_lines(), None, "", "999.1.1.1 and 4111111111111112 and +12", "é 1.2.3.4 a.b@c-d.org é 1.2.3.4"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_pii(spark, folder).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        spans = []
+        for k, pattern in enumerate(pii.PATTERNS):
+            for m in re.finditer(pattern, text or ""):
+                digits = re.sub("[^0-9]", "", m.group())
+                fine = [True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 16 <= len(digits) <= 19 and pii.luhn(digits), 8 <= len(digits) <= 15][k]
+                if fine:
+                    spans.append((k, m.start(), m.end()))
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == j for k, _, _ in spans) for j in range(4))
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and (r.spans == line or r.n_added)
+
+
 def test_personal_data_edges(docs, empty):
     model = pii.train_field([], [])
     assert pii.find_personal_data(docs, model).where(F.size("base") + F.size("added") > 0).count() == 0
@@ -349,6 +415,84 @@ def test_language_model_against_brute_force(docs, empty):
 DATA = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def edge_dir(spark):
+    """The smallest driver documents and labels, with null, empty, repeated and odd rows added."""
+    import tempfile
+
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "123 ...", None, "s", 7), (10**6 + 3, "Ein  Wort\t" * 3, "de", None, 4), (10**6 + 4, sentence(8, 30000), "en", "s", 4)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("row", F.lit(1)).write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def crc_mod(i, k):
+    return zlib.crc32(str(i).encode()) % k
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_queries_keep_their_contract(spark, edge_dir):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = lambda f: {r.doc_id: r for r in f(spark, edge_dir).collect()}
+    two, three, five, six = (rows(f) for f in (queries.op2_toxicity, queries.op3_media, queries.op5_language, queries.op6_suffix_lm))
+    assert set(two) == set(three) == set(five) == set(six) == set(texts)
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        assert two[i].held_out == (crc_mod(i, 5) == 0) and 0 <= two[i].score <= 1 and two[i].predicted == int(two[i].score >= 0.5)
+        payload = media.pad(raw)
+        r = three[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_bytes == len(media.mux(payload)) and r.media_sha256 == hashlib.sha256(media.mux(payload)).hexdigest()
+        assert five[i].held_out == (crc_mod(i, 4) == 2) and 0 <= five[i].score <= 1
+        assert (five[i].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
+        assert six[i].held_out == (crc_mod(i, 7) == 2) and six[i].n_tokens == len(raw.split()) + 1 and six[i].score <= 0
+    lookup = Tokenizer.from_file(tokenizer_path())
+    pieces = {}
+    for r in queries.op10_packing(spark, edge_dir).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(texts)
+    for i in [*list(texts)[:20], 10**6, 10**6 + 1, 10**6 + 4]:
+        ids = [*lookup.encode(texts[i] or "", add_special_tokens=False).ids, 1]
+        own = sorted(pieces[i], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and [r.start for r in own] == list(range(0, len(ids), 4096))
+        for r in own:
+            part = ids[r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) and r.offset + r.length <= 4096
+        assert sum(r.length for r in own) == len(ids)
+
+
+def test_few_lengths_are_packed_as_well_as_they_can_be():
+    """Against the fewest sequences found by trying all ways, for small cases."""
+    import functools
+
+    def fewest(lengths, capacity):
+        @functools.lru_cache(None)
+        def best(left, room):
+            if not left:
+                return 0
+            tries = []
+            for i in range(len(left)):
+                if i and left[i] == left[i - 1]:
+                    continue
+                rest = left[:i] + left[i + 1 :]
+                tries.append(best(rest, room - left[i]) if left[i] <= room else 1 + best(rest, capacity - left[i]))
+            return min(tries)
+
+        return best(tuple(sorted(lengths)), 0)
+
+    for lengths in ([2048] * 3, [3000, 1096, 2000, 2000, 96], [1366] * 3, [4096, 1, 4095], [1500, 1500, 1096, 2600, 1400], [2731, 1365, 2731, 1365]):
+        histogram = {n: lengths.count(n) for n in lengths}
+        plan = packing.plan_packing(histogram)
+        assert sum(k for _, k in plan) <= fewest(lengths, 4096) + (0 if len(lengths) < 4 else 1)
+        assert sorted(n for content, k in plan for n in content * k) == sorted(lengths) and all(sum(c) <= 4096 for c, _ in plan)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 def test_pipeline_stages(spark, folder):
     import corpus_pipeline as C

@@ -207,6 +207,30 @@ def test_zip_ranges():
         warc.ZipRanges(lambda at, n: b"nothing"[at : at + n], 7)
 
 
+def test_range_reads_take_few_bytes_and_revisits_name_their_record(spark):
+    pages = [(i, f"https://h/{i}", f"<p>{sentence(i, 300)}</p>") for i in range(40)] + [(99, "https://h/99", f"<p>{sentence(3, 300)}</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    heads, read_once = {}, False
+    for row in warc.write_archives(df).collect():
+        data, taken = bytes(row.bytes), []
+
+        def read(at, n, data=data, taken=taken):
+            taken.append(min(n, len(data) - at))
+            return data[at : at + n]
+
+        archive = warc.ZipRanges(read, len(data))
+        for key, start, length in (x.split(b" ") for x in archive.member(warc.INDEX_MEMBER).splitlines()):
+            taken.clear()
+            heads[key], payload = warc.parse_record(archive.member(warc.WARC_MEMBER, int(start), int(length)))
+            assert sum(taken) == int(length) + 30  # the record and its member's local header
+            if key == b"7":
+                assert payload == pages[7][2].encode() and sum(taken) < len(data) // 10
+                read_once = True
+    first, again = heads[b"3"], heads[b"99"]
+    assert read_once and len(heads) == 41
+    assert again["warc-type"] == "revisit" and again["warc-refers-to"] == first["warc-record-id"] and again["warc-refers-to-target-uri"] == "https://h/3"
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "u1", "<p>a</p>"), (2, None, None), (3, "u3", "<p>a</p>"), (4, "u4", ""), (5, "u\r\n5", "\r\n\r\né"), (5, "u\r\n5", "\r\n\r\né")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("body", F.lit(1))

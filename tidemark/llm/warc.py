@@ -20,15 +20,23 @@ ARCHIVE_BYTES = 8 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, url: str | None) -> bytes:
+    return b"<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{url}")).encode() + b">"
+
+
+def _uri(url: str | None) -> bytes:
+    return (url or "").encode().replace(b"\r", b"").replace(b"\n", b"")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None, refers_uri: str | None = None) -> bytes:
     """One WARC record; a revisit (refers_to given) has HTTP headers only and names the record that it repeats."""
     kind = b"response" if payload is not None else b"revisit"
     block = HTTP % size + (payload or b"")
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + kind,
-        b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{url}")).encode() + b">",
-        b"WARC-Target-URI: " + (url or "").encode().replace(b"\r", b"").replace(b"\n", b""),
+        b"WARC-Record-ID: " + record_id(page_id, url),
+        b"WARC-Target-URI: " + _uri(url),
         b"WARC-Date: 2000-01-01T00:00:00Z",
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
         b"X-Page-Id: " + (b"" if page_id is None else str(page_id).encode()),
@@ -37,6 +45,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     ]
     if payload is None:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(b"WARC-Refers-To: " + record_id(refers_to, refers_uri))
+        head.append(b"WARC-Refers-To-Target-URI: " + _uri(refers_uri))
         head.append(b"X-Refers-To-Page-Id: " + (b"" if refers_to is None else str(refers_to).encode()))
     head.append(b"Content-Length: " + str(len(block)).encode())
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -146,15 +156,15 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     thin = base.select("id", "url", F.length("body").cast("long").alias("size"), F.unhex(F.sha1("body")).alias("digest"))
     thin = materialize(thin)
     firsts = materialize(
-        thin.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id")).alias("first")).where("n > 1")
+        thin.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "url")).alias("first")).where("n > 1")
     )
     revisits = thin.where(F.col("size") >= least).join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")))
-    revisits = materialize(revisits.select("id", "url", "size", "digest", F.col("first.id").alias("refers_to")))
+    revisits = materialize(revisits.select("id", "url", "size", "digest", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_uri")))
     told = in_filter(base, slot_of("id"), revisits, slot_of("id"), "maybe")
     unsure = told.where("maybe").drop("maybe").withColumn("digest", F.unhex(F.sha1("body")))
     unsure = unsure.join(revisits.select("id", "digest").distinct(), ["id", "digest"], "left_anti").drop("digest")
     responses = told.where(~F.col("maybe")).drop("maybe").unionByName(unsure)
-    rows = responses.withColumns({"size": F.lit(None).cast("long"), "digest": F.lit(None).cast("binary"), "refers_to": F.lit(None).cast("long")})
+    rows = responses.withColumns({"size": F.lit(None).cast("long"), "digest": F.lit(None).cast("binary"), "refers_to": F.lit(None).cast("long"), "refers_uri": F.lit(None).cast("string")})
     rows = rows.unionByName(revisits.withColumn("body", F.lit(None).cast("binary")))
 
     def run(batches):
@@ -170,7 +180,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             for row in (x for i in range(0, batch.num_rows, 64) for x in batch.slice(i, 64).to_pylist()):
                 body, plain = row["body"], row["body"] is not None
                 digest = sha1_base32(body) if plain else base64.b32encode(row["digest"]).decode()
-                raw = record(row["id"], row["url"], body, digest, len(body) if plain else row["size"], row["refers_to"])
+                raw = record(row["id"], row["url"], body, digest, len(body) if plain else row["size"], row["refers_to"], row["refers_uri"])
                 index.append(b"%s %d %d\n" % (b"-" if row["id"] is None else str(row["id"]).encode(), held, len(raw)))
                 records.append(raw)
                 held += len(raw)
@@ -180,7 +190,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if records:
             yield close()
 
-    return rows.select("id", "url", "body", "size", "digest", "refers_to").mapInArrow(run, "archive string, bytes binary")
+    return rows.select("id", "url", "body", "size", "digest", "refers_to", "refers_uri").mapInArrow(run, "archive string, bytes binary")
 
 
 def read_archives(archives: DataFrame, bytes_col: str = "bytes") -> DataFrame:

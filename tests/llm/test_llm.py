@@ -491,6 +491,23 @@ def test_queries_keep_their_contract(spark, edge_dir):
         assert sum(r.length for r in own) == len(ids)
 
 
+def test_more_members_than_a_filter_takes(spark, docs, monkeypatch):
+    """Where the bucket filter isn't used, the joins behind it give the same results."""
+    import corpus_pipeline as C
+    from tidemark.llm import common
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    pages = plain.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    found = []
+    for most in (common.FILTER_MOST, 0):
+        monkeypatch.setattr(common, "FILTER_MOST", most)
+        found.append([
+            sorted(map(str, C.drop_copies(spark, plain, "").collect())), sorted(map(str, near_dedup.near_duplicates(plain).collect())),
+            sorted(map(str, warc.read_archives(warc.write_archives(pages)).drop("url").collect())),
+        ])
+    assert found[0] == found[1]
+
+
 def test_few_lengths_are_packed_as_well_as_they_can_be():
     """Against the fewest sequences found by trying all ways, for small cases."""
     import functools

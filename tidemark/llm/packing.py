@@ -17,7 +17,7 @@ GRID, ROUNDS, STEP = 256, 3000, 0.15
 #: Slots (of a hash) over which the pieces of one length are spread when they're numbered.
 SLOTS = 256
 #: Words whose ids a Python worker remembers.
-MEMORY = 1_000_000
+MEMORY = 700_000
 
 # Fixed values of the tokenizer's own word rule, for code points below U+0180, and the texts that it is used for.
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             _workers[tokenizer] = Ids(tokenizer)
         ids = _workers[tokenizer]
         end = END_ID.to_bytes(4, "little")
-        for part, texts in text_chunks(batches, "text", 8 << 20):
+        for part, texts in text_chunks(batches, "text", 2 << 20):
             rows, piece, start, crc, cut = [], [], [], [], []
             for i, coded in enumerate(ids.encode([x.decode("utf-8", "replace") for x in texts])):
                 coded += end

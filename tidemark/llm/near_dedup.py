@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> D
         import numpy as np
         import pyarrow as pa
 
-        for part, texts in text_chunks(batches, "text", 1 << 20):
+        for part, texts in text_chunks(batches, "text", 1 << 19):
             sets = shingle_sets([x.lower() for x in texts], width)
             prints = [fingerprint(s) for s in sets]
             keys = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -165,7 +165,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int = 4) -> Da
         import numpy as np
         import pyarrow as pa
 
-        for part, texts in text_chunks(batches, "text", 1 << 20):
+        for part, texts in text_chunks(batches, "text", 1 << 19):
             sets = shingle_sets([x.lower() for x in texts], width)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64)

@@ -98,14 +98,14 @@ def intervals(t: Tables) -> DataFrame:
     return metrics.apply_intervals(df.where("season = 2001"), quantiles, ["o_orderpriority"], "prediction")
 
 
-@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo), 2) AS lower_residual, round(max(hi), 2) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN prediction + lo AND prediction + hi THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(hi - lo), 2) AS width FROM i GROUP BY 1")
+@query(f"WITH {INTERVALS} SELECT o_orderpriority, max(n) AS n_calibration, round(max(lo), 7) AS lower_residual, round(max(hi), 7) AS upper_residual, count(*) AS n_rows, round(100.0 * avg(CASE WHEN o_totalprice BETWEEN prediction + lo AND prediction + hi THEN 1 ELSE 0 END), 2)::DOUBLE AS coverage, round(avg(hi - lo), 7) AS width FROM i GROUP BY 1")
 def residual_intervals(t: Tables) -> DataFrame:
     """Calibrated on one season; coverage and width of the raw interval on the next."""
     df = predictions(t)
     quantiles = metrics.residual_quantiles(df.where("season = 2000"), ["o_orderpriority"], MEASURE, "prediction")
     test = df.where("season = 2001").join(quantiles, "o_orderpriority", "left")
     found = metrics.interval_coverage(test, ["o_orderpriority"], MEASURE, "prediction").drop("mae").join(quantiles, "o_orderpriority")
-    return found.withColumns({"coverage": F.round("coverage", 2)} | {c: F.round(c, 2) for c in ("width", "lower_residual", "upper_residual")})
+    return found.withColumns({"coverage": F.round("coverage", 2)} | {c: F.round(c, 7) for c in ("width", "lower_residual", "upper_residual")})
 
 
 @query(f"WITH {INTERVALS} SELECT o_orderkey, round(lower, 7) AS floor, round(upper, 7) AS ceiling FROM i")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, media, mixing, near_dedup, packing, pii, suffix_lm, toxicity, warc
+from tidemark.llm import byte_bpe, exact_dedup, langid, media, mixing, near_dedup, packing, pii, suffix_lm, toxicity, warc
 from tidemark.llm.common import id_crc_mod, materialize
 from tidemark.llm.oracle import ORACLE
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +95,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the bytes that they decode to, as digests. Edge cases as in `byte_bpe.encode_documents`."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode_documents(encoded.select("doc_id", "ids"), ranks)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_toxicity, op3_media, op4_near_dedup, op5_language, op6_suffix_lm, op7_exact_dedup, op8_mixing, op9_warc, op10_packing)
+    found = (op1_pii, op2_toxicity, op3_media, op4_near_dedup, op5_language, op6_suffix_lm, op7_exact_dedup, op8_mixing, op9_warc, op10_packing, op13_byte_bpe)
     return {f.__name__: f for f in found}
 
 

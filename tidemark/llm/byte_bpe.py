@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize, text_chunks, text_or_empty
 
-#: Words that the constant of encoded words may hold, its slots, those of the ranks, and words that a task counts at a time.
-MOST_WORDS, WORD_SLOTS, RANK_SLOTS, COUNTED = 1 << 19, 1 << 18, 1 << 16, 1 << 19
+#: Words that the constant of encoded words may hold, slots of the ranks, and words that a task counts at a time.
+MOST_WORDS, RANK_SLOTS, COUNTED = 1 << 19, 1 << 16, 1 << 19
 NONE = (1 << 31) - 1
 #: Parts of a text that are split into words at a time. A part ends before white space that follows something else (or
 #: with the text), and no word spans such a place, so that parts give the words of the whole text.
@@ -57,7 +57,7 @@ def rank_constant(spark: SparkSession, ranks: Mapping[bytes, int]) -> Column:
     slots: list[dict] = [{} for _ in range(RANK_SLOTS)]
     for token, rank in ranks.items():
         slots[zlib.crc32(token) & (RANK_SLOTS - 1)][token] = rank
-    return spark.createDataFrame([(slots,)], "ranks array<map<binary,int>>").coalesce(1).scalar()
+    return spark.createDataFrame([(slots,)], "ranks array<map<binary,int>>", verifySchema=False).coalesce(1).scalar()
 
 
 def piece_constant(spark: SparkSession, ranks: Mapping[bytes, int]) -> Column:
@@ -65,7 +65,7 @@ def piece_constant(spark: SparkSession, ranks: Mapping[bytes, int]) -> Column:
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    return spark.createDataFrame([(pieces,)], "pieces array<string>").coalesce(1).scalar()
+    return spark.createDataFrame([(pieces,)], "pieces array<string>", verifySchema=False).coalesce(1).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -127,23 +127,24 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_constant(docs: DataFrame, ranks: Column, pattern: str, text_col: str, most: int) -> tuple[Column, DataFrame]:
-    """Ids of frequent words, as many as `most` allows: all words that occur at least so often. With the table to discard."""
+def word_constant(docs: DataFrame, ranks: Column, pattern: str, text_col: str, most: int) -> tuple[Column, int]:
+    """Ids of frequent words, as many as `most` allows: all words that occur at least so often. And its slots."""
     counted = materialize(word_counts(docs, pattern, text_col))
     level = F.floor(F.log2("n") * 8).cast("int")  # counts in eighths of a doubling: some hundred levels at most
-    least, held = None, 0
+    least, held, taken = None, 0, 0
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
         held += r["count"]
         if held > most:
             break
-        least = r["level"]
+        least, taken = r["level"], held
     frequent = counted.where(level >= least if least is not None else F.lit(False)).withColumn("_ranks", ranks).select("word", _let(F.col("_ranks"), lambda m: encode_word(F.col("word"), m)).alias("ids"))
-    slots = frequent.groupBy(_slot(F.col("word"), WORD_SLOTS).alias("slot")).agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    every = docs.sparkSession.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "own"))), lambda x: F.map_from_entries(x["own"])).alias("words"))
+    n_slots = 1 << max(taken - 1, 0).bit_length()
+    slots = frequent.groupBy(_slot(F.col("word"), n_slots).alias("slot")).agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+    every = docs.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "own"))), lambda x: F.map_from_entries(F.coalesce(x["own"], F.array().cast("array<struct<word:string,ids:array<int>>>")))).alias("words"))
     kept = materialize(one)  # one row of at most `most` words
     discard(counted)
-    return kept.scalar(), kept
+    return kept.scalar(), n_slots
 
 
 def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", most: int = MOST_WORDS) -> DataFrame:
@@ -158,10 +159,10 @@ def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str,
         raise ValueError(f"bytes without a rank: {lost[:5]}")
     spark = docs.sparkSession
     constant = rank_constant(spark, ranks)
-    known, _ = word_constant(docs, constant, pattern, text_col, most)
+    known, n_slots = word_constant(docs, constant, pattern, text_col, most)
 
     def ids_of(k: Column) -> Column:
-        word = lambda w: F.coalesce(_lookup(k["words"], w, WORD_SLOTS), encode_word(w, k["ranks"]))
+        word = lambda w: F.coalesce(_lookup(k["words"], w, n_slots), encode_word(w, k["ranks"]))
         return F.flatten(F.transform(parts_of(text_or_empty(text_col)), lambda x: F.flatten(F.transform(words_of(x, pattern), word))))
 
     # a constant is a subquery, which may not be written into a lambda: it comes as a column that is used once, so that

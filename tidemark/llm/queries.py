@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, langid, media, mixing, near_dedup, packing, pii, suffix_lm, toxicity, warc
+from tidemark.llm import byte_bpe, conversations, exact_dedup, langid, media, mixing, near_dedup, packing, pii, spelling, suffix_lm, toxicity, warc
 from tidemark.llm.common import id_crc_mod, materialize
 from tidemark.llm.oracle import ORACLE
 
@@ -95,6 +95,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words with their forms and roots. Edge cases as in `spelling.spelling_variants`."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the repair for every conversation, those that lose all rows among them. Edge cases as in
+    `conversations.repair_conversations` and `conversations.damage`."""
+    rows = table(spark, sf_dir, "conversations")
+    told = conversations.repair_conversations(conversations.damage(rows)).withColumn("key", conversations.conv_key(F.col("conv_id"))).drop("conv_id")
+    every = rows.select("conv_id").distinct().withColumn("key", conversations.conv_key(F.col("conv_id")))
+    nothing = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing |= {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return every.join(told, "key", "left").withColumns(nothing).drop("key")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests. Edge cases as in `byte_bpe.encode_documents`."""
     import public_tokenizers
@@ -108,7 +124,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_toxicity, op3_media, op4_near_dedup, op5_language, op6_suffix_lm, op7_exact_dedup, op8_mixing, op9_warc, op10_packing, op13_byte_bpe)
+    found = (op1_pii, op2_toxicity, op3_media, op4_near_dedup, op5_language, op6_suffix_lm, op7_exact_dedup, op8_mixing, op9_warc, op10_packing, op11_spelling, op12_conversations, op13_byte_bpe)
     return {f.__name__: f for f in found}
 
 

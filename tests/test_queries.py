@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import demo
 
@@ -90,13 +91,82 @@ def test_ridge_with_texts_and_missing_values(spark):
     assert models.fit_ridge(df.limit(0), "g", ["a"], "y").count() == 0
 
 
-def test_forest_and_boosting_have_the_published_size(spark):
+def test_forest_and_boosting_have_the_published_size():
+    import inspect
+
+    from tidemark.plans import trees
+
+    size = lambda f: {k: v.default for k, v in inspect.signature(f).parameters.items() if v.default is not v.empty}
+    boosting, forest = size(trees.fit_boosting), size(trees.fit_forest)
+    assert [boosting[k] for k in ("rounds", "rate", "leaves", "least")] == [300, 0.05, 31, 20]
+    assert [forest[k] for k in ("trees", "least", "share")] == [300, 5, 0.7]
+
+
+def tree_rows(n=500, seed=2):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2))
+    return [("c" if k % 2 else "d", float(a), float(b) if k % 9 else None, "xy"[k % 2], float(a * b + k % 2 + rng.normal() / 5)) for k, (a, b) in enumerate(x)]
+
+
+def test_one_boosted_tree_against_plain_growth(spark):
+    """Best gain first, by trying every cut of every leaf."""
+    import numpy as np
+
+    from tidemark.plans import trees
+
+    rows = [r for r in tree_rows(240) if r[2] is not None]
+    df = spark.createDataFrame(rows, "g string, a double, b double, s string, y double")
+    for l2 in (0.0, 3.0):
+        got = trees.fit_boosting(df, "g", ["c", "d"], [F.col("a"), F.col("b")], "y", rounds=1, rate=1.0, leaves=6, least=8, l2=l2)
+        for code, g in enumerate("cd"):
+            own = [r for r in rows if r[0] == g]
+            x, y = np.array([r[1:3] for r in own]), np.array([r[4] for r in own])
+            left = y - y.mean()
+            leaves = [np.arange(len(own))]
+            score = lambda i, t=left: t[i].sum() ** 2 / (len(i) + l2)
+            while len(leaves) < 6:
+                tries = [
+                    (score(i[x[i, f] <= c]) + score(i[x[i, f] > c]) - score(i), k, i[x[i, f] <= c], i[x[i, f] > c])
+                    for k, i in enumerate(leaves) for f in (0, 1) for c in x[i, f] if min((x[i, f] <= c).sum(), (x[i, f] > c).sum()) >= 8
+                ]
+                if not tries:
+                    break
+                _, k, one, two = max(tries, key=lambda t: t[0])
+                leaves[k : k + 1] = [one, two]
+            want = np.empty(len(own))
+            for i in leaves:
+                want[i] = y.mean() + left[i].sum() / (len(i) + l2)
+            assert np.allclose(got.predict(np.full(len(own), code), x), want)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_trees_are_the_same_in_a_task_and_over_many(spark, kind):
+    from tidemark.plans import models
+
+    df = spark.createDataFrame(tree_rows(300), "g string, a double, b double, s string, y double").repartition(3)
+    size = {"rounds": 4} if kind == "boosting" else {"trees": 5, "group": 2}
+    found = []
+    for block in (50_000, 60):
+        model = models.fit_trees(df, "g", ["a", "b"], "y", kind, ["s"], block=block, **size)
+        found.append({(r.g, r.a): r.prediction for r in models.predict_trees(df, model).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(v - found[1][k]) < 1e-9 for k, v in found[0].items())
+
+
+def test_boosting_errs_no_more_than_the_library_with_as_many_rounds(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
     from tidemark.plans import models
 
-    trees = models.forest("y")
-    assert trees.getNumTrees() == 300 and (trees.getFeatureSubsetStrategy(), trees.getMinInstancesPerNode(), trees.getMaxDepth()) == ("0.7", 5, 30)
-    rounds = models.boosting("y")
-    assert (rounds.getMaxIter(), rounds.getStepSize(), rounds.getMaxDepth(), rounds.getMinInstancesPerNode()) == (300, 0.05, 5, 20)
+    df = spark.createDataFrame([r for r in tree_rows(600, 7) if r[2] is not None and r[0] == "c"], "g string, a double, b double, s string, y double")
+    train, later = df.where("pmod(hash(a), 3) > 0"), df.where("pmod(hash(a), 3) = 0")
+    error = lambda out: out.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    ours = error(models.predict_trees(later, models.fit_trees(train, "g", ["a", "b"], "y", "boosting", rounds=25, rate=0.1)))
+    put = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform
+    theirs = error(GBTRegressor(featuresCol="features", labelCol="y", maxIter=25, stepSize=0.1, maxDepth=5, minInstancesPerNode=20, maxBins=255, seed=1).fit(put(train)).transform(put(later)))
+    assert ours <= theirs * 1.02
 
 
 @pytest.mark.parametrize("kind", ["forest", "boosting"])
@@ -109,9 +179,37 @@ def test_fitted_trees_beat_the_mean(spark, kind):
     x = rng.normal(size=(500, 2))
     rows = [("c" if k % 2 else "d", float(a), float(b), "xy"[k % 2], float(a * b + k % 2)) for k, (a, b) in enumerate(x)]
     df = spark.createDataFrame([*rows, (None, 1.0, 1.0, "x", 0.0)], "g string, a double, b double, s string, y double")
-    fitted = models.fit_by_category(df.where("a < 1"), "g", ["c", "d"], ["a", "b"], "y", kind, ["s"], size=20)
-    got = models.predict_by_category(df, fitted, "g", ["a", "b"], ["g", "y"]).collect()
+    size = {"rounds": 60, "rate": 0.1} if kind == "boosting" else {"trees": 20}
+    model = models.fit_trees(df.where("a < 1"), "g", ["a", "b"], "y", kind, ["s"], **size)
+    got = models.predict_trees(df, model).select("g", "y", "prediction").collect()
     assert len(got) == 501 and [r.prediction for r in got if r.g is None] == [None]
     known = [r for r in got if r.g]
     mean = np.mean([r.y for r in known])
     assert np.mean([abs(r.prediction - r.y) for r in known]) < 0.75 * np.mean([abs(mean - r.y) for r in known])
+
+
+def test_exact_quantiles_of_large_groups(spark):
+    """With a coarse sketch, so that ranges are narrower than the groups; ties, nulls, null keys and nothing."""
+    import random
+    import statistics
+
+    from tidemark.operators.selection import quantiles
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "a", None, "b"]), r.choice([None, 1.0, 1.0, r.gauss(0, 5), r.random() * 1e6]), float(k)) for k in range(3000)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    got = {x.g: x for x in quantiles(df, ["g"], {"v": F.col("v"), "w": F.col("w")}, [0.1, 0.5, 0.999], accuracy=50).collect()}
+
+    def exact(values, p):
+        values, at = sorted(values), (len(values) - 1) * p
+        low = int(at)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+    for g in ("a", "b", None):
+        for i, p in enumerate((0.1, 0.5, 0.999)):
+            assert abs(got[g][f"v_{i}"] - exact([x[1] for x in rows if x[0] == g and x[1] is not None], p)) < 1e-6
+            assert abs(got[g][f"w_{i}"] - exact([x[2] for x in rows if x[0] == g], p)) < 1e-6
+    assert got["none"].v_1 is None and len(got) == 4
+    assert quantiles(df.limit(0), ["g"], {"v": F.col("v")}, [0.5]).count() == 0
+    median = quantiles(df.where("v is not null"), ["g"], {"v": F.col("v")}, [0.5]).where("g = 'b'").first().v
+    assert abs(median - statistics.median([x[1] for x in rows if x[0] == "b" and x[1] is not None])) < 1e-6

@@ -220,3 +220,42 @@ def test_latest_stream(spark, folder):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("latest_rows").select("k", "id"), "k") == [("a", 2), ("b", 3)]
+
+
+def test_numbers_and_ranks_of_one_large_group(spark):
+    """One group with all rows, ties and nulls among them, over many ranges, against a plain sort."""
+    import random
+
+    from tidemark.operators import selection
+
+    r = random.Random(4)
+    rows = [(None if k % 5 == 0 else "g", r.choice([None, 1.0, 1.0, r.random(), r.random() * 9]), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(7)
+    got = {x.id: x.n for x in selection.numbered(df, [], [F.col("v").desc_nulls_last(), F.col("id")], "n").collect()}
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))
+    assert got == {row[2]: i + 1 for i, row in enumerate(order)}
+    own = {x.id: x.n for x in selection.numbered(df, ["g"], [F.col("id").desc()], "n").collect()}
+    for g in (None, "g"):
+        ids = sorted((x[2] for x in rows if x[0] == g), reverse=True)
+        assert [own[i] for i in ids] == list(range(1, len(ids) + 1))
+    sums = {x.id: x.s for x in selection.running_sum(df, ["g"], ["id"], "id", "s").collect()}
+    assert all(sums[x[2]] == sum(y[2] for y in rows[: x[2]] if y[0] == x[0]) for x in rows[:300])
+    known = [x for x in rows if x[0] and x[1] is not None]
+    ranks = {x._v: x._rank for x in selection.average_ranks(df.where("g is not null and v is not null"), ["g"], {"v": "v"}).collect()}
+    values = sorted(x[1] for x in known)
+    assert all(abs(ranks[v] - (values.index(v) + 1 + (values.count(v) - 1) / 2)) < 1e-9 for v in set(values))
+    assert selection.numbered(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_spread_rankings_sort_no_group_in_one_task(spark):
+    """Windows go over counts by range, over a range, or over the top n; never over the rows of a group."""
+    from tidemark.operators import metrics, ranking
+
+    df = spark.range(300).selectExpr("id", "'m' AS m", "id * 7 % 31 AS a", "id * 11 % 37 AS p", "id % 3 AS pos")
+    plan = metrics.metrics(df, ["m"], "a", "p", ["id"], 10)._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.splitlines() if " Window [" in x or "- Window [" in x or x.strip(" :+-").startswith("Window [")]
+    assert windows and plan.count("WindowGroupLimit") >= 2
+    assert not [x for x in windows if "partitionBy" in x and "row_number" not in x and "_part" not in x]
+    filled = ranking.fill_quotas(df, [], "pos", F.col("a") > 3, [F.col("p").desc(), F.col("id")], {0: 2, 1: 3}, [1, 2], 4)
+    counts = {(x.slot, x["count"]) for x in filled.groupBy("slot").count().collect()}
+    assert {("STARTER", 5), ("FLEX", 4)} <= counts and "row_number" not in filled._jdf.queryExecution().executedPlan().toString()

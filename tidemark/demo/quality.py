@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.demo.history import MEASURE, order_history, prior
 from tidemark.demo.registry import Tables, query
-from tidemark.operators import quality, windows
+from tidemark.operators import quality, selection, windows
 from tidemark.sources import tables
 
 
@@ -15,11 +15,16 @@ from tidemark.sources import tables
   round(stddev_samp(o_totalprice), 2) AS deviation, min(o_totalprice) AS least, max(o_totalprice) AS most, round(quantile_cont(o_totalprice, 0.1), 5) AS p10, round(quantile_cont(o_totalprice, 0.9), 5) AS p90,
   round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2)::DOUBLE AS final_percent FROM orders GROUP BY 1, 2""")
 def distribution_profile(t: Tables) -> DataFrame:
-    return order_history(t).groupBy("season", "o_orderpriority").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("n_entities"), F.round(F.avg(MEASURE), 2).alias("mean"), F.round(F.median(MEASURE), 5).alias("median"),
-        F.round(F.stddev_samp(MEASURE), 2).alias("deviation"), F.min(MEASURE).alias("least"), F.max(MEASURE).alias("most"), F.round(F.percentile(MEASURE, 0.1), 5).alias("p10"),
-        F.round(F.percentile(MEASURE, 0.9), 5).alias("p90"), F.round(100.0 * F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 2).alias("final_percent"),
+    by = ["season", "o_orderpriority"]
+    df = order_history(t)
+    plain = df.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("n_entities"), F.round(F.avg(MEASURE), 2).alias("mean"),
+        F.round(F.stddev_samp(MEASURE), 2).alias("deviation"), F.min(MEASURE).alias("least"), F.max(MEASURE).alias("most"),
+        F.round(100.0 * F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 2).alias("final_percent"),
     )
+    places = selection.quantiles(df, by, {"q": F.col(MEASURE)}, [0.1, 0.5, 0.9])
+    named = {"q_0": "p10", "q_1": "median", "q_2": "p90"}
+    return plain.join(places, by).select(*plain.columns, *[F.round(c, 5).alias(n) for c, n in named.items()])
 
 
 @query("""SELECT column_name, n_null, n_rows FROM (SELECT count(*) AS n_rows, count(*) - count(event_id) AS event_id, count(*) - count(ts) AS ts, count(*) - count(user_id) AS user_id, count(*) - count(event_type) AS event_type,

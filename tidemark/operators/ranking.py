@@ -7,27 +7,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import numbered
 
-def masked_rank(mask: Column, by: Sequence[str], order: Sequence[Column]) -> Column:
-    """Dense sequence 1, 2, ... among the rows where `mask` holds; null elsewhere."""
-    spec = Window.partitionBy(*by, mask).orderBy(*order)
-    return F.when(mask, F.row_number().over(spec))
+
+def masked_rank(df: DataFrame, mask: Column, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Adds a dense sequence 1, 2, ... among the rows of a group where `mask` holds, null elsewhere; a group may have any size."""
+    ok = F.coalesce(mask, F.lit(False))
+    return numbered(df.where(ok), by, order, out).unionByName(df.where(~ok).withColumn(out, F.lit(None).cast("int")))
 
 
 def fill_quotas(df: DataFrame, by: Sequence[str], position: str, eligible: Column, order: Sequence[Column], quota: Mapping[str, int], flex: Sequence[str], flex_quota: int) -> DataFrame:
     """Slots per position first, then flexible slots for the best of the rest among the flexible positions; adds
-    position_rank, flex_rank and slot (STARTER, FLEX, BENCH, INELIGIBLE). Every group of `by` is filled by itself."""
+    position_rank, flex_rank and slot (STARTER, FLEX, BENCH, INELIGIBLE). Every group of `by` is filled by itself; without
+    groups the whole table is one, which is ranked by ranges. `order` must be unique."""
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(position)), F.lit(0))
-    ok = F.coalesce(eligible, F.lit(False))
-    ranked = df.withColumn("_ok", ok).withColumn("position_rank", masked_rank(F.col("_ok"), [*by, position], order))
-    ranked = ranked.withColumn("_base", F.coalesce(F.col("position_rank") <= limit, F.lit(False)))
-    rest = F.col("_ok") & ~F.col("_base") & F.col(position).isin(*flex)
-    ranked = ranked.withColumn("_rest", rest).withColumn("flex_rank", masked_rank(F.col("_rest"), by, order))
+    marked = df.withColumn("_ok", F.coalesce(eligible, F.lit(False)))
+    ranked = masked_rank(marked, F.col("_ok"), [*by, position], order, "position_rank")
+    ranked = ranked.withColumn("_starts", F.coalesce(F.col("position_rank") <= limit, F.lit(False)))
+    rest = F.col("_ok") & ~F.col("_starts") & F.col(position).isin(*flex)
+    ranked = masked_rank(ranked, rest, by, order, "flex_rank")
     slot = (
-        F.when(~F.col("_ok"), "INELIGIBLE").when(F.col("_base"), "STARTER")
+        F.when(~F.col("_ok"), "INELIGIBLE").when(F.col("_starts"), "STARTER")
         .when(F.col("flex_rank") <= flex_quota, "FLEX").otherwise("BENCH")
     )
-    return ranked.withColumn("slot", slot).drop("_ok", "_base", "_rest")
+    return ranked.withColumn("slot", slot).drop("_ok", "_starts")
 
 
 def slot_gaps(filled: DataFrame, by: Sequence[str], quota: Mapping[str, int], position: str, flex_quota: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact order statistics of groups of any size: no group's values meet in one place.
+"""Exact order statistics, ranks and numberings of groups of any size: no group's rows meet in one place.
 
 A quantile sketch (of bounded size, with a proven error of rank) gives a narrow range that must hold the wanted value; rows
 below the range are only counted, those inside are counted by value, and only these counts are sorted.
@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import kept
+
 #: The sketch's error of rank is at most a group's rows / ACCURACY. Groups of up to 4 * ACCURACY rows take their whole range.
 ACCURACY = 10_000
 
@@ -47,3 +49,41 @@ def quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], sh
     counts = [F.max(F.when(F.col("_name") == next(iter(values)), F.col("_n"))).alias("_n")]
     groups = sketch.groupBy("_k").agg(*counts)
     return groups.join(found.groupBy("_k").agg(*picked), "_k", "left").select("_k.*", *[name(n, i) for n in values for i in range(len(shares))])
+
+
+def parted(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """`df` in ranges of (by, order), each sorted, so that a large group is spread over many. Adds _k (the group), _id, which
+    rises with the order over all ranges, and _part. Written once: another run might draw the ranges otherwise."""
+    own = [*by, *order]
+    ranged = df.withColumn("_k", F.struct(*by) if by else F.struct(F.lit(0).alias("all"))).repartitionByRange(*own).sortWithinPartitions(*own)
+    return kept(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Rows numbered from 1 within the groups `by` in any order that is unique. Two levels: counts by group and range, of
+    which one row each meets in a window; a row's own number is its distance from the first of its range."""
+    rows = parted(df, by, order)
+    counts = rows.groupBy("_k", "_part").agg(F.count("*").alias("_c"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_k", "_part", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    joined = rows.join(bases, ["_k", "_part"])
+    return joined.withColumn(out, (F.col("_base") + F.col("_id")).cast("int")).drop("_k", "_id", "_part", "_base")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """Sum of `value` over the rows before each one in its group, in the same two levels; inside a range by a window."""
+    rows = parted(df, by, order)
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_k", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    bases = rows.groupBy("_k", "_part").agg(F.sum(value).alias("_s")).select("_k", "_part", F.coalesce(F.sum("_s").over(before), zero).alias("_base"))
+    own = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), zero))
+    return own.join(bases, ["_k", "_part"]).withColumn(out, F.col("_base") + F.col("_own")).drop("_k", "_id", "_part", "_base", "_own")
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """by, _side, _v, _rank: the rank of every distinct value of each column (side to column), ties averaged. Rows are counted by
+    value first, for all sides in one pass; then counts add up in order."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(c).cast("double").alias("_v")) for s, c in values.items()]))
+    counted = df.select(*by, sides.alias("_s")).select(*by, "_s.*").groupBy(*by, "_side", "_v").agg(F.count("*").alias("_c"))
+    return running_sum(counted, [*by, "_side"], ["_v"], "_c", "_before").select(*by, "_side", "_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_rank"))

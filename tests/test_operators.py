@@ -259,3 +259,65 @@ def test_spread_rankings_sort_no_group_in_one_task(spark):
     filled = ranking.fill_quotas(df, [], "pos", F.col("a") > 3, [F.col("p").desc(), F.col("id")], {0: 2, 1: 3}, [1, 2], 4)
     counts = {(x.slot, x["count"]) for x in filled.groupBy("slot").count().collect()}
     assert {("STARTER", 5), ("FLEX", 4)} <= counts and "row_number" not in filled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readers_see_whole_versions_through_failing_and_racing_publishes(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.sources import snapshots
+
+    path = f"{folder}/table"
+    version = lambda k: spark.range(50).withColumn("v", F.lit(k)).repartition(3)
+    first = snapshots.publish(version(1), path)
+    assert first["number"] == 1 and snapshots.publish(version(1).orderBy(F.desc("id")), path) is None
+    held, stop, seen = snapshots.read(spark, path), [], []
+
+    def reader():
+        while not stop:
+            rows = snapshots.read(spark, path).groupBy("v").count().collect()
+            seen.append([tuple(r) for r in rows])
+
+    def failing():
+        raise RuntimeError("the check before the pointer failed")
+
+    with ThreadPoolExecutor(1) as pool:
+        reading = pool.submit(reader)
+        with pytest.raises(RuntimeError):
+            snapshots.publish(version(2), path, before_pointing=failing)
+        assert snapshots.current(spark, path)["number"] == 1
+        # another publish gets in between writing and pointing: this one changes nothing
+        with pytest.raises(snapshots.Conflict):
+            snapshots.publish(version(3), path, before_pointing=lambda: snapshots.publish(version(4), path))
+        with pytest.raises(snapshots.Conflict):
+            snapshots.publish(version(5), path, based_on=1)
+        assert snapshots.publish(version(6), path, based_on=2)["number"] == 3
+        stop.append(1)
+        reading.result()
+    assert {x for rows in seen for x in rows} <= {(1, 50), (4, 50), (6, 50)} and all(len(rows) == 1 for rows in seen) and seen
+    assert held.first().v == 1 and snapshots.read(spark, path, 2).first().v == 4 and snapshots.read(spark, path).first().v == 6
+    with open(f"{path}/pointers/00000004.json", "w") as f:
+        f.write('{"version": "ha')  # a pointer that is being written
+    assert snapshots.read(spark, path).first().v == 6
+    assert snapshots.prune(spark, path, 1) == [1, 2] and snapshots.read(spark, path).count() == 50
+    with pytest.raises(FileNotFoundError):
+        snapshots.read(spark, f"{folder}/nothing")
+
+
+def test_only_changed_partitions_are_written(spark, folder):
+    import os
+
+    from tidemark.sources import snapshots
+
+    path = f"{folder}/parts"
+    rows = [(k, "abc"[k % 3] if k % 4 else None, k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "id int, p string, q int")
+    snapshots.publish_partitions(df, path, ["p", "q"])
+    files = lambda: {os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs if f.endswith("parquet")}
+    before = files()
+    assert snapshots.publish_partitions(df.repartition(5), path, ["p", "q"]) == {"changed": [], "removed": []} and files() == before
+    new = spark.createDataFrame([r if r[0] != 5 else (500, *r[1:]) for r in rows if r[1:] != (None, 0)] + [(1, "new", 7)], df.schema)
+    told = snapshots.publish_partitions(new, path, ["p", "q"])
+    assert sorted(told["changed"]) == sorted({rows[5][1:], ("new", 7)}) and told["removed"] == [(None, 0)]
+    kept = {f for f in before if f"p={rows[5][1]}/q={rows[5][2]}" not in f and "DEFAULT" not in f}
+    assert kept <= files() and len(files() & before) == len(kept)
+    assert sorted(map(tuple, spark.read.schema(df.schema).parquet(path).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)

@@ -64,28 +64,21 @@ def write_report(df: DataFrame, path: str, order: Sequence[str | Column], most:
     (ordered.coalesce(1) if small else ordered).write.mode("overwrite").csv(path, header=True)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that is equal for tables with equal rows in any order: count, XOR and sum of row hashes."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("hash_xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("hash_sum"))
+def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each partition of `by`) that is equal for equal rows in any order: count, and XOR and sum of the first 32
+    bits of md5 over the values as text, in the order of their names. All three add up over parts of a table, and any engine
+    that writes values alike can repeat them."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("hash_xor"), F.sum(h).alias("hash_sum"))
 
 
 def publish_if_changed(df: DataFrame, path: str) -> bool:
-    """Publish a Parquet table only if its content differs; says whether it did. The new version is written beside the
-    old one and then takes its place by renaming, so that a failure while writing leaves the old one as it was."""
-    spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    at, fresh, old = (jvm.Path(path.rstrip("/") + x) for x in ("", "._new", "._old"))
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(at) and fingerprint(spark.read.schema(df.schema).parquet(path)).first() == fingerprint(df).first():
-        return False
-    df.write.mode("overwrite").parquet(str(fresh))
-    if files.exists(at):
-        files.delete(old, True)
-        files.rename(at, old)
-    files.rename(fresh, at)
-    files.delete(old, True)
-    return True
+    """Publish a table only if its content differs; says whether it did. Versions and pointer as in `snapshots`, with which it
+    is read."""
+    from tidemark.sources import snapshots
+
+    return snapshots.publish(df, path) is not None
 
 
 def reconcile_files(spark: SparkSession, path: str, manifest: DataFrame, by: Sequence[str], schema: str | None = None) -> DataFrame:

@@ -213,3 +213,46 @@ def test_exact_quantiles_of_large_groups(spark):
     assert quantiles(df.limit(0), ["g"], {"v": F.col("v")}, [0.5]).count() == 0
     median = quantiles(df.where("v is not null"), ["g"], {"v": F.col("v")}, [0.5]).where("g = 'b'").first().v
     assert abs(median - statistics.median([x[1] for x in rows if x[0] == "b" and x[1] is not None])) < 1e-6
+
+
+def test_frozen_models_come_back_or_are_refused(spark, folder):
+    import glob
+
+    from tidemark.plans import frozen, models
+
+    df = spark.createDataFrame(tree_rows(300), "g string, a double, b double, s string, y double")
+    for kind, size in (("forest", {"trees": 4}), ("boosting", {"rounds": 5})):
+        model = models.fit_trees(df, "g", ["a", "b"], "y", kind, ["s"], **size)
+        frozen.freeze(frozen.trees_table(spark, model), f"{folder}/{kind}")
+        again = frozen.trees_from(frozen.thaw(spark, f"{folder}/{kind}"))
+        told = lambda m: sorted((str(r.g), r.a, r.prediction) for r in models.predict_trees(df, m).collect())  # noqa: E731, B023
+        assert told(model) == told(again) and again.fitted.categories == ["c", "d"]
+    ridge = models.fit_ridge(df, "g", ["a", "b"], "y", text=["s"])
+    assert frozen.freeze(ridge, f"{folder}/ridge")["number"] == 1 and frozen.freeze(ridge, f"{folder}/ridge") is None
+    assert sorted(map(str, frozen.thaw(spark, f"{folder}/ridge", 1).collect())) == sorted(map(str, ridge.collect()))
+    place = glob.glob(f"{folder}/ridge/versions/*")[0]
+    ridge.withColumn("intercept", F.col("intercept") + 1).write.mode("overwrite").parquet(place)
+    with pytest.raises(ValueError, match="isn't what was frozen"):
+        frozen.thaw(spark, f"{folder}/ridge")
+
+
+def test_champions_are_chosen_on_one_year_and_tested_on_the_next(spark):
+    """A candidate that knows the answer is chosen and refitted on both years; one that never gains isn't fitted again."""
+    from tidemark.plans import evaluation
+
+    rows = [(k, "ab"[k % 2], 1 + k // 40, k % 3, float(k % 17), float((k * 7) % 17)) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, year int, period int, y double, base double")
+    fitted = []
+
+    def fitter(name, column):
+        def fit(train):
+            fitted.append((name, sorted(r[0] for r in train.select("year").distinct().collect())))
+            return lambda x: x.withColumn("prediction", column)
+
+        return fit
+
+    years = [df.where(F.col("year") == k) for k in (1, 2, 3)]
+    scores, chosen, out = evaluation.choose_and_refit(*years, "g", "y", ["id"], "period", ["base"], "base", {"good": fitter("good", F.col("y") + 0.25), "bad": fitter("bad", -F.col("y") * 9)}, top=3)
+    assert {r.champion for r in chosen.collect()} == {"good"} and {r.model for r in scores.collect()} == {"good", "bad", "base"}
+    assert fitted == [("good", [1]), ("bad", [1]), ("good", [1, 2])]
+    assert out.count() == 40 and all(r.prediction == r.y + 0.25 and r.year == 3 for r in out.collect())

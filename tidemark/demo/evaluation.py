@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.demo.history import FEATURES, MEASURE, order_history, prior
 from tidemark.demo.registry import Tables, query
-from tidemark.operators import metrics, reshape, windows
-from tidemark.plans import evaluation, models
+from tidemark.operators import metrics, quality, reshape, windows
+from tidemark.plans import evaluation, frozen, models
+from tidemark.sources.shared import kept, shared_dir
 
 MODELS = ["previous", "last3", "last5"]
 
@@ -144,13 +147,18 @@ s AS (SELECT category, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c.category, CASE WHEN s.category IS NULL THEN 'NO_MODEL' ELSE 'MODEL' END AS route, round(my + (x - mx) * n * sxy / (n * sxx + 10 * sxx), 3) AS prediction FROM c LEFT JOIN s ON s.category = c.category WHERE l_linestatus = 'O'"""
 
 
-@query(LINE)
-def routed_inference(t: Tables) -> DataFrame:
-    """Rows routed to the frozen model of their category; those of a null or unseen category are kept and say so."""
+def routed_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lines with a category that is null or unseen in some, and those of them to train on."""
     s = F.col("l_suppkey") % 10
     category = F.when(s == 0, F.lit(None).cast("string")).when(s == 1, "unseen").otherwise(F.col("l_returnflag"))
     df = t.lineitem.withColumn("category", category)
-    train = df.where("l_linestatus = 'F' and category <> 'unseen'").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return df, df.where("l_linestatus = 'F' and category <> 'unseen'").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+
+
+@query(LINE)
+def routed_inference(t: Tables) -> DataFrame:
+    """Rows routed to the frozen model of their category; those of a null or unseen category are kept and say so."""
+    df, train = routed_rows(t)
     found = models.fit_ridge(train, "category", ["l_quantity"], "l_extendedprice")
     out = models.routed(df.where("l_linestatus = 'O'"), found, "category", ["l_quantity"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "category", "route", F.round("prediction", 3).alias("prediction"))
@@ -164,3 +172,75 @@ def forest_by_category(t: Tables) -> DataFrame:
 @query()
 def boosting_by_category(t: Tables) -> DataFrame:
     return fitted(t, "boosting")
+
+
+RIDGE = """r AS (SELECT {0} AS until, o_orderpriority AS cat3, count(*) AS n, avg(prediction) AS mx, avg(o_totalprice) AS my, covar_pop(prediction, o_totalprice) AS sxy, var_pop(prediction) AS sxx FROM d WHERE season <= {0} GROUP BY 2)"""
+LINEAR = "round(my + (d.prediction - mx) * n * sxy / (n * sxx + 10 * sxx), 6)"
+REFIT = f"""{WEEKLY.replace("UNPIVOT (SELECT o_orderkey, o_orderpriority, season, month(o_orderdate)::INTEGER AS period, o_totalprice, previous, last3, last5 FROM d WHERE season = 2000) ON previous, last3, last5",
+  f"UNPIVOT (SELECT o_orderkey, o_orderpriority, season, month(o_orderdate)::INTEGER AS period, o_totalprice, previous, last3, last5, {LINEAR} AS ridge FROM d JOIN ({RIDGE.format(1999)[6:-1]}) r ON cat3 = o_orderpriority WHERE season = 2000) ON previous, last3, last5, ridge")}"""
+REFIT = REFIT + SUMMARY[len(WEEKLY):] + CHOSEN[len(SUMMARY):]
+
+
+@query(f"""WITH {REFIT}, {RIDGE.format(2000)}, z AS (SELECT d.o_orderpriority, champion, o_totalprice, previous, CASE champion WHEN 'previous' THEN previous WHEN 'last3' THEN last3 WHEN 'last5' THEN last5 ELSE {LINEAR} END AS p
+  FROM d JOIN c ON c.o_orderpriority = d.o_orderpriority JOIN r ON cat3 = d.o_orderpriority WHERE season = 2001)
+SELECT o_orderpriority, champion, count(*) AS n_rows, round(avg(abs(p - o_totalprice)), 3) AS champion_mae, round(avg(abs(previous - o_totalprice)), 3) AS baseline_mae FROM z GROUP BY 1, 2""")
+def champion_refit(t: Tables) -> DataFrame:
+    """Ridge beside three moving averages: fitted on the training years, chosen by guard on the validation year, the chosen refitted
+    on both, the test year predicted once."""
+    df = kept(predictions(t).withColumnRenamed("prediction", "x").withColumn("period", F.month("o_orderdate")))
+    years = [df.where(f"season {x}") for x in ("<= 1999", "= 2000", "= 2001")]
+
+    def ridge(train: DataFrame):
+        found = models.fit_ridge(train, "o_orderpriority", ["x"], MEASURE)
+        return lambda rows: models.routed(rows, found, "o_orderpriority", ["x"]).drop("route")
+
+    _, chosen, out = evaluation.choose_and_refit(*years, "o_orderpriority", MEASURE, ["o_orderkey"], "period", MODELS, "previous", {"ridge": ridge})
+    error = lambda c: F.round(F.avg(F.abs(F.col(c) - F.col(MEASURE))), 3)
+    return out.groupBy("o_orderpriority", "champion").agg(F.count("*").alias("n_rows"), error("prediction").alias("champion_mae"), error("previous").alias("baseline_mae"))
+
+
+@query()
+def fitted_champions(t: Tables) -> DataFrame:
+    """The same way with ridge, forests and boosting (of 100 trees and rounds) on all features: scores of every candidate per
+    category and over all on the validation year, and where it was chosen, the champion's error on the test year."""
+    df = windows.prior_features(order_history(t), prior(), [MEASURE]).withColumn("prior_rows", F.col("prior_rows").cast("double"))
+    named = zip(MODELS, ("prev", "last3", "last5"), strict=True)
+    own = df.where("season <= 1999").groupBy("o_orderpriority").agg(F.avg(MEASURE).alias("_mean"))
+    df = df.join(own, "o_orderpriority", "left").withColumns({m: F.coalesce(f"{MEASURE}_{c}", "_mean") for m, c in named})
+    df = kept(df.select("o_orderkey", "o_orderpriority", "season", F.month("o_orderdate").alias("period"), MEASURE, *MODELS, *NUMERIC, *TEXT))
+
+    def ridge(train: DataFrame):
+        found = models.fit_ridge(train, "o_orderpriority", NUMERIC, MEASURE, text=TEXT)
+        return lambda rows: models.routed(rows, found, "o_orderpriority", NUMERIC, TEXT).drop("route")
+
+    def trees(kind: str, **size):
+        def fit(train: DataFrame):
+            model = models.fit_trees(train, "o_orderpriority", NUMERIC, MEASURE, kind, TEXT, **size)
+            return lambda rows: models.predict_trees(rows, model)
+
+        return fit
+
+    fitters = {"ridge": ridge, "forest": trees("forest", trees=100), "boosting": trees("boosting", rounds=100)}
+    years = [df.where(f"season {x}") for x in ("<= 1999", "= 2000", "= 2001")]
+    scores, chosen, out = evaluation.choose_and_refit(*years, "o_orderpriority", MEASURE, ["o_orderkey"], "period", MODELS, "previous", fitters)
+    tested = out.groupBy("o_orderpriority", F.col("champion").alias("model")).agg(F.avg(F.abs(F.col("prediction") - F.col(MEASURE))).alias("test_mae"))
+    return scores.join(tested, ["o_orderpriority", "model"], "left").select("model", "o_orderpriority", "n_rows", *VALUES, "test_mae")
+
+
+@query(LINE[: LINE.rindex("SELECT l_orderkey")] + """SELECT coalesce(category, 'ALL') AS category, count(*) AS n_rows, 0::BIGINT AS n_missing, 0::BIGINT AS n_mismatch, 0.0::DOUBLE AS max_difference, round(avg(p), 2) AS mean_prediction, 'PASS' AS status
+FROM (SELECT c.category, my + (x - mx) * n * sxy / (n * sxx + 10 * sxx) AS p FROM c JOIN s ON s.category = c.category WHERE l_linestatus = 'O') GROUP BY GROUPING SETS ((category), ())""")
+def frozen_model_parity(t: Tables) -> DataFrame:
+    """A ridge model frozen as a table and read back (refused if its rows changed) predicts what the fresh one does, per category and
+    over all; the mean prediction shows that it is the model in SQL."""
+    df, train = routed_rows(t)
+    found = models.fit_ridge(train, "category", ["l_quantity"], "l_extendedprice")
+    path = f"{shared_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    frozen.freeze(found, path)
+    keyed = df.where("l_linestatus = 'O'").withColumn("row", F.monotonically_increasing_id())
+    keyed = kept(keyed.select("row", "category", "l_quantity"))
+    told = lambda m: models.routed(keyed, m, "category", ["l_quantity"]).where("route = 'MODEL'").select("row", "category", "prediction")
+    again = told(frozen.thaw(t.spark, path))
+    same = quality.parity(told(found), again, ["row"], "category", "prediction", 1e-9).drop("mean_difference")
+    means = again.rollup("category").agg(F.grouping("category").alias("_all"), F.round(F.avg("prediction"), 2).alias("mean_prediction"))
+    means = means.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "mean_prediction")
+    return same.join(means, "category").withColumn("max_difference", F.round("max_difference", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from tidemark.demo.records import SIDED, sided
 from tidemark.demo.registry import Tables, query
 from tidemark.demo.scoring import FLEX, QUOTA, filled_sql, pool, rosters
 from tidemark.functions import scalar as S
-from tidemark.operators import facts, joins, metrics, quality, ranking, reshape, windows
+from tidemark.operators import facts, identity, joins, metrics, quality, ranking, reshape, windows
 from tidemark.sources import tables
+from tidemark.sources.shared import shared_dir
 
 VERDICT = "difference, status FROM (SELECT *, actual - expected AS difference, CASE WHEN actual = expected THEN 'PASS' ELSE 'FAIL' END AS status FROM c)"
 
@@ -374,3 +377,47 @@ def model_bias(t: Tables) -> DataFrame:
     df = predictions(t).where("season in (2000, 2001)")
     long = reshape.stacked(df, ["season", "o_orderpriority", MEASURE], MODELS, "model", "p")
     return long.groupBy("model", "season", "o_orderpriority").agg(F.count("*").alias("n_rows"), F.round(F.avg(F.col("p") - F.col(MEASURE)), 3).alias("bias"), F.count_if(F.col("p") > F.col(MEASURE)).alias("n_over"))
+
+
+PERIODS = "SELECT *, year(o_orderdate)::INTEGER AS season, month(o_orderdate)::INTEGER AS period FROM orders"
+PERIOD_CHECKS = {
+    "other_season": f"SELECT count(*) FROM shown WHERE season <> {CUTOFF}", "other_period": f"SELECT count(*) FROM shown WHERE season = {CUTOFF} AND period <> 7",
+    "completed_not_before": f"SELECT count(*) FROM completed WHERE season > {CUTOFF} OR (season = {CUTOFF} AND period >= 7)",
+    "prior_not_covered": f"SELECT count(*) FROM (SELECT DISTINCT o_custkey, season, period FROM p WHERE season = {CUTOFF} AND period < 7 EXCEPT SELECT o_custkey, season, period FROM completed)",
+}
+
+
+@query(f"""WITH p AS ({PERIODS}), shown AS (SELECT * FROM p WHERE (season = {CUTOFF} AND period = 7) OR o_orderkey % 211 = 0), completed AS (SELECT * FROM p WHERE (season < {CUTOFF} OR (season = {CUTOFF} AND period < 7)) AND o_orderkey % 89 <> 0),
+c AS ({" UNION ALL ".join(f"SELECT '{n}' AS check_name, ({q})::BIGINT AS actual" for n, q in PERIOD_CHECKS.items())})
+SELECT check_name, 0::BIGINT AS expected, actual, actual AS difference, CASE WHEN actual = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
+def period_purity_gate(t: Tables) -> DataFrame:
+    """A published period with rows of other periods, and results that lack some of the earlier ones: the gate says so."""
+    p = order_history(t).withColumn("period", F.month("o_orderdate"))
+    target, before = (F.col("season") == CUTOFF) & (F.col("period") == 7), (F.col("season") < CUTOFF) | ((F.col("season") == CUTOFF) & (F.col("period") < 7))
+    shown, completed = p.where(target | (F.col("o_orderkey") % 211 == 0)), p.where(before & (F.col("o_orderkey") % 89 != 0))
+    return quality.period_gate(shown, completed, p, "o_custkey", "season", "period", (CUTOFF, 7))
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN o_orderkey % 97 = 0 THEN season - 1 ELSE season END AS filed FROM ({PERIODS}))
+SELECT filed AS season, count(*) AS n_rows, count(*) FILTER (season > {CUTOFF} OR (season = {CUTOFF} AND period >= 7)) AS n_not_before, CASE WHEN count(*) FILTER (season > {CUTOFF} OR (season = {CUTOFF} AND period >= 7)) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM p WHERE filed < {CUTOFF} OR (filed = {CUTOFF} AND period <= 6) GROUP BY 1""")
+def loaded_files_check(t: Tables) -> DataFrame:
+    """History as it lies in partitioned files, loaded by its partitions up to a period; rows are held against their own dates, since
+    some are filed under the year before."""
+    path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    filed = order_history(t).withColumns({"filed": F.col("season") - F.when(F.col("o_orderkey") % 97 == 0, 1).otherwise(0), "period": F.month("o_orderdate")})
+    tables.write_partitioned(filed.select("o_orderkey", "o_orderdate", "filed", "period"), path, ["filed", "period"])
+    loaded = tables.history_until(t.spark.read.parquet(path), "filed", "period", CUTOFF, 6)
+    late = F.col("o_orderdate") >= F.lit(f"{CUTOFF}-07-01").cast("timestamp_ntz")
+    g = loaded.groupBy(F.col("filed").alias("season")).agg(F.count("*").alias("n_rows"), F.count_if(late).alias("n_not_before"))
+    return g.withColumn("status", F.when(F.col("n_not_before") == 0, "PASS").otherwise("FAIL"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '' ELSE user_id::VARCHAR END AS code, ts FROM events)
+SELECT event_id, code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts DESC NULLS LAST, event_id DESC) AS r FROM e WHERE trim(code) <> '') WHERE r = 1
+UNION ALL SELECT event_id, code FROM e WHERE code IS NULL OR trim(code) = ''""")
+def latest_with_incomplete_keys(t: Tables) -> DataFrame:
+    """The latest row of every key; rows whose key is unavailable stay as they are."""
+    code = F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 7 == 0, "").otherwise(F.col("user_id").cast("string"))
+    df = t.events.select("event_id", code.alias("code"), "ts")
+    return identity.latest_per_key(df, ["code"], "ts", [F.col("event_id").desc()]).select("event_id", "code")

@@ -114,3 +114,18 @@ def parity(old: DataFrame, new: DataFrame, key: Sequence[str], category: str, va
     )
     named = grouped.withColumn(category, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(category))).drop("_all")
     return named.withColumn("status", F.when((F.col("n_missing") == 0) & (F.col("n_mismatch") == 0), "PASS").otherwise("FAIL"))
+
+
+def period_gate(rows: DataFrame, completed: DataFrame, expected: DataFrame, entity: str, season: str, period: str, target: tuple[int, int]) -> DataFrame:
+    """What must hold for a published period: all rows are of the target season and period, completed results hold nothing of that
+    period or later, and every entity that `expected` names for an earlier period of the season has a completed result."""
+    at_season, at_period = target
+    later = (F.col(season) > at_season) | ((F.col(season) == at_season) & (F.col(period) >= at_period))
+    prior = (F.col(season) == at_season) & (F.col(period) < at_period)
+    covered = expected.where(prior).select(entity, season, period).distinct().join(completed.select(entity, season, period), [entity, season, period], "left_anti")
+    parts = [
+        counted_checks(rows, {"other_season": F.col(season) != at_season, "other_period": (F.col(season) == at_season) & (F.col(period) != at_period)}),
+        counted_checks(completed, {"completed_not_before": later}),
+        counted_checks(covered, {"prior_not_covered": F.lit(True)}),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

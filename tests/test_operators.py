@@ -321,3 +321,23 @@ def test_only_changed_partitions_are_written(spark, folder):
     kept = {f for f in before if f"p={rows[5][1]}/q={rows[5][2]}" not in f and "DEFAULT" not in f}
     assert kept <= files() and len(files() & before) == len(kept)
     assert sorted(map(tuple, spark.read.schema(df.schema).parquet(path).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)
+
+
+def test_hot_keys_in_slices_equal_the_plain_windows(spark):
+    """One key with nearly all rows, nulls and ties of time, in small slices, against the windows over whole keys."""
+    import random
+
+    r = random.Random(8)
+    rows = [("hot" if k % 20 else f"k{k % 7}", 2020 + k // 300, k // 3, k, r.choice([None, float(r.randrange(99)), r.randrange(9999) / 100])) for k in range(900)]
+    df = spark.createDataFrame(rows, "e string, season int, day int, id int, v double").repartition(6)
+    p = windows.Prior(["e"], ["season", "day", "id"], "season")
+    plain = windows.prior_features(df, p, ["v"]).drop("v_season_sd")
+    spread = windows.spread_prior_features(df, ["e"], ["season", "day", "id"], "season", ["v"], size=40)
+    close = lambda x: tuple(round(v, 6) if isinstance(v, float) else v for v in x)
+    names = sorted(plain.columns)
+    assert {close(x) for x in plain.select(names).collect()} == {close(x) for x in spread.select(names).collect()}
+    left, right = df.where("id % 2 = 0").select("e", "day", "id"), df.where("id % 2 = 1").select("e", F.col("day").alias("at"), "v", F.col("id").alias("tie"))
+    told = [sorted(map(tuple, joins.asof_join(left, right, ["e"], "day", "at", "v", "seen", "tie", spread=s).select("id", "seen").collect())) for s in (False, True)]
+    assert told[0] == told[1] and len(told[0]) == 450
+    with pytest.raises(ValueError):
+        windows.spread_prior_features(df, ["e"], ["id"], "season", ["v"], size=2)

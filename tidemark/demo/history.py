@@ -242,3 +242,23 @@ def latest_identity(t: Tables) -> DataFrame:
     n = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n_events"))
     latest = identity.latest_per_key(t.events, ["user_id", "event_type"], "ts", [F.col("event_id").desc()])
     return latest.select("user_id", "event_type", "event_id").join(n, ["user_id", "event_type"])
+
+
+@query("""SELECT o_orderkey, o_orderstatus, p, round(m3, 6) AS last3, round(m5, 6) AS last5, ms AS season_mean, round(sd, 4) AS sd5, lo AS min5, hi AS max5, n AS prior_rows, ns AS prior_season_rows FROM (
+  SELECT o_orderkey, o_orderstatus, lag(o_totalprice) OVER w AS p, avg(o_totalprice) OVER w3 AS m3, avg(o_totalprice) OVER w5 AS m5, sum((round(o_totalprice * 100))::BIGINT) OVER ws / 100.0 / nullif(count(o_totalprice) OVER ws, 0) AS ms, stddev_samp(o_totalprice) OVER w5 AS sd, min(o_totalprice) OVER w5 AS lo,
+    max(o_totalprice) OVER w5 AS hi, (row_number() OVER w - 1)::INTEGER AS n, row_number() OVER (PARTITION BY o_orderstatus, season ORDER BY o_orderdate, o_orderkey) - 1 AS ns FROM (SELECT *, year(o_orderdate) AS season FROM orders)
+  WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey), w3 AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+    w5 AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ws AS (PARTITION BY o_orderstatus, season ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+def hot_key_features(t: Tables) -> DataFrame:
+    """Prior-row features of three keys that have all rows, in slices."""
+    f = windows.spread_prior_features(order_history(t), ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "season", [MEASURE], size=2000)
+    rounded = [F.round(f"{MEASURE}_{c}", n).alias(c) for c, n in {"last3": 6, "last5": 6, "sd5": 4}.items()] + [F.col(f"{MEASURE}_season").alias("season_mean")]
+    return f.select("o_orderkey", "o_orderstatus", F.col(f"{MEASURE}_prev").alias("p"), *rounded, F.col(f"{MEASURE}_min5").alias("min5"), F.col(f"{MEASURE}_max5").alias("max5"), "prior_rows", F.col("prior_season_rows").cast("long").alias("prior_season_rows"))
+
+
+@query("""WITH u AS (SELECT event_type, ts, event_id, event_id % 3 > 0 AS asks, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events WHERE event_id % 3 > 0 OR value IS NOT NULL)
+SELECT event_id, event_type, seen FROM (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, asks, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM u) WHERE asks""")
+def hot_key_asof(t: Tables) -> DataFrame:
+    """The latest value at or before each event's time, for five keys that have all rows."""
+    asks, known = t.events.where("event_id % 3 > 0").select("event_id", "event_type", "ts"), t.events.where("event_id % 3 = 0 and value is not null").select("event_id", "event_type", F.col("ts").alias("at"), "value")
+    return joins.asof_join(asks, known, ["event_type"], "ts", "at", "value", "seen", "event_id", spread=True).select("event_id", "event_type", "seen")

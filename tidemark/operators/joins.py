@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import last_known
+
 
 def matched_join(left: DataFrame, right: DataFrame, on: Sequence[str], out: str = "match_status") -> DataFrame:
     """Left join with a column that says `matched` or `unmatched`."""
@@ -69,14 +71,17 @@ def asof_group_snapshot(df: DataFrame, group: Sequence[str], entity: Sequence[st
     return rows.withColumn("_rn", F.row_number().over(spec)).where("_rn = 1").drop("_rn")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, value: str, out: str, tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, value: str, out: str, tie: str, spread: bool = False) -> DataFrame:
     """Each left row with the latest right value at or before its own time: both sides in one sort, and the last value
-    seen; no range join. `tie` orders right rows of one time."""
+    seen; no range join. `tie` orders right rows of one time. `spread`: for keys with very many rows; a key's times are cut into
+    ranges, and the last value seen is carried from one to the next."""
     names = [c for c in left.columns if c not in by]
     facts = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"),
                         F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*names).alias("_row"))
     marks = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.col(value).alias("_v"),
                          F.lit(None).cast(facts.schema["_row"].dataType).alias("_row"))
+    if spread:
+        return last_known(facts.unionByName(marks), by, ["_t", "_side", "_tie"], "_v", out).where("_side = 1").select(*by, "_row.*", out)
     spec = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     seen = facts.unionByName(marks).withColumn(out, F.last("_v", ignorenulls=True).over(spec))
     return seen.where("_side = 1").select(*by, "_row.*", out)

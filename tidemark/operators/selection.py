@@ -70,15 +70,46 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], ou
     return joined.withColumn(out, (F.col("_base") + F.col("_id")).cast("int")).drop("_k", "_id", "_part", "_base")
 
 
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], values: Mapping[str, Column | str]) -> DataFrame:
+    """Under each name, the sum of a value over the rows before each one in its group, in the same two levels; inside a range by
+    a window. Sums of nothing are 0."""
+    rows = parted(df.withColumns({f"_v_{n}": F.col(v) if isinstance(v, str) else v for n, v in values.items()}), by, order)
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_k", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = rows.groupBy("_k", "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    bases = sums.select("_k", "_part", *[total(f"_s_{n}", before).alias(f"_b_{n}") for n in values])
+    own = rows.withColumns({f"_o_{n}": total(f"_v_{n}", inside) for n in values}).join(bases, ["_k", "_part"])
+    made = own.withColumns({n: F.col(f"_b_{n}") + F.col(f"_o_{n}") for n in values})
+    return made.drop("_k", "_id", "_part", *[f"_{x}_{n}" for x in "vbo" for n in values])
+
+
 def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
-    """Sum of `value` over the rows before each one in its group, in the same two levels; inside a range by a window."""
+    return running_sums(df, by, order, {out: value})
+
+
+def last_known(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """The last value that isn't null at or before each row in its group: within a range by a window, and what the ranges before
+    have seen last is carried over, one row for a range."""
     rows = parted(df, by, order)
+    known = F.col(value).isNotNull()
+    ends = rows.groupBy("_k", "_part").agg(F.max_by(value, F.when(known, F.col("_id"))).alias("_end"))
     before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("_k", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    bases = rows.groupBy("_k", "_part").agg(F.sum(value).alias("_s")).select("_k", "_part", F.coalesce(F.sum("_s").over(before), zero).alias("_base"))
-    own = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), zero))
-    return own.join(bases, ["_k", "_part"]).withColumn(out, F.col("_base") + F.col("_own")).drop("_k", "_id", "_part", "_base", "_own")
+    carried = ends.select("_k", "_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_k", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(carried, ["_k", "_part"])
+    return own.withColumn(out, F.coalesce("_own", "_carried")).drop("_k", "_id", "_part", "_own", "_carried")
+
+
+def sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], halo: int, size: int) -> DataFrame:
+    """Each group in slices of `size` rows of its order, and before each slice the last `halo` rows of the one before: _n (the
+    row's number), _slice, _halo (the row only serves the slice). Windows of up to `halo` rows back then go by slice."""
+    if size < halo:
+        raise ValueError("a slice must be as large as its halo")
+    rows = numbered(df, by, order, "_n")
+    own = F.floor((F.col("_n") - 1) / size)
+    both = F.when((F.col("_n") - 1) % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.withColumn("_own", own).withColumn("_slice", F.explode(both)).withColumn("_halo", F.col("_slice") > F.col("_own")).drop("_own")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], values: Mapping[str, str]) -> DataFrame:

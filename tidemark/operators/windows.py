@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import flag, ratio
+from tidemark.operators.selection import running_sums, sliced
 
 
 class Prior:
@@ -136,3 +137,20 @@ def global_prior_mean(df: DataFrame, day: str, order: Sequence[str], value: str,
         total = total + F.coalesce(F.sum(value).over(inside), zero)
         count = count + F.count(value).over(inside)
     return df.join(base, day).withColumn(out, ratio(total.cast("double"), count)).drop("_bs", "_bn")
+
+
+def spread_prior_features(df: DataFrame, key: Sequence[str], order: Sequence[str], season: str, measures: Sequence[str], means: Sequence[int] = (3, 5), spread: int = 5, size: int = 100_000) -> DataFrame:
+    """`prior_features` for keys of any size (all but the season's deviation): trailing values within slices of a key that
+    bring the few rows before them along, season-to-date means from running sums over ranges. No task sorts a whole key."""
+    halo = max([spread, *means, 1])
+    known = {f"_s_{m}": F.col(m).cast("decimal(38,6)") for m in measures} | {f"_c_{m}": F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in measures}
+    rows = running_sums(df, [*key, season], order, known | {"prior_season_rows": F.lit(1)})
+    p = Prior([*key, "_slice"], ["_n"])
+    added = {}
+    for m in measures:
+        added[f"{m}_prev"] = p.lag(m)
+        added |= {f"{m}_last{k}": p.mean(m, k) for k in means}
+        added[f"{m}_season"] = ratio(F.col(f"_s_{m}").cast("double"), F.col(f"_c_{m}"))
+        added |= {f"{m}_sd{spread}": F.stddev_samp(m).over(p.last(spread)), f"{m}_min{spread}": F.min(m).over(p.last(spread)), f"{m}_max{spread}": F.max(m).over(p.last(spread))}
+    made = sliced(rows, key, order, halo, size).withColumns(added | {"prior_rows": F.col("_n") - 1}).where(~F.col("_halo"))
+    return made.drop("_n", "_slice", "_halo", *known)

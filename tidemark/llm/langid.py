@@ -139,7 +139,9 @@ def train_language_model(docs: DataFrame, train: Column, id_col: str = "doc_id",
     few = rows.where(below).select("lang", "h", "id", F.pmod(F.col("h"), F.lit(PARTS)).alias("part"))
     inside = Window.partitionBy("lang", "part").orderBy("h", "id")
     few = few.distinct().withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= sample)
-    ids = [r for name in keep for r in few.where(F.col("lang") == name).orderBy("h", "id").limit(sample).collect()]
+    # at most PARTS * `sample` rows of a language are left, whose first `sample` one job finds for all languages
+    first = Window.partitionBy("lang").orderBy("h", "id")
+    ids = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("id", "h").collect()
     chosen = docs.sparkSession.createDataFrame([(r["id"], r["h"]) for r in ids], f"id {rows.schema['id'].dataType.simpleString()}, h long")
     got = rows.join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "lang").distinct().collect()  # `sample` a language
     got = sorted({(str(r["id"]), r["lang"], r["text"]) for r in got})

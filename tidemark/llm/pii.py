@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -415,6 +417,7 @@ def added_spans(texts: list[bytes], base: list[list[tuple[int, int, int]]], mode
         return out
     offsets = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
     breaks = np.flatnonzero((np.diff(hits) != 1) | (np.diff(labels[hits]) != 0) | words.new[hits[1:]]) + 1
+    at, points, starts, ends = -1, None, [], []  # of the text at hand: code points up to each byte, base spans by start
     for run in np.split(hits, breaks):
         a, b = int(words.starts[run[0]]), int(words.stops[run[-1]])
         i = int(np.searchsorted(offsets, a, "right")) - 1
@@ -426,8 +429,13 @@ def added_spans(texts: list[bytes], base: list[list[tuple[int, int, int]]], mode
             b -= 1
         if not plausible(int(labels[run[0]]) - 1, raw[a:b].decode("utf-8", "replace")):
             continue
-        a, b = len(raw[:a].decode("utf-8", "replace")), len(raw[:b].decode("utf-8", "replace"))
-        if all(b <= s or e <= a for _, s, e in base[i]):
+        if at != i:  # runs come in the order of texts
+            at, points = i, np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+            own = sorted((s, e) for _, s, e in base[i])
+            starts, ends = [s for s, _ in own], list(accumulate((e for _, e in own), max))
+        a, b = int(points[a]), int(points[b])
+        before = bisect_left(starts, b)  # base spans that begin before this one ends
+        if not before or ends[before - 1] <= a:
             out[i].append((int(labels[run[0]]) - 1, a, b))
     return [sorted(x) for x in out]
 

@@ -216,17 +216,17 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     words = base.mapInArrow(blocks, "word binary, block string, n long, docs binary, head binary")
     # sums are taken in parts before the shuffle, and the join can split a frequent word's blocks
-    totals = materialize(words.where("head is null").groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("one")))
-    # the block that comes first for a word also counts it
-    counted = words.join(totals, "word", "left").select("block", "docs", "head", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce(F.col("one") == F.col("block"), F.lit(False)).alias("first"))
+    totals = materialize(words.where("head is null").groupBy("word").agg(F.sum("n").alias("c")))
+    counted = words.join(totals, "word", "left").select("block", "docs", "head", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
 
     def gather(table):
         return _gather(table)
 
-    out_schema = f"id {kind}, train boolean, n_tokens long, n_known long, logs double, score double, n_part long, v_part long"
+    out_schema = f"id {kind}, train boolean, n_tokens long, n_known long, logs double, score double"
     sums = materialize(counted.groupBy("block").applyInArrow(gather, out_schema))
-    # the end mark is in every document: its count is that of the training rows
-    whole = sums.agg(F.count_if("train").alias("E"), F.coalesce(F.sum("n_part"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_part"), F.lit(0)).alias("v"))
+    # the end mark is in every document: its count is that of the training rows. N and V come from the written totals alone, so
+    # that they don't depend on how texts fell into blocks in one run or another
+    whole = sums.agg(F.count_if("train").alias("E")).crossJoin(totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")))  # one row each
     whole = whole.select("E", (F.col("n") + F.col("E")).alias("N"), (F.col("v") + F.when(F.col("E") > 0, 1).otherwise(0)).alias("V"))
     logs = F.col("logs") + F.log10((F.col("E") + 1).cast("double"))
     return sums.crossJoin(F.broadcast(whole)).select(  # one row
@@ -316,12 +316,9 @@ def _gather(table):
     n = head.num_rows
     logs = np.bincount(flat["doc"], flat["n"] * np.log10(each + 1.0), n).astype(np.float64)  # of no words it counts in integers
     known = np.bincount(flat["doc"], flat["n"] * (each > 0), n).astype(np.int64)
-    first = table.column("first").to_numpy().astype(bool)
-    parts = np.zeros((2, n), np.int64)
-    parts[:, 0] = c[first].sum(), (c[first] > 0).sum()
     return pa.table(
         {
             "id": head.column("id"), "train": head.column("train"), "n_tokens": head.column("n_tokens"), "n_known": pa.array(known),
-            "logs": pa.array(logs), "score": head.column("score"), "n_part": pa.array(parts[0]), "v_part": pa.array(parts[1]),
+            "logs": pa.array(logs), "score": head.column("score"),
         }
     )

@@ -341,3 +341,11 @@ def test_hot_keys_in_slices_equal_the_plain_windows(spark):
     assert told[0] == told[1] and len(told[0]) == 450
     with pytest.raises(ValueError):
         windows.spread_prior_features(df, ["e"], ["id"], "season", ["v"], size=2)
+
+
+def test_lookups_that_repeat_a_key_raise(spark):
+    names = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    with pytest.raises(ValueError, match="repeats keys"):
+        facts.preferred_lookup(rows, [(names, "k")], "v", "out")
+    assert {r.out for r in facts.preferred_lookup(rows, [(names.where("v <> 'b'"), "k")], "v", "out").collect()} == {"a", "c"}

@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import checked_join
+
 
 def conditional_sums(df: DataFrame, by: Sequence[str], sums: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
     """Many sums of one scan, each over the rows where its own condition holds (None: all rows); 0 where none does."""
@@ -57,10 +59,11 @@ def period_crosswalk(df: DataFrame, key: Sequence[str], period: str, id_col: str
 
 
 def preferred_lookup(df: DataFrame, lookups: Sequence[tuple[DataFrame, str]], value: str, out: str) -> DataFrame:
-    """`value` by the first lookup (frame, key column) that knows the row's key; a row that none knows raises."""
+    """`value` by the first lookup (frame, key column) that knows the row's key; a row that none knows raises, and so does a
+    lookup that repeats a key (which would repeat rows)."""
     names = []
     for k, (frame, key) in enumerate(lookups):
-        df = df.join(frame.select(key, F.col(value).alias(f"_l{k}")), key, "left")
+        df = checked_join(df, frame.select(key, F.col(value).alias(f"_l{k}")), [key], "left")
         names.append(f"_l{k}")
     missing = F.raise_error(F.concat_ws(" ", F.lit(f"no {value} for"), *[F.col(key).cast("string") for _, key in lookups]))
     return df.withColumn(out, F.coalesce(*names, missing.cast(df.schema[names[0]].dataType))).drop(*names)

@@ -1,8 +1,10 @@
 """Corpus operators against brute force, exact round trips and held-out cases, with the edge cases of their docstrings."""
 
+import functools
 import hashlib
 import io
 import itertools
+import math
 import os
 import random
 import re
@@ -12,7 +14,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, media, mixing, near_dedup, packing, pii, suffix_lm, toxicity, warc
+from tidemark.llm import common, exact_dedup, langid, media, mixing, near_dedup, packing, pii, suffix_lm, toxicity, warc
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, id int"
@@ -424,11 +426,8 @@ def test_language(spark, docs, empty):
 
 
 def test_language_model_against_brute_force(docs, empty):
-    import math
     from collections import Counter
 
-    import numpy as np
-
     got = suffix_lm.score_documents(docs, F.col("doc_id") % 7 != 2).collect()
     rows = [(r.doc_id, (r.text or "").encode().lower()) for r in docs.collect()]
     counts = Counter()
@@ -442,21 +441,70 @@ def test_language_model_against_brute_force(docs, empty):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
         want.append((i, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6)))
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
-    model = suffix_lm.train_suffix_tree(docs.where("doc_id % 7 != 2"))
-    table = suffix_lm.score_table(model).reshape(-1, 64)
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-3)  # every context's distribution sums to one
-    lookup, rare = model["lookup"], math.log10(max(1, model["lookup"].count(suffix_lm.OTHER)))
-    for r in got[:6]:
-        text = next(t for i, t in rows if i == r.doc_id)
-        seq = [suffix_lm.END] * 3 + [lookup[b] for b in text] + [suffix_lm.END]
-        total = sum(table[seq[k - 3] * 4096 + seq[k - 2] * 64 + seq[k - 1], seq[k]] - (rare if seq[k] == suffix_lm.OTHER else 0) for k in range(3, len(seq)))
-        assert abs(total - r.score) < 1e-2 * max(1, len(seq) / 1000)
     assert suffix_lm.score_documents(empty, F.lit(True)).count() == 0
 
 
 DATA = "/root/testdata/sf0.001"
 
 
+def _plain_suffix_tree(counts):
+    """Scores of tokens and retained contexts by the definition, every context counted in a dictionary."""
+    from collections import Counter, defaultdict
+
+    full = {w: b" \n" if w == b"\n" else b" " + w + b" " for w in counts}
+    follow = defaultdict(Counter)
+    for w, c in counts.items():
+        for i in range(1, len(full[w])):
+            for d in range(i + 1):
+                follow[full[w][i - d : i]][full[w][i]] += c
+
+    @functools.cache
+    def p(context, symbol):
+        back = p(context[1:], symbol) if context else 1 / 252
+        return (follow[context][symbol] + 8 * back) / (sum(follow[context].values()) + 8)
+
+    @functools.cache
+    def retained(context):
+        if not context:
+            return True
+        seen = sum(follow[context].values())
+        told = sum(n * math.log(n / seen / p(context[1:], x)) for x, n in follow[context].items() if n)
+        return retained(context[1:]) and seen >= 16 and told >= 8
+
+    def state(before):
+        d = 0
+        while d < len(before) and retained(before[len(before) - d - 1 :]):
+            d += 1
+        return before[len(before) - d :]
+
+    scores = {w: sum(math.log10(p(state(f[:i]), f[i])) for i in range(1, len(f))) for w, f in full.items()}
+    return scores, {c for c in list(follow) if retained(c)}, p
+
+
+def test_suffix_tree_against_plain_tree(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("text", "doc_id % 7 != 2 as train")
+    long = spark.createDataFrame([("stem" * 12 + x, True) for x in "abcdefgh" for _ in range(20)] + [("x" * 3000 + " \u00e9\u00df", False), (None, True)], base.schema)
+    docs = base.union(long)
+    scored, tree = suffix_lm.score_tokens(docs)
+    got = {bytes(r.word): (r.c, r.score) for r in scored.collect()}
+    counts = {w: c for w, (c, _) in got.items()}
+    assert counts[b"\n"] == docs.where("train").count()
+    scores, contexts, p = _plain_suffix_tree({w: c for w, c in counts.items() if len(w) < 100})
+    assert all(abs(got[w][1] - s) < 1e-6 * len(w) for w, s in scores.items()) and len(scores) == len(got) - 1
+    rows = [r for t in tree for r in t.collect()]
+    # the one long token is in no training row: it moves no count, yet is scored whole
+    assert {bytes(r.context) for r in rows} == contexts and max(map(len, contexts)) > 3
+    for context in list(contexts)[:50]:  # every context's distribution sums to one
+        assert abs(sum(p(context, x) for x in range(256) if x not in (9, 11, 12, 13)) - 1) < 1e-9
+    # more text, more contexts; and a row's window moves nothing
+    half, small = suffix_lm.score_tokens(base.where("pmod(hash(text), 2) = 0"))
+    assert sum(t.count() for t in small) < len(rows)
+    full = F.expr("case when word = x'0a' then x'200a' else concat(x'20', word, x'20') end")
+    tokens = common.materialize(scored.select("word", "c", full.alias("full"), F.monotonically_increasing_id().alias("id")))
+    again = tokens.join(suffix_lm.grow_tree(tokens, window=1)[0], "id").collect()
+    assert all(abs(got[bytes(r.word)][1] - r.score) < 1e-6 * (1 + len(r.word)) for r in again) and len(again) == len(got)
+
+
 @pytest.fixture(scope="module")
 def edge_dir(spark):
     """The smallest driver documents and labels, with null, empty, repeated and odd rows added."""

@@ -1,324 +1,239 @@
-"""Scoring texts with a probabilistic suffix tree, and the words' corpus counts beside it."""
+"""Scoring texts with a probabilistic suffix tree of any depth, and the words' corpus counts beside it."""
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_chunks
+from tidemark.llm.common import discard, materialize, text_chunks
 
-#: Symbols: the 62 most frequent bytes, one for all other bytes, one for the text's end (and what precedes its start).
-KINDS, OTHER, END = 64, 62, 63
-#: Longest context. The tree has at most 64**3 contexts, so the model's size has a bound that no corpus moves.
-DEPTH = 3
-#: A context stays if it was seen this often and tells this many nats about what follows, over its own suffix.
+#: What may follow: any byte of a word, the word's end, or (in place of a word) the text's end.
+SYMBOLS = 256 - 6 + 2
+#: A context stays if it was seen this often and tells this many nats about what follows, over its own suffix; its
+#: distribution is smoothed towards the suffix's with a weight of PRIOR symbols.
 LEAST_SEEN, LEAST_NATS, PRIOR = 16, 8.0, 8.0
-#: Bytes of text whose words are counted together before they're shuffled.
-BLOCK_BYTES = 8 << 20
+#: Symbols before a position that its row carries at first. Doubled as often as a retained context is that long.
+WINDOW = 16
+#: Bytes of text whose words are counted together before they're shuffled, and distinct words held while counting.
+BLOCK_BYTES, HELD_WORDS = 8 << 20, 1 << 18
+#: The token that ends a text, and a block header's key: white space, so no word equals them.
+END, HEAD = b"\n", b" "
 
-_models: dict = {}
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(word, c) for all tokens of the lower-cased texts of `docs` (text, train): c counts training rows only, so it is 0 for
+    words of other rows. Tasks count before the shuffle; each holds HELD_WORDS words and a chunk of text at most."""
 
-def _symbols(texts: list[bytes], lookup):
-    """Symbols of lower-cased texts, each with DEPTH ends before and one after; first position and length of each."""
-    import numpy as np
-
-    lengths = np.array([len(x) for x in texts], np.int64)
-    data = np.frombuffer(b"".join([b"\0" * DEPTH, (b"\0" * (DEPTH + 1)).join(texts), b"\0"]), np.uint8)
-    symbols = lookup[data]
-    starts = DEPTH + np.concatenate(([0], np.cumsum(lengths + DEPTH + 1)[:-1]))
-    stops = starts + lengths
-    for k in range(DEPTH):
-        symbols[starts - 1 - k] = END
-    symbols[stops] = END
-    return symbols, starts, lengths
-
-
-def _codes(symbols):
-    """Code of each symbol with the DEPTH before it, from position DEPTH on: 6 bits each."""
-    codes = symbols[DEPTH:].astype("int32")
-    for k in range(1, DEPTH + 1):
-        codes |= symbols[DEPTH - k : -k].astype("int32") << 6 * k
-    return codes
-
-
-def _places(symbols, starts, lengths):
-    """Which positions (from DEPTH on) belong to a text or are its end."""
-    import numpy as np
-
-    inside = np.ones(len(symbols) - DEPTH, bool)
-    for k in range(DEPTH):
-        inside[(starts - DEPTH - 1 - k)[1:]] = False
-    return inside
-
-
-def byte_lookup(histogram) -> list[int]:
-    """Symbol of each byte from a histogram of 256 counts; ties go to the smaller byte."""
-    order = sorted(range(256), key=lambda b: (-histogram[b], b))
-    return [order.index(b) if order.index(b) < OTHER else OTHER for b in range(256)]
+    def count(batches):
+        from collections import Counter
 
-
-def train_suffix_tree(docs: DataFrame, text_col: str = "text") -> dict:
-    """Model from all texts given: {"lookup", "codes", "counts"}. Counts of four-symbol strings are summed by Spark;
-    what reaches the driver is at most 64**4 pairs whatever the corpus, in practice as many as occur.
-
-    Edge cases: null and empty texts count as one end mark; repeated rows count each; an empty table gives a model without
-    counts, whose tree is uniform; other columns are ignored."""
-    import numpy as np
-
-    texts = docs.selectExpr(f"`{text_col}` as text")
-
-    def bytes_of(batches):
         import pyarrow as pa
 
-        total = np.zeros(256, np.int64)
-        for _, chunk in text_chunks(batches, "text"):
-            total += np.bincount(np.frombuffer(b"".join(chunk).lower(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
-
-    rows = texts.mapInArrow(bytes_of, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).limit(256).collect()
-    histogram = [0] * 256
-    for r in rows:
-        histogram[r["byte"]] = r["n"]
-    lookup = byte_lookup(histogram)
-
-    def strings_of(batches):
-        import pyarrow as pa
-
-        table, total = np.array(lookup, np.uint8), None
-        for _, chunk in text_chunks(batches, "text"):
-            symbols, starts, lengths = _symbols([x.lower() for x in chunk], table)
-            codes = _codes(symbols)[_places(symbols, starts, lengths)]
-            if total is None:
-                total = np.zeros(KINDS ** (DEPTH + 1), np.int32)
-            seen, n = np.unique(codes, return_counts=True)
-            total[seen] += n.astype(np.int32)
-        if total is not None:
-            seen = np.flatnonzero(total)
-            for i in range(0, len(seen), 1 << 16):
-                some = seen[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["code", "n"])
-
-    counted = texts.mapInArrow(strings_of, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counted = counted.orderBy("code").toPandas()
-    return {"lookup": lookup, "codes": counted["code"].to_numpy(np.int32), "counts": counted["n"].to_numpy(np.float64)}
-
-
-def score_table(model: dict):
-    """log10 P(symbol | longest retained suffix of the three symbols before), as one float32 per four-symbol code.
-
-    Next-symbol distributions are smoothed towards those of the context's own suffix. A context is retained if its
-    observed distribution diverges from its suffix's smoothed one by at least LEAST_NATS in all (count times
-    Kullback-Leibler divergence)."""
-    import numpy as np
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    codes, counts = model["codes"], model["counts"]
-    parent = np.full((1, KINDS), 1.0 / KINDS)  # before any context: uniform
-    chosen = parent
-    for depth in range(DEPTH):
-        level = np.bincount(codes & (KINDS ** (depth + 1) - 1), counts, KINDS ** (depth + 1)).reshape(-1, KINDS)
-        parent, chosen = _refine(level, np.tile(parent, (KINDS if depth else 1, 1)), np.tile(chosen, (KINDS if depth else 1, 1)), depth > 0)
-    # the longest contexts, in slices by their first symbol so that little beyond the table itself is held
-    table, size = np.empty(KINDS ** (DEPTH + 1), np.float32), KINDS**DEPTH
-    for first in range(KINDS):
-        lo, hi = np.searchsorted(codes, [first * size, (first + 1) * size])
-        level = np.bincount(codes[lo:hi] - first * size, counts[lo:hi], size).reshape(-1, KINDS)
-        table[first * size : (first + 1) * size] = np.log10(_refine(level, parent, chosen, True)[1]).ravel()
-    return table
-
-
-def _refine(level, back, inherited, test: bool):
-    """(smoothed, chosen) distributions of some contexts from their counts, their suffixes' smoothed distributions and
-    those chosen for their suffixes."""
-    import numpy as np
-
-    seen = level.sum(1, keepdims=True)
-    smooth = (level + PRIOR * back) / (seen + PRIOR)
-    if not test:
-        return smooth, smooth
-    with np.errstate(divide="ignore", invalid="ignore"):
-        told = np.where(level > 0, level * np.log(level / np.maximum(seen, 1) / back), 0).sum(1)
-    keep = (told >= LEAST_NATS) & (seen[:, 0] >= LEAST_SEEN)
-    return smooth, np.where(keep[:, None], smooth, inherited)
-
-
-def retained_contexts(model: dict) -> int:
-    """How many contexts of full length differ from what their suffix predicts (for reports and tests)."""
-    import numpy as np
-
-    table = score_table(model).reshape(KINDS, KINDS ** (DEPTH - 1), KINDS)
-    shorter = np.median(table, axis=0)
-    return int((np.abs(table - shorter) > 1e-6).any(2).sum())
-
-
-class Scorer:
-    """log10 probability of whole texts: symbols by the tree; a byte of the rare class also pays for which it is."""
-
-    def __init__(self, model: dict):
-        import numpy as np
-
-        self.table, self.lookup = score_table(model), np.array(model["lookup"], np.uint8)
-        self.rare = -float(np.log10(max(1, model["lookup"].count(OTHER))))
-
-    def score(self, texts: list[bytes]):
-        """Of lower-cased texts."""
-        import numpy as np
-
-        symbols, starts, lengths = _symbols(texts, self.lookup)
-        each = self.table[_codes(symbols)].astype(np.float64)
-        each += np.where(symbols[DEPTH:] == OTHER, self.rare, 0.0)
-        at = np.empty(2 * len(starts), np.int64)
-        at[0::2], at[1::2] = starts - DEPTH, starts - DEPTH + lengths + 1
-        return np.add.reduceat(np.append(each, 0.0), at)[0::2]
+        held: Counter = Counter()
+        for part, chunk in text_chunks(batches, "text"):
+            for text, train in zip(chunk, part.column("train").to_pylist(), strict=True):
+                words = [*text.lower().split(), END]
+                if train:
+                    held.update(words)
+                else:
+                    held.update(dict.fromkeys(words, 0))
+                if len(held) >= HELD_WORDS:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    return docs.select("text", "train").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def _positions(tokens: DataFrame, window: int) -> DataFrame:
+    """A row for each symbol of each token (id, full, c): up to `window` symbols before it, and the symbol."""
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("full") - 1)).alias("at")
+    return tokens.select("id", "c", "full", at).select(
+        "id",
+        F.expr(f"substring(full, greatest(1, at + 1 - {window}), least(at, {window}))").alias("tail"),
+        F.expr("substring(full, at + 1, 1)").alias("next"),
+        F.col("c").alias("n"),
+        F.lit(1.0 / SYMBOLS).alias("p"),
+    )
 
 
-def _scorer(model: dict) -> Scorer:
-    key = hashlib.sha256(model["counts"].tobytes() + model["codes"].tobytes() + bytes(model["lookup"])).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Scorer(model)
-    return _models[key]
+def _states(rows: DataFrame, depth: int) -> DataFrame:
+    """Retained contexts of `depth` symbols among the rows (context, next, n, p): (context, next, seen, p), p being the next
+    symbol's smoothed probability. The rows' p is what the context's suffix gives."""
+    each = rows.groupBy("context", "next").agg(F.sum("n").alias("n"), F.max("p").alias("back"))
+    told = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("back"))).otherwise(0.0))
+    of = each.groupBy("context").agg(F.sum("n").alias("seen"), told.alias("told"))
+    if depth:
+        seen = F.col("seen").cast("double")
+        of = of.where((F.col("seen") >= LEAST_SEEN) & (F.col("told") - seen * F.log(seen) >= LEAST_NATS))
+    kept = each.join(of.select("context", "seen"), "context")
+    return kept.select("context", "next", "seen", ((F.col("n") + PRIOR * F.col("back")) / (F.col("seen") + PRIOR)).alias("p"))
+
+
+def grow_tree(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[DataFrame]]:
+    """Grow a suffix tree from tokens (id, full, c) and follow every token through it: (id, score), the token's log10
+    probability, and the tree's tables by depth (context, next, seen, p).
+
+    `full` is what a token's symbols are: a word between two spaces, or a space and the text's end. Contexts are the bytes before
+    a symbol, from the token's space on. A level takes the positions whose context of one symbol less was retained, counts what
+    follows each longer context, and retains those that were seen LEAST_SEEN times and diverge from their suffix by
+    LEAST_NATS (count times Kullback-Leibler divergence). Positions whose context wasn't retained are done: the suffix is
+    their state. Levels end when no context is retained; neither depth, alphabet nor number of contexts has a limit, and the
+    tree stays a table that is joined to the positions.
+    """
+    levels, written, tree, depth = [], [], [], 0
+    rows = _positions(tokens, window)
+    while True:
+        context = F.expr(f"substring(tail, -{depth}, {depth})") if depth else F.lit(b"")
+        rows = rows.withColumn("context", context)
+        states = materialize(_states(rows, depth))
+        if states.isEmpty():
+            discard(states)
+            levels.append(rows.select("id", "p"))
+            break
+        if depth == window:
+            discard(states, *tree, *written)
+            return grow_tree(tokens, 2 * window)
+        tree.append(states)
+        after = states.select("context", "next", F.col("p").alias("q"))
+        # at most SYMBOLS ** 2 rows where contexts have no or one symbol
+        joined = rows.join(F.broadcast(after) if depth < 2 else after, ["context", "next"], "left")
+        going = F.col("q").isNotNull() & (F.octet_length("tail") > depth)
+        level = materialize(joined.select("id", "tail", "next", "n", F.coalesce("q", "p").alias("p"), going.alias("going")))
+        written.append(level)
+        levels.append(level.where("not going").select("id", "p"))
+        rows, depth = level.where("going").drop("going"), depth + 1
+    scores = materialize(reduce(DataFrame.union, levels).groupBy("id").agg(F.sum(F.log10("p")).alias("score")))
+    discard(*written)
+    return scores, tree
+
+
+def score_tokens(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(word, c, score) for all tokens of `docs` (text, train), and the tree: see `token_counts` and `grow_tree`."""
+    end = F.lit(END)
+    full = F.when(F.col("word") == end, F.concat(F.lit(HEAD), end)).otherwise(F.concat(F.lit(HEAD), "word", F.lit(HEAD)))
+    # ids are those that were written, however often a task ran before
+    tokens = materialize(token_counts(docs).select("word", "c", full.alias("full"), F.monotonically_increasing_id().alias("id")))
+    scores, tree = grow_tree(tokens)
+    scored = materialize(tokens.join(scores, "id").select("word", "c", "score"))
+    discard(tokens, scores)
+    return scored, tree
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows where `train` holds and score all rows: the id, train, n_tokens, n_known, train_tokens,
-    base_score (words with add-one counts) and score (the suffix tree's log10 probability of the lower-cased UTF-8 text).
+    base_score (tokens with add-one counts) and score (the suffix tree's log10 probability of the text's tokens: the
+    bytes of each lower-cased word and its end, and the text's end after the last one).
 
-    Words meet their corpus counts through a join by word: each task sums the words of a block of texts first, so even the
-    most frequent word has one row per block, and sums are taken in parts. The sums return to their block, whose size has a bound.
+    Tokens meet their corpus counts and scores through a join by word: each task sums the words of a block of texts first, so even
+    the most frequent word has one row per block, and sums are taken in parts. The sums return to their block, whose size has
+    a bound. `docs` must give the same rows in the same order when read again, as files do.
 
     Edge cases: null text counts as empty: one token, the end; a null condition is not train; with no training rows,
     counts are 0, base scores use N = V = 0 and the tree is uniform; a very long text is a block of its own;
-    repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    repeated rows stay and count each; an empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    model = train_suffix_tree(base.where("train"))
-    shared = base.sparkSession.sparkContext.broadcast(model)
     kind = base.schema["id"].dataType.simpleString()
+    scored, tree = score_tokens(base)
+    discard(*tree)
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        scorer, done = _scorer(shared.value), 0
+        held, texts, parts, done = 0, [], [], 0
         name = lambda: f"{TaskContext.get().partitionId():08x}-{done:08x}"
-        held, texts, parts = 0, [], []
         for part, chunk in text_chunks(batches, "text"):
             texts += chunk
             parts.append(part)
             held += sum(map(len, chunk))
             if held >= BLOCK_BYTES:
-                yield from _block(name(), parts, texts, scorer)
+                yield from _block(name(), parts, texts)
                 held, texts, parts, done = 0, [], [], done + 1
         if texts:
-            yield from _block(name(), parts, texts, scorer)
+            yield from _block(name(), parts, texts)
 
-    words = base.mapInArrow(blocks, "word binary, block string, n long, docs binary, head binary")
-    # sums are taken in parts before the shuffle, and the join can split a frequent word's blocks
-    totals = materialize(words.where("head is null").groupBy("word").agg(F.sum("n").alias("c")))
-    counted = words.join(totals, "word", "left").select("block", "docs", "head", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    words = base.mapInArrow(blocks, "word binary, block string, docs binary, head binary")
+    # the join can split a frequent word's blocks; headers find no word
+    told = words.join(scored, "word", "left").select("block", "docs", "head", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
     def gather(table):
         return _gather(table)
 
-    out_schema = f"id {kind}, train boolean, n_tokens long, n_known long, logs double, score double"
-    sums = materialize(counted.groupBy("block").applyInArrow(gather, out_schema))
-    # the end mark is in every document: its count is that of the training rows. N and V come from the written totals alone, so
-    # that they don't depend on how texts fell into blocks in one run or another
-    whole = sums.agg(F.count_if("train").alias("E")).crossJoin(totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")))  # one row each
-    whole = whole.select("E", (F.col("n") + F.col("E")).alias("N"), (F.col("v") + F.when(F.col("E") > 0, 1).otherwise(0)).alias("V"))
-    logs = F.col("logs") + F.log10((F.col("E") + 1).cast("double"))
+    sums = materialize(told.groupBy("block").applyInArrow(gather, f"id {kind}, train boolean, n_tokens long, n_known long, logs double, score double"))
+    whole = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"))
     return sums.crossJoin(F.broadcast(whole)).select(  # one row
         F.col("id").alias(id_col),
         "train",
         "n_tokens",
-        (F.col("n_known") + F.when(F.col("E") > 0, 1).otherwise(0)).alias("n_known"),
+        "n_known",
         F.col("N").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10((F.col("N") + F.col("V") + 1).cast("double"))).alias("base_score"),
+        (F.col("logs") - F.col("n_tokens") * F.log10((F.col("N") + F.col("V") + 1).cast("double"))).alias("base_score"),
         "score",
     )
 
 
-#: A header's key, which no word can equal: a word holds no white space.
-HEAD = b" "
-
-
-def _block(block: str, parts, texts: list[bytes], scorer: Scorer):
-    """Rows (word, block, count in training texts, documents with counts) of a block of texts, and its header row."""
+def _block(block: str, parts, texts: list[bytes]):
+    """Rows (word, block, documents with counts) of a block of texts, and its header row."""
     from itertools import chain
 
     import numpy as np
     import pyarrow as pa
 
     table = pa.Table.from_batches([p.select(["id", "train"]) for p in parts]).combine_chunks()
-    lower = [x.lower() for x in texts]
-    train = table.column("train").to_numpy().astype(bool)
-    scores = np.concatenate([scorer.score(some) for some in _slices(lower)])
-    split = [x.split() for x in lower]
+    split = [[*x.lower().split(), END] for x in texts]
     lengths = np.array([len(x) for x in split], np.int64)
     index: dict[bytes, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(split)), np.int64, lengths.sum())
-    del split, lower
+    del split
     pairs, times = np.unique(ids * len(texts) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
     del ids
     word, doc = np.divmod(pairs, len(texts))
-    trained = np.bincount(word, times * train[doc], len(index)).astype(np.int64)
     packed = np.empty(len(pairs), np.dtype([("doc", "<u4"), ("n", "<u4")]))
     packed["doc"], packed["n"] = doc, times
     packed, ends = packed.tobytes(), np.cumsum(np.bincount(word, minlength=len(index))) * 8
     # the header travels as one serialised batch: nested lists would be measured anew with every row
-    columns = [table.column("id"), pa.chunked_array([pa.array(train)]), pa.chunked_array([pa.array(lengths + 1)]), pa.chunked_array([pa.array(scores)])]
     sink = pa.BufferOutputStream()
-    whole = pa.table(columns, names=["id", "train", "n_tokens", "score"])
+    whole = pa.table([table.column("id"), table.column("train"), pa.chunked_array([pa.array(lengths)])], names=["id", "train", "n_tokens"])
     with pa.ipc.new_stream(sink, whole.schema) as writer:
         writer.write_table(whole)
     head = sink.getvalue().to_pybytes()
-    names = ["word", "block", "n", "docs", "head"]
 
-    def rows(words, n, docs, heads):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([block] * len(words)), pa.array(n, pa.int64()), pa.array(docs, pa.binary()), pa.array([heads] * len(words), pa.binary())], names)
+    def rows(words, docs, heads):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.binary()), pa.array([block] * len(words)), pa.array(docs, pa.binary()), pa.array([heads] * len(words), pa.binary())], ["word", "block", "docs", "head"]
+        )
 
-    yield rows([HEAD + block.encode()], [0], [None], head)
+    yield rows([HEAD + block.encode()], [None], head)
     words = list(index)
     del index
     for i in range(0, len(words), 1 << 15):
         some = words[i : i + (1 << 15)]
         begins = [0 if i == 0 else int(ends[i - 1]), *ends[i : i + len(some)].tolist()]
-        docs = [packed[a:b] for a, b in zip(begins, begins[1:], strict=False)]
-        yield rows(some, trained[i : i + len(some)], docs, None)
-
-
-def _slices(texts: list[bytes], most: int = 2 << 20):
-    some, held = [], 0
-    for x in texts:
-        some.append(x)
-        held += len(x)
-        if held >= most:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
+        yield rows(some, [packed[a:b] for a, b in zip(begins, begins[1:], strict=False)], None)
 
 
 def _gather(table):
-    """The documents of one block with the sums over their words."""
+    """The documents of one block with the sums over their tokens."""
     import numpy as np
     import pyarrow as pa
 
     held = next(x for x in table.column("head").filter(table.column("head").is_valid()).to_pylist())
     head = pa.ipc.open_stream(held).read_all()
-    c = table.column("c").to_numpy()
     docs = table.column("docs").to_pylist()
     sizes = np.array([0 if x is None else len(x) // 8 for x in docs])
     flat = np.frombuffer(b"".join(x for x in docs if x), np.dtype([("doc", "<u4"), ("n", "<u4")]))
-    each = np.repeat(c, sizes)
+    c, score = (np.repeat(table.column(x).to_numpy(), sizes) for x in ("c", "score"))
     n = head.num_rows
-    logs = np.bincount(flat["doc"], flat["n"] * np.log10(each + 1.0), n).astype(np.float64)  # of no words it counts in integers
-    known = np.bincount(flat["doc"], flat["n"] * (each > 0), n).astype(np.int64)
-    return pa.table(
-        {
-            "id": head.column("id"), "train": head.column("train"), "n_tokens": head.column("n_tokens"), "n_known": pa.array(known),
-            "logs": pa.array(logs), "score": head.column("score"),
-        }
-    )
+    sums = {
+        "n_known": np.bincount(flat["doc"], flat["n"] * (c > 0), n).astype(np.int64),
+        "logs": np.bincount(flat["doc"], flat["n"] * np.log10(c + 1.0), n),
+        "score": np.bincount(flat["doc"], flat["n"] * score, n),
+    }
+    return pa.table({x: head.column(x) for x in ("id", "train", "n_tokens")} | {x: pa.array(v) for x, v in sums.items()})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +57,13 @@ def _positions(tokens: DataFrame, window: int) -> DataFrame:
         F.expr(f"substring(full, greatest(1, at + 1 - {window}), least(at, {window}))").alias("tail"),
         F.expr("substring(full, at + 1, 1)").alias("next"),
         F.col("c").alias("n"),
-        F.lit(1.0 / SYMBOLS).alias("p"),
     )
 
 
+def _context(depth: int) -> Column:
+    return F.expr(f"substring(tail, -{depth}, {depth})") if depth else F.lit(b"")
+
+
 def _states(rows: DataFrame, depth: int) -> DataFrame:
     """Retained contexts of `depth` symbols among the rows (context, next, n, p): (context, next, seen, p), p being the next
     symbol's smoothed probability. The rows' p is what the context's suffix gives."""
@@ -81,37 +82,38 @@ def grow_tree(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[
     probability, and the tree's tables by depth (context, next, seen, p).
 
     `full` is what a token's symbols are: a word between two spaces, or a space and the text's end. Contexts are the bytes before
-    a symbol, from the token's space on. A level takes the positions whose context of one symbol less was retained, counts what
-    follows each longer context, and retains those that were seen LEAST_SEEN times and diverge from their suffix by
-    LEAST_NATS (count times Kullback-Leibler divergence). Positions whose context wasn't retained are done: the suffix is
-    their state. Levels end when no context is retained; neither depth, alphabet nor number of contexts has a limit, and the
-    tree stays a table that is joined to the positions.
+    a symbol, from the token's space on. Equal positions of tokens are one row. A level takes those whose context of one symbol
+    less was retained, counts what follows each longer context, and retains those that were seen LEAST_SEEN times and
+    diverge from their suffix by LEAST_NATS (count times Kullback-Leibler divergence). A position's state is its longest
+    retained context. Levels end when no context is retained; neither depth, alphabet nor number of contexts has a limit,
+    and the tree stays a table that is joined to the positions.
     """
-    levels, written, tree, depth = [], [], [], 0
-    rows = _positions(tokens, window)
+    places = _positions(tokens, window)
+    rows = materialize(places.groupBy("tail", "next").agg(F.sum("n").alias("n"))).withColumn("p", F.lit(1.0 / SYMBOLS))
+    tree: list[DataFrame] = []
     while True:
-        context = F.expr(f"substring(tail, -{depth}, {depth})") if depth else F.lit(b"")
-        rows = rows.withColumn("context", context)
+        depth = len(tree)
+        rows = rows.withColumn("context", _context(depth))
         states = materialize(_states(rows, depth))
         if states.isEmpty():
-            discard(states)
-            levels.append(rows.select("id", "p"))
+            discard(rows, states)
             break
         if depth == window:
-            discard(states, *tree, *written)
+            discard(rows, states, *tree)
             return grow_tree(tokens, 2 * window)
         tree.append(states)
+        # Spark broadcasts states of a small table; those of no or one symbol are SYMBOLS ** 2 rows at most
         after = states.select("context", "next", F.col("p").alias("q"))
-        # at most SYMBOLS ** 2 rows where contexts have no or one symbol
-        joined = rows.join(F.broadcast(after) if depth < 2 else after, ["context", "next"], "left")
-        going = F.col("q").isNotNull() & (F.octet_length("tail") > depth)
-        level = materialize(joined.select("id", "tail", "next", "n", F.coalesce("q", "p").alias("p"), going.alias("going")))
-        written.append(level)
-        levels.append(level.where("not going").select("id", "p"))
-        rows, depth = level.where("going").drop("going"), depth + 1
-    scores = materialize(reduce(DataFrame.union, levels).groupBy("id").agg(F.sum(F.log10("p")).alias("score")))
-    discard(*written)
-    return scores, tree
+        joined = rows.where(F.octet_length("tail") > depth).join(F.broadcast(after) if depth < 2 else after, ["context", "next"])
+        going = materialize(joined.select("tail", "next", "n", F.col("q").alias("p")))
+        discard(rows)
+        rows = going
+    for depth, states in enumerate(tree):
+        after = states.select("context", "next", F.col("p").alias(f"p{depth}"))
+        places = places.withColumn("context", _context(depth)).join(F.broadcast(after) if depth < 2 else after, ["context", "next"], "left").drop("context")
+    # retained contexts have retained suffixes, so that the longest state is the last one found
+    longest = F.coalesce(*[F.col(f"p{d}") for d in reversed(range(len(tree)))], F.lit(1.0 / SYMBOLS))
+    return materialize(places.groupBy("id").agg(F.sum(F.log10(longest)).alias("score"))), tree
 
 
 def score_tokens(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

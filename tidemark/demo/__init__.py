@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.demo import evaluation, facts, gates, history, quality, records, registry, scoring  # noqa: F401  (they register queries)
+from tidemark.demo import evaluation, facts, gates, history, quality, records, registry, scoring, versions  # noqa: F401  (they register queries)
 
 
 def queries():

@@ -14,6 +14,8 @@ SYMBOLS = 256 - 6 + 2
 LEAST_SEEN, LEAST_NATS, PRIOR = 16, 8.0, 8.0
 #: Symbols before a position that its row carries at first. Doubled as often as a retained context is that long.
 WINDOW = 16
+#: A level's states are broadcast, by 64-bit hashes of context and symbol, up to this many rows (some 60 bytes each); larger ones are joined.
+LOOKED_UP = 1 << 20
 #: Bytes of text whose words are counted together before they're shuffled, and distinct words held while counting.
 BLOCK_BYTES, HELD_WORDS = 8 << 20, 1 << 18
 #: The token that ends a text, and a block header's key: white space, so no word equals them.
@@ -102,18 +104,25 @@ def grow_tree(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[
             discard(rows, states, *tree)
             return grow_tree(tokens, 2 * window)
         tree.append(states)
-        # Spark broadcasts states of a small table; those of no or one symbol are SYMBOLS ** 2 rows at most
-        after = states.select("context", "next", F.col("p").alias("q"))
-        joined = rows.where(F.octet_length("tail") > depth).join(F.broadcast(after) if depth < 2 else after, ["context", "next"])
-        going = materialize(joined.select("tail", "next", "n", F.col("q").alias("p")))
+        followed = _follow(rows.where(F.octet_length("tail") > depth), states, "inner")
+        going = materialize(followed.select("tail", "next", "n", F.col("q").alias("p")))
         discard(rows)
         rows = going
-    for depth, states in enumerate(tree):
-        after = states.select("context", "next", F.col("p").alias(f"p{depth}"))
-        places = places.withColumn("context", _context(depth)).join(F.broadcast(after) if depth < 2 else after, ["context", "next"], "left").drop("context")
     # retained contexts have retained suffixes, so that the longest state is the last one found
-    longest = F.coalesce(*[F.col(f"p{d}") for d in reversed(range(len(tree)))], F.lit(1.0 / SYMBOLS))
-    return materialize(places.groupBy("id").agg(F.sum(F.log10(longest)).alias("score"))), tree
+    places = places.select("id", "tail", "next", F.lit(1.0 / SYMBOLS).alias("p"))
+    for depth, states in enumerate(tree):
+        followed = _follow(places.withColumn("context", _context(depth)), states, "left")
+        places = followed.select("id", "tail", "next", F.coalesce("q", "p").alias("p"))
+    return materialize(places.groupBy("id").agg(F.sum(F.log10("p")).alias("score"))), tree
+
+
+def _follow(rows: DataFrame, states: DataFrame, how: str) -> DataFrame:
+    """Rows (context, next, ...) with q, the probability that their context's state gives."""
+    after = states.select("context", "next", F.col("p").alias("q"))
+    if states.count() > LOOKED_UP:
+        return rows.join(after, ["context", "next"], how)
+    named = F.xxhash64("context", "next").alias("_state")
+    return rows.select("*", named).join(F.broadcast(after.select(named, "q")), "_state", how).drop("_state")
 
 
 def score_tokens(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

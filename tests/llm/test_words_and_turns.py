@@ -218,3 +218,30 @@ def test_merges_are_those_of_lowest_rank(spark):
     for row in byte_bpe.encode_documents(docs, ranks, r"\S+", most=30).collect():
         assert row.ids == merged(row.text.encode()), row.text
     assert docs.select(F.count("*")).first()[0] == 300
+
+
+def test_low_texts_are_split_as_all_are():
+    """The spelled-out classes against those of Unicode, on every code point that they are for."""
+    import public_tokenizers as P
+    import regex
+
+    low, every = re.compile(byte_bpe.low_pattern(P.PATTERN)).findall, regex.compile(P.PATTERN).findall
+    r = random.Random(2)
+    signs = [chr(c) for c in range(0x180)]
+    texts = ["".join(r.choices(signs if r.random() < 0.5 else "aZ9é²½\x1c\x85\xa0 \t\n'.-", k=40)) for _ in range(2000)]
+    for text in [*texts, *[f"a{c} {c}{c} 1{c}\n" for c in signs]]:
+        assert low(text) == every(text), ascii(text)
+    assert byte_bpe.low_pattern(r"\w+") is None and byte_bpe.low_pattern(r"\p{Lu}+|\S") is None
+
+
+def test_letters_of_later_unicode_versions_are_letters(spark):
+    """Letters that came after version 13, which Java 17 takes for other signs, in words and beside signs."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(P.path(queries.RANKS))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\U00010570b \U00010570.", "x\U0001df25-\u0870 \u1c89"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in byte_bpe.encode_documents(docs, ranks, P.PATTERN, most=1).collect():
+        assert row.ids == library.encode_ordinary(row.text), ascii(row.text)

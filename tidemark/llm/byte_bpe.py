@@ -2,31 +2,34 @@
 the tokens' bytes.
 
 Ranks live in one constant: an array of small maps, in which the crc32 of a byte string names its map. Executors get it
-with the plan, so lookups need no Python and no join. Frequent words of the corpus (at most MOST_WORDS) are encoded once and
-kept in a constant of the same kind; a text then takes a lookup for each of its words, and only words outside of it are
-folded where they stand. No text is shuffled.
+with the plan, so folds need no Python and no join. Frequent words of the corpus (at most MOST_WORDS) are folded once and
+broadcast; tasks split texts and look their words up by Arrow batches, and only words outside of the broadcast are folded
+where they stand. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, materialize, text_chunks, text_or_empty
+from tidemark.llm.common import discard, materialize, text_chunks
 
-#: Words that the constant of encoded words may hold, slots of the ranks, and words that a task counts at a time.
-MOST_WORDS, RANK_SLOTS, COUNTED = 1 << 19, 1 << 16, 1 << 19
+#: Frequent words that are broadcast with their ids, slots of the ranks, and words that a task counts at a time.
+MOST_WORDS, RANK_SLOTS, COUNTED = 1 << 20, 1 << 16, 1 << 19
 NONE = (1 << 31) - 1
-#: Parts of a text that are split into words at a time. A part ends before white space that follows something else (or
-#: with the text), and no word spans such a place, so that parts give the words of the whole text.
-#: White space of Unicode, which Java's own class lacks.
-WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PART = rf"(?s).{{1,32768}}[{WHITE}]*[^{WHITE}]*"
+#: Code points below U+0180 of the classes that patterns name, and texts that have no others.
+LOW = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
+LOW_TEXT = re.compile("[\x00-\u017f]*")
+
+_workers: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,14 +38,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    """All matches of the pattern in order. White space means what it does in Unicode."""
-    spelled = pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
-    return F.regexp_extract_all(text, F.lit(spelled), F.lit(0))
+def low_pattern(pattern: str) -> str | None:
+    """The pattern for texts of LOW_TEXT with its classes spelled out, so that Python's own expressions, which are faster,
+    take it; None if it names other classes."""
+
+    def spelled(m: re.Match) -> str:
+        if m[0] == r"\S":
+            return f"[^{LOW[chr(92) + 's']}]"
+        if m[0][0] != "[":
+            return f"[{LOW[m[0]]}]"
+        return re.sub(r"\\p\{[LN]\}|\\s", lambda c: LOW[c[0]], m[0])
+
+    low = re.sub(r"\[\^?(?:\\.|[^\]\\])*\]|\\p\{[LN]\}|\\[sS]", spelled, pattern)
+    return None if re.search(r"\\[A-Za-z]|\[\[|\(\?[^:!=]", low) else low
 
 
-def parts_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that gives all matches of the pattern in a text, in order. Classes mean what they do in Unicode."""
+    import regex
+
+    def finder(compiled):
+        return (lambda text: [m.group() for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
+
+    every, low = finder(regex.compile(pattern)), low_pattern(pattern)
+    if low is None:
+        return every
+    few, within = finder(re.compile(low)), LOW_TEXT.fullmatch
+    return lambda text: few(text) if within(text) else every(text)
 
 
 def _slot(key: Column, slots: int) -> Column:
@@ -108,9 +130,8 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import regex
 
-        split, held = regex.compile(pattern).findall, Counter()
+        split, held = splitter(pattern), Counter()
 
         def flushed():
             batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
@@ -127,47 +148,100 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_constant(docs: DataFrame, ranks: Column, pattern: str, text_col: str, most: int) -> tuple[Column, int]:
-    """Ids of frequent words, as many as `most` allows: all words that occur at least so often. And its slots."""
+def frequent_words(docs: DataFrame, ranks: Column, pattern: str, text_col: str, most: int) -> bytes:
+    """Frequent words with their ids as an Arrow stream, as many as `most` allows: all words that occur at least so often."""
+    import pyarrow as pa
+
     counted = materialize(word_counts(docs, pattern, text_col))
     level = F.floor(F.log2("n") * 8).cast("int")  # counts in eighths of a doubling: some hundred levels at most
-    least, held, taken = None, 0, 0
+    least, held = None, 0
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
         held += r["count"]
         if held > most:
             break
-        least, taken = r["level"], held
+        least = r["level"]
     frequent = counted.where(level >= least if least is not None else F.lit(False)).withColumn("_ranks", ranks).select("word", _let(F.col("_ranks"), lambda m: encode_word(F.col("word"), m)).alias("ids"))
-    n_slots = 1 << max(taken - 1, 0).bit_length()
-    slots = frequent.groupBy(_slot(F.col("word"), n_slots).alias("slot")).agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    every = docs.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "own"))), lambda x: F.map_from_entries(F.coalesce(x["own"], F.array().cast("array<struct<word:string,ids:array<int>>>")))).alias("words"))
-    kept = materialize(one)  # one row of at most `most` words
+    kept = frequent.toArrow()  # at most `most` words
     discard(counted)
-    return kept.scalar(), n_slots
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(kept)
+    return sink.getvalue().to_pybytes()
+
+
+class Words(dict):
+    """Ids by word as little-endian 32-bit bytes; words outside are noted in `missed`, and MARK takes their place."""
+
+    MARK = (-1).to_bytes(4, "little", signed=True)
+
+    def __init__(self, stream: bytes):
+        import pyarrow as pa
+
+        super().__init__()
+        self.missed: list[str] = []
+        for batch in pa.ipc.open_stream(stream):
+            words, ids = batch.columns
+            raw, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), ids.offsets.to_pylist()
+            self.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words.to_pylist(), at, at[1:], strict=False))
+
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return self.MARK
+
+
+def look_up(docs: DataFrame, shared, pattern: str, text_col: str) -> DataFrame:
+    """`docs` with `_missed`, the words outside of the broadcast in order, and `_runs`, the ids before, between and after them."""
+
+    key = uuid.uuid4().hex
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        if key not in _workers:  # a worker keeps the words of one broadcast
+            _workers.clear()
+            _workers[key] = Words(shared.value)
+        known, split = _workers[key], splitter(pattern)
+        get, mark = known.__getitem__, Words.MARK
+        for part, texts in text_chunks(batches, text_col, 2 << 20):
+            known.missed, coded, upto = [], [], [0]
+            for text in texts:
+                coded += [b"".join(map(get, split(text.decode("utf-8", "replace")))), mark]
+                upto.append(len(known.missed))
+            ids = np.frombuffer(b"".join(coded), "<i4")
+            ends = np.flatnonzero(ids == -1)
+            inner = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+            outer = np.array(upto, np.int32)
+            runs = pa.ListArray.from_arrays(outer + np.arange(len(outer), dtype=np.int32), pa.ListArray.from_arrays(inner, pa.array(ids[ids != -1], pa.int32())))
+            missed = pa.ListArray.from_arrays(outer, pa.array(known.missed, pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns, runs, missed], [*part.schema.names, "_runs", "_missed"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_runs", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("_missed", T.ArrayType(T.StringType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text_col: str = "text", out: str = "ids", most: int = MOST_WORDS) -> DataFrame:
     """`docs` with array<int> `out`: the ids of every whole text, each match of `pattern` encoded by itself; no special tokens.
 
     Edge cases: null and empty texts have no ids; a column named `out` is replaced; an empty table gives an empty result;
-    repeated rows are rows. The work for one word grows with the square of its length, since each merge copies its pieces.
-    Bytes without a rank (none in complete vocabularies) raise.
+    repeated rows are rows; columns must not be named _runs, _missed or _ranks. The work for one word grows with the square
+    of its length, since each merge copies its pieces. Bytes without a rank (none in complete vocabularies) raise.
     """
     lost = [b for b in range(256) if bytes([b]) not in ranks]
     if lost:
         raise ValueError(f"bytes without a rank: {lost[:5]}")
     spark = docs.sparkSession
     constant = rank_constant(spark, ranks)
-    known, n_slots = word_constant(docs, constant, pattern, text_col, most)
+    shared = spark.sparkContext.broadcast(frequent_words(docs, constant, pattern, text_col, most))
+    found = look_up(docs, shared, pattern, text_col)
 
-    def ids_of(k: Column) -> Column:
-        word = lambda w: F.coalesce(_lookup(k["words"], w, n_slots), encode_word(w, k["ranks"]))
-        return F.flatten(F.transform(parts_of(text_or_empty(text_col)), lambda x: F.flatten(F.transform(words_of(x, pattern), word))))
+    def ids_of(m: Column) -> Column:
+        joined = lambda run, w: F.when(w.isNull(), run).otherwise(F.concat(run, encode_word(w, m)))
+        return F.flatten(F.zip_with("_runs", "_missed", joined))
 
     # a constant is a subquery, which may not be written into a lambda: it comes as a column that is used once, so that
     # the optimizer puts it in place and no row carries it
-    return docs.withColumn("_known", F.struct(known.alias("words"), constant.alias("ranks"))).withColumn(out, _let(F.col("_known"), ids_of)).drop("_known")
+    return found.withColumn("_ranks", constant).withColumn(out, _let(F.col("_ranks"), ids_of)).drop("_ranks", "_runs", "_missed")
 
 
 def decode_documents(docs: DataFrame, ranks: Mapping[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -279,6 +279,29 @@ def test_word_ids_equal_the_tokenizer():
         assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_new_words_are_learned_from_one_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids, calls = Tokenizer.from_file(tokenizer_path()), packing.Ids(tokenizer_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    ids.tokenizer = Counted()
+    r = random.Random(3)
+    signs = [c for c in map(chr, range(0x21, 0x180)) if packing.PLAIN.fullmatch(c)]
+    text = " ".join("".join(r.choices(signs if k % 2 else "ab's9.", k=r.randrange(1, 12))) for k in range(3000))
+    assert ids.encode([text]) == [b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)]
+    assert calls == [1] * -(-len(ids.words) // 4096)
+    for word, got in ids.words.items():
+        assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(word, add_special_tokens=False).ids), word
+    ids.last = set()  # a vocabulary without ends of words
+    ids.learn(["again", "and"])
+    assert calls[-1] == 2 and ids.words["and"] == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode("and").ids)
+
+
 def test_knapsack_against_brute_force():
     import numpy as np
 

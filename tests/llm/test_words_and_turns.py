@@ -245,3 +245,14 @@ def test_letters_of_later_unicode_versions_are_letters(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     for row in byte_bpe.encode_documents(docs, ranks, P.PATTERN, most=1).collect():
         assert row.ids == library.encode_ordinary(row.text), ascii(row.text)
+
+
+def test_ids_are_decoded_by_batches(spark, monkeypatch):
+    """Rows cut into small slices; null stays null, ids that no token has give nothing. Ids went through an interpreted lambda one by one."""
+    monkeypatch.setattr(byte_bpe, "MOST_IDS", 4)
+    ranks = {bytes([b]): b for b in range(9)} | {b"long": 9}
+    ids = spark.createDataFrame([(0, [9, 0, 9]), (1, None), (2, []), (3, [-5, 1, None, 99, 10, 2]), (4, [9] * 7)], "id int, ids array<int>").coalesce(1)
+    decoded = byte_bpe.decode_documents(ids, ranks)
+    assert "MapInArrow" in decoded._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.decoded if r.decoded is None else bytes(r.decoded) for r in decoded.orderBy("id").collect()]
+    assert got == [b"long\0long", None, b"", b"\1\2", b"long" * 7] and byte_bpe.decode_documents(ids.limit(0), ranks).count() == 0

@@ -1,5 +1,5 @@
-"""Byte-level BPE: Spark's higher-order functions fold ranked merges over the byte arrays of words; decoding concatenates
-the tokens' bytes.
+"""Byte-level BPE: Spark's higher-order functions fold ranked merges over the byte arrays of words; decoding takes
+the tokens' bytes by Arrow batches.
 
 Ranks live in one constant: an array of small maps, in which the crc32 of a byte string names its map. Executors get it
 with the plan, so folds need no Python and no join. Frequent words of the corpus (at most MOST_WORDS) are folded once and
@@ -25,6 +25,8 @@ from tidemark.llm.common import discard, materialize, text_chunks
 #: Frequent words that are broadcast with their ids, slots of the ranks, and words that a task counts at a time.
 MOST_WORDS, RANK_SLOTS, COUNTED = 1 << 20, 1 << 16, 1 << 19
 NONE = (1 << 31) - 1
+#: Ids that are decoded at a time (one row is never cut).
+MOST_IDS = 1 << 20
 #: Code points below U+0180 of the classes that patterns name, and texts that have no others.
 LOW = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
 LOW_TEXT = re.compile("[\x00-\u017f]*")
@@ -82,14 +84,6 @@ def rank_constant(spark: SparkSession, ranks: Mapping[bytes, int]) -> Column:
     return spark.createDataFrame([(slots,)], "ranks array<map<binary,int>>", verifySchema=False).coalesce(1).scalar()
 
 
-def piece_constant(spark: SparkSession, ranks: Mapping[bytes, int]) -> Column:
-    """Bytes in hexadecimal by rank."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return spark.createDataFrame([(pieces,)], "pieces array<string>", verifySchema=False).coalesce(1).scalar()
-
-
 def _let(value: Column, body) -> Column:
     """`body` of a value that is evaluated once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -244,7 +238,45 @@ def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str,
     return found.withColumn("_ranks", constant).withColumn(out, _let(F.col("_ranks"), ids_of)).drop("_ranks", "_runs", "_missed")
 
 
+def _slices(batches, column: str):
+    """Slices of batches with about MOST_IDS entries of a list column, and the lists' lengths as numpy."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        marks = np.cumsum(sizes, dtype=np.int64) // MOST_IDS
+        cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
+        for i, k in zip(cuts, cuts[1:], strict=False):
+            if k > i:
+                yield batch.slice(i, k - i), sizes[i:k]
+
+
 def decode_documents(docs: DataFrame, ranks: Mapping[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """`docs` with binary `out`: the bytes of all ids, one after the other (null ids: null)."""
-    pieces = piece_constant(docs.sparkSession, ranks)
-    return docs.withColumn("_pieces", pieces).withColumn(out, _let(F.col("_pieces"), lambda p: F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(p, i)), ""))))
+    """`docs` with binary `out`: the bytes of all ids, one after the other (null ids: null; ids that no token has: nothing)."""
+    rest = [f for f in docs.schema.fields if f.name != out]
+    held = max(ranks.values(), default=-1) + 1
+    pieces = [b""] * (held + 1)  # the last one for all others
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        tokens = pa.array(shared.value, pa.binary())
+        for part, sizes in _slices(batches, ids_col):
+            lists = part.column(ids_col)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.min() < 0 or ids.max() > held):
+                ids = np.where((ids < 0) | (ids > held), held, ids)
+            taken = tokens.take(pa.array(ids))
+            # pieces lie one after the other, so that a row's bytes begin where its first piece does
+            starts = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset)[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+            joined = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(starts.tobytes()), taken.buffers()[2]])
+            joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), joined], [*(f.name for f in rest), out])
+
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.BinaryType())]))

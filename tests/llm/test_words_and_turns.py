@@ -72,6 +72,14 @@ def test_spelling_of_nothing(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_spelling_broadcasts_no_table_of_words(spark, monkeypatch):
+    plans, written = [], spelling.materialize
+    plan = lambda df: str(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "materialize", lambda df: plans.append(plan(df)) or written(df))
+    plans.append(plan(spelling.spelling_variants(spark.createDataFrame(made_documents(1), SCHEMA), most=6)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_stretches_cut_no_run(monkeypatch):
     monkeypatch.setattr(spelling, "STRETCH", 5)
     r = random.Random(2)

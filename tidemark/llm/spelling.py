@@ -26,6 +26,12 @@ MOST_WORDS, COUNTED, STRETCH, HELD = 4096, 1 << 19, 1 << 20, 1 << 19
 RUN, REST = re.compile("[a-zÀ-ÿ]+"), re.compile("[a-zÀ-ÿ]*")
 
 
+def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the vocabulary: by sorting, never by broadcast. Spark takes their size from compressed
+    files or shuffles and doesn't see what an explode adds, so it would broadcast tables of hundreds of MB."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def damaged(run: str, seed: int) -> str:
     """The run without one letter, for one in 97 pairs of document and run."""
     h = zlib.crc32(run.encode(), seed)
@@ -93,7 +99,7 @@ def blocks(words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
         rows = _members(rows)
         sizes = rows.groupBy("key").agg(F.count("*").alias("_size"), F.count_if(F.length("word") == F.col("cls")).alias("_short"))
         large = (F.col("_size") > most) & (F.col("cls") - F.col("s") - F.col("e") > 1)
-        sized = rows.join(sizes.where("_size > 1 and _short > 0"), "key")
+        sized = joined(rows, sizes.where("_size > 1 and _short > 0"), "key")
         fine = sized.where(~large).drop("_size", "_short")
         found = fine if found is None else found.unionByName(fine)
         hot = sized.where(large)
@@ -225,7 +231,7 @@ def follow(forms: DataFrame) -> DataFrame:
     at = materialize(forms.select("word", F.col("form").alias("root")))
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = materialize(at.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        new = materialize(joined(at, further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         discard(at)
         at = new
         if at.where("moved").isEmpty():
@@ -244,10 +250,10 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = F.struct((-F.col("best_n")).alias("o"), F.col("best").alias("best"))
     near = neighbours(blocks(counted, most)).groupBy("word").agg(F.sum("near").alias("n_near"), F.min(order).alias("_o"))
     fits = -F.col("_o.o") >= 2 * F.col("n")
-    told = counted.join(near, "word", "left").select(
+    told = joined(counted, near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(fits, F.col("_o.best")).alias("form"), F.when(fits, -F.col("_o.o")).alias("form_n")
     )
     told = materialize(told)
     discard(counted)
     roots = follow(told.where(F.col("form").isNotNull()))
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return joined(told, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -154,6 +154,24 @@ def test_trees_are_the_same_in_a_task_and_over_many(spark, kind):
     assert found[0].keys() == found[1].keys() and all(abs(v - found[1][k]) < 1e-9 for k, v in found[0].items())
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_categories_of_more_than_a_block_need_no_job_for_every_level(spark, kind):
+    from tidemark.plans import trees
+
+    df = spark.range(120_000).selectExpr("if(id % 2 = 0, 'c', 'd') g", "pmod(hash(id), 1000) / 7.0 a", "pmod(hash(id, 1), 50) * 1.0 b").withColumn("y", F.col("a") * F.col("b"))
+    size = {"rounds": 4} if kind == "boosting" else {"trees": 4, "group": 2}
+    fit = trees.fit_boosting if kind == "boosting" else trees.fit_forest
+    spark.sparkContext.setJobGroup(f"fit-{kind}", "")
+    try:
+        fitted = fit(df, "g", ["c", "d"], [F.col("a"), F.col("b")], "y", **size)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{kind}")) <= 12
+    error = F.avg(F.abs(F.col("prediction") - F.col("y")))
+    out = trees.predict(df, fitted, "g", [F.col("a"), F.col("b")])
+    assert out.count() == 120_000 and out.agg(error).first()[0] < (300 if kind == "forest" else 1800)
+
+
 def test_boosting_errs_no_more_than_the_library_with_as_many_rounds(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

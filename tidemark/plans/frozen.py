@@ -31,7 +31,8 @@ def thaw(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
 
 
 def trees_table(spark: SparkSession, model: TreeModel) -> DataFrame:
-    """A tree model as rows: nodes by group of trees, roots and edges by category, and what fills gaps."""
+    """A tree model as rows: nodes by group of trees, roots and edges by category, and what fills gaps; trees that are a table stay one,
+    and don't pass through the driver."""
     f, rows = model.fitted, []
     for g, (feature, cut, left, right, value, roots) in enumerate(f.tables):
         rows.append(("nodes", "", g, [int(x) for part in (feature, cut, left, right) for x in part], [float(x) for x in value], None))
@@ -42,15 +43,19 @@ def trees_table(spark: SparkSession, model: TreeModel) -> DataFrame:
     rows += [("levels", c, i, None, None, list(v)) for i, (c, v) in enumerate(model.by_text.items())]
     rows += [("gaps", str(r[model.category]), 0, None, list(r["medians"]), list(r["modes"])) for r in model.learnt.collect()]  # one a category
     rows.append(("about", model.category, 0, None, [f.factor], [model.learnt.schema[model.category].dataType.simpleString(), *model.numeric]))
-    return spark.createDataFrame(rows, ROWS)
+    table = spark.createDataFrame(rows, ROWS)
+    if f.grown is None:
+        return table
+    made = F.array(F.col("number").cast("string"), F.base64("made"))
+    return table.unionByName(f.grown.select(F.lit("grown").alias("kind"), F.col("part").cast("string").alias("name"), F.col("code").cast("long").alias("k"), F.array(F.lit(f.parts)).alias("ints"), F.lit(None).cast("array<double>").alias("numbers"), made.alias("texts")))
 
 
 def trees_from(df: DataFrame) -> TreeModel:
-    """The model of `trees_table`'s rows, which are bounded by trees.MOST_NODES."""
+    """The model of `trees_table`'s rows, which are bounded by trees.MOST_NODES but for trees that are a table."""
     import numpy as np
 
     by: dict[str, list] = {}
-    for r in df.orderBy("kind", "name", "k").collect():
+    for r in df.where("kind <> 'grown'").orderBy("kind", "name", "k").collect():
         by.setdefault(r["kind"], []).append(r)
     about = by["about"][0]
     kind, *numeric = about["texts"]
@@ -67,4 +72,8 @@ def trees_from(df: DataFrame) -> TreeModel:
         parts = np.array(r["ints"], np.int32).reshape(4, -1)
         tables.append((*parts, np.array(r["numbers"]), {x["k"]: x["ints"] for x in by["roots"] if x["name"] == str(r["k"])}))
     levels = {r["name"]: r["texts"] for r in sorted(by.get("levels", []), key=lambda r: r["k"])}
-    return TreeModel(Fitted([v["v"] for v in values], edges, tables, [r["numbers"][0] for r in known], about["numbers"][0]), learnt, levels, category, numeric)
+    own = df.where("kind = 'grown'")
+    parts = own.select(F.col("ints")[0]).first()
+    grown = own.select(F.col("k").cast("int").alias("code"), F.col("name").cast("int").alias("part"), F.col("texts")[0].cast("int").alias("number"), F.unbase64(F.col("texts")[1]).alias("made")) if parts else None
+    fitted = Fitted([v["v"] for v in values], edges, tables, [r["numbers"][0] for r in known], about["numbers"][0], grown, parts[0] if parts else 1)
+    return TreeModel(fitted, learnt, levels, category, numeric)

@@ -154,6 +154,42 @@ def test_trees_are_the_same_in_a_task_and_over_many(spark, kind):
     assert found[0].keys() == found[1].keys() and all(abs(v - found[1][k]) < 1e-9 for k, v in found[0].items())
 
 
+@pytest.mark.parametrize("together", [1, 40, 4096])
+def test_a_forests_tree_against_plain_growth(monkeypatch, together):
+    """Large nodes by cells, small ones by sorted rows, and both in one tree: every split is the best of all cuts."""
+    import numpy as np
+
+    from tidemark.plans import growth
+
+    monkeypatch.setattr(growth, "TOGETHER", together)
+    r = np.random.default_rng(5)
+    n, least = 300, 4
+    bins = np.column_stack([r.integers(0, 200, n), r.integers(0, 9, n), r.random(n) < 0.3, np.full(n, 7), r.integers(0, 2, n) * 90]).astype(np.uint8)
+    y, weight = r.normal(1e5, 1e4, n) + 3e4 * bins[:, 2] + 100 * bins[:, 0], r.poisson(1, n).astype(float)
+    want = np.full(n, np.nan)
+
+    def grow(own):
+        w, t = weight[own], y[own]
+        score = lambda k: (w[k] * t[k]).sum() ** 2 / w[k].sum()
+        tries = [(score(k) + score(~k), k) for f in range(5) for c in range(256) for k in [bins[own, f] <= c] if min(w[k].sum(), w[~k].sum()) >= least] if w.sum() >= 2 * least else []
+        if not tries:
+            want[own] = (w * t).sum() / w.sum()
+            return
+        _, k = max(tries, key=lambda x: x[0])
+        grow(own[k]), grow(own[~k])
+
+    grow(np.flatnonzero(weight > 0))
+    feature, cut, left, right, value = growth.unpacked(growth.Growing(growth.Rows(bins), weight, y, 1, least, 1.0, 42).packed())
+    got = []
+    for row in bins:
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] if row[feature[node]] <= cut[node] else right[node]
+        got.append(value[node])
+    known = weight > 0
+    assert np.allclose(np.array(got)[known], want[known]) and (feature >= 0).sum() > 20
+
+
 @pytest.mark.parametrize("kind", ["forest", "boosting"])
 def test_categories_of_more_than_a_block_need_no_job_for_every_level(spark, kind):
     from tidemark.plans import trees
@@ -172,6 +208,20 @@ def test_categories_of_more_than_a_block_need_no_job_for_every_level(spark, kind
     assert out.count() == 120_000 and out.agg(error).first()[0] < (300 if kind == "forest" else 1800)
 
 
+def test_forests_of_more_nodes_than_the_driver_may_hold(spark, monkeypatch):
+    """A forest is a table: rows of several salts, of a null and of an unknown category, and the sums' order."""
+    from tidemark.plans import models, trees
+
+    df = spark.createDataFrame(tree_rows(400), "g string, a double, b double, s string, y double")
+    model = models.fit_trees(df.where("g = 'c' or a < 0"), "g", ["a", "b"], "y", "forest", ["s"], trees=5, group=2)
+    assert model.fitted.tables == [] and model.fitted.grown.count() == 10
+    more = df.unionByName(df.selectExpr("if(a > 0, 'new', null) g", "a", "b", "s", "y"))
+    told = lambda: sorted((str(r.g), r.a, str(r.b), r.prediction or 0.0) for r in models.predict_trees(more, model).collect())
+    one = told()
+    monkeypatch.setattr(trees, "HELD", 100)
+    assert told() == one and len(one) == 800 and sum(x[3] == 0 for x in one) == 400
+
+
 def test_boosting_errs_no_more_than_the_library_with_as_many_rounds(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

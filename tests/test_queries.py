@@ -222,6 +222,30 @@ def test_forests_of_more_nodes_than_the_driver_may_hold(spark, monkeypatch):
     assert told() == one and len(one) == 800 and sum(x[3] == 0 for x in one) == 400
 
 
+def test_quantiles_broadcast_no_rows(spark):
+    from tidemark.operators.selection import quantiles
+
+    df = spark.range(300).selectExpr("concat('c', id % 2) g", "id * 1.0 a", "id * 2.0 b").checkpoint()
+    found = quantiles(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, [0.5])
+    assert {(r.g, r.a, r.b) for r in found.collect()} == {("c0", 149.0, 298.0), ("c1", 150.0, 300.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Inner, BuildLeft" not in plan and "LeftOuter" in plan
+
+
+def test_scores_broadcast_no_ranks_and_are_made_once(spark):
+    from tidemark.operators import metrics
+    from tidemark.plans import evaluation
+
+    df = spark.range(400).selectExpr("id", "concat('c', id % 2) g", "int(id % 3) period", "pmod(hash(id), 977) * 1.0 y", "pmod(hash(id, 1), 991) * 1.0 base")
+    found = metrics.metrics(df, ["g"], "y", "base", ["id"], 5)
+    assert found.count() == 2 and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") >= 2
+    scores, chosen, _ = evaluation.choose_and_refit(df, df, df, "g", "y", ["id"], "period", ["base"], "base", {})
+    assert scores.count() == 3 and chosen.count() == 2
+    assert "Aggregate" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boosting_errs_no_more_than_the_library_with_as_many_rounds(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

@@ -348,3 +348,40 @@ def test_champions_are_chosen_on_one_year_and_tested_on_the_next(spark):
     assert {r.champion for r in chosen.collect()} == {"good"} and {r.model for r in scores.collect()} == {"good", "bad", "base"}
     assert fitted == [("good", [1]), ("bad", [1]), ("good", [1, 2])]
     assert out.count() == 40 and all(r.prediction == r.y + 0.25 and r.year == 3 for r in out.collect())
+
+
+def test_event_consistency_moves_lines_once_and_holds_on_odd_rows(spark, folder):
+    """Repeated and null keys, lines without orders or suppliers, two orders and two customers of one key: as in SQL."""
+    import random
+    import re
+
+    from tidemark import demo
+
+    r = random.Random(4)
+    some = lambda *v: "NULL" if (x := r.choice(v)) is None else x
+    day = lambda: f"TIMESTAMP '1999-01-{r.randrange(1, 28):02d}'"
+    made = {
+        "lineitem(l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, l_discount DOUBLE, l_shipdate TIMESTAMP)": [
+            (some(*range(30), None), some(1, 2, None), some(*range(6), None), some(1, 1, 2, None), r.randrange(1, 999) / 7, r.random() / 9, some(day(), day(), None)) for _ in range(600)],
+        "orders(o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP)": [(some(*range(25), None), some(*range(9), None), day()) for _ in range(30)],
+        "customer(c_custkey BIGINT, c_nationkey INT)": [(some(*range(8), None), some(0, 1, 2, 3, None)) for _ in range(12)],
+        "supplier(s_suppkey BIGINT, s_nationkey INT)": [(some(*range(5), None), some(0, 1, 2, None)) for _ in range(7)],
+        "nation(n_nationkey INT)": [(0,), (1,), (1,)],
+    }
+    db = duckdb.connect()
+    for table, rows in made.items():
+        name = table.split("(")[0]
+        db.execute(f"CREATE TABLE {table}")
+        db.execute(f"INSERT INTO {name} VALUES {', '.join('(' + ', '.join(map(str, x)) + ')' for x in rows)}")
+        db.execute(f"COPY {name} TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    want = {x[0]: x[2] for x in db.execute(demo.oracle_sql()["event_consistency"]).fetchall()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for k in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", k)
+            out = demo.queries()["event_consistency"](spark, folder)
+            assert {x.check_name: x.actual for x in out.collect()} == want and sum(v > 0 for v in want.values()) >= 6
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ReadSchema: struct<l_orderkey") == 1 and not re.search(r"hashpartitioning\(l_orderkey#\d+L, l_linenumber", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -31,16 +31,18 @@ def id_resolution_crosswalk(t: Tables) -> DataFrame:
     return joins.matched_join(rows, t.nation.select(F.col("n_nationkey").alias("resolved_id"), "n_name"), ["resolved_id"])
 
 
-def sided(t: Tables) -> DataFrame:
+def sided(t: Tables, more: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides of every line, with `more` of its columns. Orders meet their customers first, so that lines, the largest table, move
+    once, to their orders; where Spark joins by shuffles, the result is dealt by l_orderkey."""
+    orders = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     line = (
-        t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .where("c_nationkey <> s_nationkey")
     )
     c, s, net = F.col("c_nationkey"), F.col("s_nationkey"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6)
     sides = [{"nation": c, "other": s, "is_buyer": F.lit(1), "margin": -net}, {"nation": s, "other": c, "is_buyer": F.lit(0), "margin": net}]
-    return reshape.two_sides(line, sides, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return reshape.two_sides(line, sides, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *more])
 
 
 SIDED = """l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c_nationkey AS c, s_nationkey AS s, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem JOIN orders ON l_orderkey = o_orderkey
